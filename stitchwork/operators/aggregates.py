@@ -163,12 +163,12 @@ def prefix_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def session_stats(looks: DataFrame, session: str, score: Column, order: list[Column], item: Column) -> DataFrame:
-    """Per session: count, mean, best, first and latest look; first of equals is best. ``order`` is numeric."""
+    """Per session: count, mean, best, first and latest look; first of equals is best."""
     at = F.struct(*order)
-    best = F.struct(score, *[-o for o in order])
+    best = F.struct((-score).alias("neg"), *[o.alias(f"o{i}") for i, o in enumerate(order)])
     return looks.groupBy(session).agg(
         F.count(F.lit(1)).alias("looks"), F.avg(score).alias("average_score"),
-        F.max_by(item, best).alias("best_look"), F.max(score).alias("best_score"),
+        F.min_by(item, best).alias("best_look"), F.max(score).alias("best_score"),
         F.min_by(item, at).alias("first_look"), F.min_by(score, at).alias("first_score"),
         F.max_by(item, at).alias("latest_look"), F.max_by(score, at).alias("latest_score"))
 

@@ -1,5 +1,5 @@
 """Every registered query: importing the sections fills the registry."""
 
 from stitchwork.plans import (  # noqa: F401
-    queries_filters, queries_scalars)
+    queries_aggregates, queries_filters, queries_joins, queries_scalars, queries_sets, queries_windows)
 from stitchwork.plans.registry import ORACLES, QUERIES  # noqa: F401
