@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stitchwork.rules import garments as G
@@ -51,6 +51,18 @@ def snap_to_palette(l: Column, a: Column, b: Column) -> Column:
     return F.array_min(F.array(*options))["n"]
 
 
+def with_palette_name(df: DataFrame, r: Column, g: Column, b: Column, name: str) -> DataFrame:
+    """Add the palette name of an RGB triple.
+
+    The Lab triple is a column of its own first: inlined, it would be
+    repeated for every anchor.
+    """
+    l, a, bb = rgb_to_lab(r, g, b)
+    staged = df.withColumns({"_l": l, "_a": a, "_b": bb})
+    snapped = F.when(F.col("_l").isNotNull(), snap_to_palette(F.col("_l"), F.col("_a"), F.col("_b")))
+    return staged.withColumn(name, snapped).drop("_l", "_a", "_b")
+
+
 def harmony(a: Column, b: Column) -> Column:
     pair = F.array(*[F.lit(v) for v in G.CLASHING])
     return (F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "harmonious")

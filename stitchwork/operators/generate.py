@@ -95,13 +95,22 @@ def score_in_band(draw: Column, tier: Column) -> Column:
     return half_even(low + draw * (high - low), 1)
 
 
+_DRAWS = (["score", "target", "direction", "hair_length", "facial", "makeup", "background", "lighting", "framing", "age",
+           "ethnicity", "build", "face", "upper_pattern", "lower_pattern", "upper_color", "mid_color", "lower_color",
+           "footwear_color", "outfit_hair"]
+          + [f"{s}:{d}" for s in ("upper", "mid", "lower", "footwear") for d in ("band", "item")])
+
+
 def draw_labels(tasks: DataFrame, seed: int) -> DataFrame:
     """Label columns of every task, each drawn from (seed, field, index) only.
 
     The result is the same on any partitioning and after any retry, and a
     row never depends on its neighbours.
     """
-    u = lambda field: uniform(f"{seed}:{field}", F.col("index"))
+    # Every draw is a column first, so the rules below read columns instead of repeating hashes.
+    tasks_in, tasks = tasks, tasks.select("*", *[
+        uniform(f"{seed}:{f}", F.col("index")).alias(f"_u_{f.replace(':', '_')}") for f in _DRAWS])
+    u = lambda field: F.col(f"_u_{field.replace(':', '_')}")
     category, tier = F.col("category"), F.col("tier")
     grooming = category.endswith("Grooming")
     outfit_only = lambda c: F.when(~grooming, c)
@@ -134,12 +143,13 @@ def draw_labels(tasks: DataFrame, seed: int) -> DataFrame:
     worth = lambda c, s: _per_gender(category, lambda g: _pool_value(F.col(c), G.POOLS[(g, s)], 2))
     mean = mean_worn([worth("upper_type", "upper"), F.when(F.col("mid_type") != "none", worth("mid_type", "mid")),
                       worth("lower_type", "lower"), worth("footwear_type", "footwear")])
+    dressed = dressed.withColumn("_mean", F.when(~grooming, mean))
     no_lower = F.col("lower_type") == "none"
     sev, pos = F.col("_sev"), F.col("_pos")
     baggy = F.col("fit_direction") == "baggy"
     text = lambda c: c.cast("string")
     return dressed.select(
-        *[c for c in tasks.columns], "score",
+        *tasks_in.columns, "score",
         grooming_only(sev).alias("hair_untidy"), grooming_only(text(pos)).alias("hair_styled"),
         grooming_only(F.col("_hair")).alias("hair_length"), grooming_only(sev).alias("skin_neglected"),
         grooming_only(text(pos)).alias("skin_healthy"), grooming_only(sev).alias("eyebrows_unkempt"),
@@ -155,7 +165,7 @@ def draw_labels(tasks: DataFrame, seed: int) -> DataFrame:
         "mid_type", "lower_type",
         outfit_only(F.when(no_lower, "none").otherwise(
             weighted(u("lower_pattern"), G.PATTERNS, G.LOWER_PATTERN_WEIGHTS))).alias("lower_pattern"),
-        "footwear_type", outfit_only(formality_tier(mean)).alias("formality"),
+        "footwear_type", outfit_only(formality_tier(F.col("_mean"))).alias("formality"),
         outfit_only(F.when(baggy, sev).otherwise(0)).alias("fit_baggy"),
         outfit_only(F.when(~baggy, sev).otherwise(0)).alias("fit_tight"),
         outfit_only(text(pos)).alias("fit_tailored"), outfit_only(sev).alias("fabric_wrinkled"),
@@ -232,8 +242,14 @@ def render_prompts(labels: DataFrame) -> DataFrame:
     setting = t("Setting: ", lookup(F.col("requested_background"), dict(G.BACKGROUNDS)), ", ",
                 lookup(F.col("requested_lighting"), dict(G.LIGHTING)), ", ",
                 lookup(F.col("requested_framing"), dict(G.FRAMING)), ".")
+    # Phrases become columns before they are joined into prompts.
+    names = list(labels.columns)
+    labels = labels.withColumns({"_identity": identity, "_setting": setting})
+    identity, setting = F.col("_identity"), F.col("_setting")
     severe = tier == "flaw_severe"
     g = grooming_conditions(category, tier, F.col("hair_length"), F.col("facial_hair_style"), F.col("makeup_style"))
+    labels = labels.withColumns({f"_g_{k}": v for k, v in g.items()})
+    g = {k: F.col(f"_g_{k}") for k in g}
     brows = F.when(severe, t(g["eyebrows"], " ", G.EYEBROWS_SEVERE_POSITIVE)).otherwise(g["eyebrows"])
     makeup = F.when(severe & (F.col("makeup_style") != "none"), t(g["makeup"], " ", G.MAKEUP_SEVERE_POSITIVE)).otherwise(
         g["makeup"])
@@ -247,6 +263,10 @@ def render_prompts(labels: DataFrame) -> DataFrame:
 
     phrase = lambda c, s: _per_gender(category, lambda who: _pool_value(F.col(c), G.POOLS[(who, s)], 1))
     o = outfit_conditions(tier, F.col("fit_direction"), F.col("footwear_type"))
+    spoken = {f"_s_{s}": phrase(f"{s}_type", s) for s in ("upper", "mid", "lower", "footwear")}
+    labels = labels.withColumns({**{f"_o_{k}": v for k, v in o.items()}, **spoken})
+    o = {k: F.col(f"_o_{k}") for k in o}
+    phrase = lambda c, s: F.col(f"_s_{s}")
     body = t("body proportions unchanged from their natural ", F.col("identity_build"),
              " figure, not slimmer or heavier than that")
     outfit_prompt = F.concat_ws(
@@ -269,7 +289,7 @@ def render_prompts(labels: DataFrame) -> DataFrame:
         F.when(F.col("facial_hair_style") == "clean_shaven", G.CLEAN_SHAVEN_NEGATIVE),
         F.when((F.col("upper_pattern") == "solid") | (F.col("lower_pattern") == "solid"), G.SOLID_NEGATIVE))
     return labels.select(
-        "*", F.when(category.endswith("Grooming"), grooming_prompt).otherwise(outfit_prompt).alias("prompt"),
+        *names, F.when(category.endswith("Grooming"), grooming_prompt).otherwise(outfit_prompt).alias("prompt"),
         extra.alias("negative_prompt"), lookup(category, G.RESOLUTION).alias("resolution"))
 
 

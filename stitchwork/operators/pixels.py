@@ -8,103 +8,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stitchwork.functions.colour import harmony, rgb_to_lab, sample_name, snap_to_palette
+from stitchwork.functions.colour import harmony, sample_name, with_palette_name
 from stitchwork.functions.text import fixed
+from stitchwork.operators import pixel_kernels
+from stitchwork.operators.pixel_kernels import MEASURES, measure_one
 from stitchwork.rules import garments as G
 
+# Executors receive the kernels with the task, whether or not the package is installed there.
+cloudpickle.register_pickle_by_value(pixel_kernels)
+
 _RGB = ["r", "g", "b"]
-MEASURES = (["laplacian", "brightness", "bottom_std"]
-            + [f"{part}_{c}" for part in ("upper", "lower", "sample") for c in _RGB])
 SCHEMA = ("readable boolean, width int, height int, white_corners boolean, "
           + ", ".join(f"{m} double" for m in MEASURES))
 SAMPLE_RECT = (0.35, 0.45, 0.65, 0.70)
 
 
-def _as_bgr(height: int, width: int, channels: int, data: bytes) -> np.ndarray | None:
-    if height <= 0 or width <= 0 or len(data) < height * width * channels:
-        return None
-    a = np.frombuffer(data, np.uint8, height * width * channels).reshape(height, width, channels)
-    return np.repeat(a, 3, axis=2) if channels == 1 else a[:, :, :3]
-
-
-def _gray(bgr: np.ndarray) -> np.ndarray:
-    b, g, r = (bgr[:, :, i].astype(np.int64) for i in range(3))
-    return (b * 1868 + g * 9617 + r * 4899 + 8192) >> 14
-
-
-def _laplacian_variance(gray: np.ndarray) -> float:
-    mode = "reflect" if min(gray.shape) > 1 else "edge"
-    p = np.pad(gray, 1, mode=mode)
-    return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * gray).var())
-
-
-def _band(image: np.ndarray, band: tuple) -> np.ndarray:
-    h, w = image.shape[:2]
-    x0, y0, x1, y1 = band
-    return image[int(y0 * h):int(y1 * h), int(x0 * w):int(x1 * w)]
-
-
-def _skin(bgr: np.ndarray) -> np.ndarray:
-    b, g, r = (bgr[:, :, i].astype(np.float64) for i in range(3))
-    y = np.rint(0.299 * r + 0.587 * g + 0.114 * b)
-    cr, cb = np.rint((r - y) * 0.713 + 128), np.rint((b - y) * 0.564 + 128)
-    return (cr >= 133) & (cr <= 173) & (cb >= 77) & (cb <= 127)
-
-
-def _dominant(bgr: np.ndarray, band: tuple) -> list[float]:
-    """Centre of the largest of at most three clusters of the band, skin left out where enough remains."""
-    crop = _band(bgr, band)
-    if crop.size == 0:
-        return [None] * 3
-    pixels = crop[~_skin(crop)]
-    if pixels.shape[0] < 50:
-        pixels = crop.reshape(-1, 3)
-    rgb = pixels[:, ::-1].astype(np.float64)
-    k = min(3, max(1, rgb.shape[0] // 20))
-    # Fixed seeds: evenly spaced pixels by brightness, so a rerun gives the same clusters.
-    ranked = rgb[np.argsort(rgb.sum(axis=1), kind="stable")]
-    centers = ranked[(np.arange(k) * 2 + 1) * rgb.shape[0] // (2 * k)]
-    owner = None
-    for _ in range(50):
-        gaps = ((rgb[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
-        nearest = gaps.argmin(axis=1)
-        if owner is not None and (nearest == owner).all():
-            break
-        owner = nearest
-        centers = np.array([rgb[owner == i].mean(axis=0) if (owner == i).any() else centers[i] for i in range(k)])
-    return [float(v) for v in centers[np.bincount(owner, minlength=k).argmax()]]
-
-
-def _measure(height: int, width: int, channels: int, data: bytes) -> dict:
-    image = _as_bgr(height, width, channels, data)
-    if image is None:
-        return {"readable": False, "width": None, "height": None, "white_corners": None,
-                **{m: None for m in MEASURES}}
-    gray = _gray(image)
-    bottom = gray[int(height * 0.92):, :]
-    corners = [image[:8, :8], image[:8, -8:], image[-8:, :8], image[-8:, -8:]]
-    sample = _band(image, SAMPLE_RECT)
-    mean = [float(v) / 255.0 for v in sample.reshape(-1, 3).mean(axis=0)[::-1]] if sample.size else [None] * 3
-    colors = _dominant(image, G.TORSO_BAND) + _dominant(image, G.LEGS_BAND) + mean
-    numbers = [_laplacian_variance(gray), float(gray.mean()), float(bottom.std()) if bottom.size else None] + colors
-    return {"readable": True, "width": width, "height": height,
-            "white_corners": bool(all(c.mean() > 252 for c in corners)), **dict(zip(MEASURES, numbers))}
-
-
 def measure(images: DataFrame, key: str = "filename") -> DataFrame:
     """Measurements per image row with columns key, height, width, nChannels, data.
 
     Keep ``spark.sql.execution.arrow.maxRecordsPerBatch`` small (tens of
     rows) for megapixel images: a batch is decoded pixels.
     """
+    torso, legs, rect = G.TORSO_BAND, G.LEGS_BAND, SAMPLE_RECT
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{key: k, **_measure(int(h), int(w), int(c), d)} for k, h, w, c, d in zip(
+            rows = [{key: k, **measure_one(int(h), int(w), int(c), d, torso, legs, rect)} for k, h, w, c, d in zip(
                 batch[key], batch["height"], batch["width"], batch["nChannels"], batch["data"])]
             yield pd.DataFrame(rows, columns=[key, "readable", "width", "height", "white_corners", *MEASURES])
 
@@ -115,13 +49,11 @@ def measure(images: DataFrame, key: str = "filename") -> DataFrame:
 
 def with_color_names(measured: DataFrame) -> DataFrame:
     """Palette names and the spoken sample name, JVM-side from the measured centres."""
-    def snapped(part: str):
-        r, g, b = (F.col(f"{part}_{c}") for c in _RGB)
-        return F.when(r.isNotNull(), snap_to_palette(*rgb_to_lab(r, g, b)))
-    return measured.withColumns({
-        "measured_upper_color": snapped("upper"), "measured_lower_color": snapped("lower"),
-        "sample_color": F.when(F.col("sample_r").isNotNull(),
-                               sample_name(F.col("sample_r"), F.col("sample_g"), F.col("sample_b")))})
+    out = measured
+    for part in ("upper", "lower"):
+        out = with_palette_name(out, *[F.col(f"{part}_{c}") for c in _RGB], f"measured_{part}_color")
+    r, g, b = (F.col(f"sample_{c}") for c in _RGB)
+    return out.withColumn("sample_color", F.when(r.isNotNull(), sample_name(r, g, b)))
 
 
 def qa_reasons(category, laplacian, brightness, bottom_std):

@@ -234,8 +234,7 @@ SELECT id, name AS color FROM d WHERE rn = 1"""
 
 @query("p17_snap_to_palette", SNAP_SQL)
 def p17(spark, sf):
-    return S.colors(spark, sf).select(
-        "id", colour.snap_to_palette(*colour.rgb_to_lab(c("r"), c("g"), c("b"))).alias("color"))
+    return colour.with_palette_name(S.colors(spark, sf), c("r"), c("g"), c("b"), "color").select("id", "color")
 
 
 @query("p18_sample_color_name", f"""

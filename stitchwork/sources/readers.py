@@ -212,23 +212,28 @@ def listing_urls(pages: DataFrame, page: Column) -> DataFrame:
     return first.select("page", "at.post_pos", "at.url_pos", "url")
 
 
-def normalize_catalog(rows: DataFrame) -> DataFrame:
-    """Catalog input lines (``value``: one JSON value each) as category and subreddit.
+def catalog_columns(value: Column) -> dict[str, Column]:
+    """Category, subreddit, query and limit of one catalog entry (JSON text).
 
     An object uses its own fields with their alternative names, a string
     names the subreddit.
     """
-    j = lambda name: F.get_json_object("value", f"$.{name}")
+    j = lambda name: F.get_json_object(value, f"$.{name}")
     present = lambda c: F.when(c != "", c)
-    is_object = F.col("value").startswith("{")
-    name = F.btrim("value", F.lit('"'))
+    is_object = value.startswith("{")
+    name = F.btrim(value, F.lit('"'))
     bare = F.btrim(F.replace(name, F.lit("r/"), F.lit("")), F.lit("/"))
-    return rows.select(
-        F.when(is_object, F.coalesce(present(j("category")), present(j("folder")), present(j("name")))).otherwise(
-            F.concat(F.lit("reddit_"), bare)).alias("category"),
-        F.when(is_object, F.coalesce(present(j("subreddit")), present(j("target")), present(j("url")))).otherwise(
-            name).alias("subreddit"),
-        F.when(is_object, j("query")).alias("query"), F.when(is_object, j("limit")).cast("int").alias("limit"))
+    return {
+        "category": F.when(is_object, F.coalesce(present(j("category")), present(j("folder")), present(j("name"))))
+        .otherwise(F.concat(F.lit("reddit_"), bare)),
+        "subreddit": F.when(is_object, F.coalesce(present(j("subreddit")), present(j("target")), present(j("url"))))
+        .otherwise(name),
+        "query": F.when(is_object, j("query")), "limit": F.when(is_object, j("limit")).cast("int")}
+
+
+def normalize_catalog(rows: DataFrame) -> DataFrame:
+    """Catalog input lines (``value``: one JSON value each) as catalog rows."""
+    return rows.select(*[v.alias(k) for k, v in catalog_columns(F.col("value")).items()])
 
 
 def normalize_catalog_map(rows: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def request_lines(items: DataFrame, key: Column, content: Column, prompt: Column
                   system: Column | None = None, temperature: float = 0.1) -> DataFrame:
     """Batch-inference request per row as a JSON line."""
     parts = F.array(
-        F.struct(F.struct(F.lit(mime).alias("mime_type"), F.base64(content).alias("data")).alias("inline_data"),
+        F.struct(F.struct(F.lit(mime).alias("mime_type"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")).alias("data")).alias("inline_data"),
                  F.lit(None).cast("string").alias("text")),
         F.struct(F.lit(None).cast("struct<mime_type:string,data:string>").alias("inline_data"), prompt.alias("text")))
     request = [F.array(F.struct(F.lit("user").alias("role"), parts.alias("parts"))).alias("contents")]
