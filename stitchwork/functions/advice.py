@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stitchwork.functions.text import (
@@ -18,83 +18,71 @@ def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-class _Facts:
-    """Sub-expressions shared by both gates."""
-
-    def __init__(self, text: Column, score: Column):
-        self.content = strip(text)
-        self.lower = F.lower(self.content)
-        self.words = word_count(self.content)
-        self.lines = lines(self.content)
-        self.count = F.size(self.lines)
-        bullets = F.filter(self.lines, lambda x: starts_with_any(x, ["- ", "• ", "* "]))
-        self.unbulleted = self.count - F.size(bullets)
-        self.long_lines = F.filter(
-            F.transform(self.lines, lambda x, i: F.struct((i + 1).alias("n"), word_count(x).alias("w"))),
-            lambda s: s["w"] > A.MAX_LINE_WORDS)
-        self.score = score
-        self.opener = _text("meta-chatter opener: '", F.substring(self.content, 1, 30), "...'")
-        self.banned = F.regexp_extract(self.content, _BANNED, 1)
-        self.unobservable = F.regexp_extract(self.content, _UNOBSERVABLE, 1)
-        self.chatter = starts_with_any(self.lower, A.CHATTER_OPENERS)
-
-    def line_reason(self, s: Column) -> Column:
-        return _text("line ", s["n"].cast("string"), " too long (", s["w"].cast("string"), " words, need <= 15)")
-
-    def short(self) -> Column:
-        return F.when(self.words < A.MIN_WORDS, _text("too short (", self.words.cast("string"),
-                                                      f" words, need >= {A.MIN_WORDS})"))
-
-    def long(self) -> Column:
-        return F.when(self.words > A.MAX_WORDS, _text("too long (", self.words.cast("string"),
-                                                      f" words, need <= {A.MAX_WORDS})"))
-
-    def plain(self) -> Column:
-        return F.when(self.unbulleted != 0, _text("non-checklist format (", self.unbulleted.cast("string"),
-                                                  " lines lack bullet prefix)"))
-
-    def adaptive(self, low_label: str) -> Column:
-        got = self.count.cast("string")
-        return (F.when((self.score >= 9.0) & (self.count > 3),
-                       _text("high score (", fixed(self.score, 1), ") should have 2-3 polish tips, got ", got))
-                .when((self.score < 9.0) & (self.count < 3),
-                      _text(f"{low_label} score (", fixed(self.score, 1), ") should have 3-5 fixes, got ", got)))
-
-
-def review_reasons(text: Column, score: Column) -> Column:
-    """Every reason an answer fails, plus the soft verb warning at the end."""
-    f = _Facts(F.coalesce(text, F.lit("")), score)
-    single = lambda c: F.array_compact(F.array(c))
+def _stage(df: DataFrame, text: Column, score: Column) -> DataFrame:
+    """Shared facts of an answer as columns, so every rule below reads them instead of recomputing them."""
+    content = strip(F.coalesce(text, F.lit("")))
+    one = df.withColumns({"_content": content, "_missing": text.isNull(), "_score": score})
+    two = one.withColumns({"_low": F.lower("_content"), "_lines": lines("_content"), "_wc": word_count("_content"),
+                           "_banned": F.regexp_extract("_content", _BANNED, 1),
+                           "_unobs": F.regexp_extract("_content", _UNOBSERVABLE, 1)})
+    numbered = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("n"), word_count(x).alias("w"),
+                                                           starts_with_any(x, ["- ", "• ", "* "]).alias("b")))
+    three = two.withColumns({"_lines": numbered, "_chatter": starts_with_any(F.col("_low"), A.CHATTER_OPENERS)})
+    return three.withColumns({"_n": F.size("_lines"), "_bare": F.size(F.filter("_lines", lambda s: ~s["b"])),
+                              "_long": F.filter("_lines", lambda s: s["w"] > A.MAX_LINE_WORDS)})
+
+
+def _rules(low_label: str) -> dict[str, Column]:
+    c = F.col
+    n, wc = c("_n").cast("string"), c("_wc").cast("string")
+    return {
+        "short": F.when(c("_wc") < A.MIN_WORDS, _text("too short (", wc, f" words, need >= {A.MIN_WORDS})")),
+        "long": F.when(c("_wc") > A.MAX_WORDS, _text("too long (", wc, f" words, need <= {A.MAX_WORDS})")),
+        "opener": F.when(c("_chatter"), _text("meta-chatter opener: '", F.substring("_content", 1, 30), "...'")),
+        "plain": F.when(c("_bare") != 0, _text("non-checklist format (", c("_bare").cast("string"),
+                                               " lines lack bullet prefix)")),
+        "adaptive": F.when((c("_score") >= 9.0) & (c("_n") > 3),
+                           _text("high score (", fixed(c("_score"), 1), ") should have 2-3 polish tips, got ", n))
+        .when((c("_score") < 9.0) & (c("_n") < 3),
+              _text(f"{low_label} score (", fixed(c("_score"), 1), ") should have 3-5 fixes, got ", n))}
+
+
+def _line_reason(s: Column) -> Column:
+    return _text("line ", s["n"].cast("string"), " too long (", s["w"].cast("string"), " words, need <= 15)")
+
+
+def review(df: DataFrame, text: Column, score: Column) -> DataFrame:
+    """Add ``reasons`` (every reason, the soft verb warning last) and ``passed`` (no hard reason)."""
+    staged, r, c = _stage(df, text, score), _rules("low/average"), F.col
+    n = c("_n").cast("string")
     hard = F.concat(
-        single(f.short()), single(f.long()), single(F.when(f.chatter, f.opener)),
-        single(F.when(f.banned != "", _text("banned genetics/body-shape phrase: '", f.banned, "'"))),
-        single(F.when(f.unobservable != "", _text("unobservable item mentioned: '", f.unobservable, "'"))),
-        single(f.plain()),
-        single(F.when(f.count < 2, _text("too few checklist items (", f.count.cast("string"), ", need >= 2)"))
-               .when(f.count > 5, _text("too many checklist items (", f.count.cast("string"), ", need <= 5)"))),
-        F.transform(f.long_lines, f.line_reason), single(f.adaptive("low/average")))
-    warn = single(F.when(~contains_any(f.lower, A.ACTION_VERBS), A.NO_VERB_WARNING))
-    return (F.when(text.isNull(), F.array(F.lit("no assistant message found")))
-            .when(f.content == "", F.array(F.lit("empty assistant response"))).otherwise(F.concat(hard, warn)))
-
-
-def review_passes(reasons: Column) -> Column:
-    """Only hard reasons fail an answer."""
-    return F.size(F.filter(reasons, lambda r: r != A.NO_VERB_WARNING)) == 0
-
-
-def first_reason(text: Column, score: Column) -> Column:
-    """First failing reason at generation time, null when accepted."""
-    f = _Facts(F.coalesce(text, F.lit("")), score)
-    return F.coalesce(
-        F.when(f.content == "", "empty response"), F.when(f.chatter, f.opener),
-        F.when(f.banned != "", _text("forbidden genetics/body-shape phrase: '", f.banned, "'")),
-        F.when(f.unobservable != "", _text("unobservable item mentioned: '", f.unobservable, "'")),
-        f.short(), f.long(), f.plain(),
-        F.when((f.count < 2) | (f.count > 5),
-               _text("bullet count out of range (", f.count.cast("string"), " lines, need 2-5)")),
-        F.when(F.size(f.long_lines) > 0, f.line_reason(F.try_element_at(f.long_lines, F.lit(1)))),
-        f.adaptive("lower"))
+        F.array_compact(F.array(
+            r["short"], r["long"], r["opener"],
+            F.when(c("_banned") != "", _text("banned genetics/body-shape phrase: '", c("_banned"), "'")),
+            F.when(c("_unobs") != "", _text("unobservable item mentioned: '", c("_unobs"), "'")), r["plain"],
+            F.when(c("_n") < 2, _text("too few checklist items (", n, ", need >= 2)"))
+            .when(c("_n") > 5, _text("too many checklist items (", n, ", need <= 5)")))),
+        F.transform("_long", _line_reason), F.array_compact(F.array(r["adaptive"])))
+    hard = (F.when(c("_missing"), F.array(F.lit("no assistant message found")))
+            .when(c("_content") == "", F.array(F.lit("empty assistant response"))).otherwise(hard))
+    warn = F.when(~c("_missing") & (c("_content") != "") & ~contains_any("_low", A.ACTION_VERBS),
+                  F.array(F.lit(A.NO_VERB_WARNING))).otherwise(F.array().cast("array<string>"))
+    checked = staged.withColumns({"_hard": hard, "_warn": warn})
+    return checked.select(*df.columns, F.concat("_hard", "_warn").alias("reasons"), (F.size("_hard") == 0).alias("passed"))
+
+
+def first_failure(df: DataFrame, text: Column, score: Column, name: str = "reason") -> DataFrame:
+    """Add the first failing reason at generation time, null when accepted."""
+    staged, r, c = _stage(df, text, score), _rules("lower"), F.col
+    reason = F.coalesce(
+        F.when(c("_content") == "", "empty response"), r["opener"],
+        F.when(c("_banned") != "", _text("forbidden genetics/body-shape phrase: '", c("_banned"), "'")),
+        F.when(c("_unobs") != "", _text("unobservable item mentioned: '", c("_unobs"), "'")),
+        r["short"], r["long"], r["plain"],
+        F.when((c("_n") < 2) | (c("_n") > 5),
+               _text("bullet count out of range (", c("_n").cast("string"), " lines, need 2-5)")),
+        F.when(F.size("_long") > 0, _line_reason(F.try_element_at("_long", F.lit(1)))), r["adaptive"])
+    return staged.select(*df.columns, reason.alias(name))
 
 
 def canonical_occasion(raw: Column, variant: str = "script") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,23 +17,29 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
 
 
-def landmark_signature(left_eye: Column, right_eye: Column, nose: Column, lips: Column, contour: Column,
-                       box_width: Column, box_height: Column) -> Column:
-    """Six ratios over the eye distance; null when the eyes coincide or a part is missing."""
-    le, re, n, m = centroid(left_eye), centroid(right_eye), centroid(nose), centroid(lips)
-    eyes = distance(le, re)
-    middle = F.struct(((le["x"] + re["x"]) / 2).alias("x"), ((le["y"] + re["y"]) / 2).alias("y"))
-    xs = F.transform(lips, lambda p: p["x"])
-    outline = F.coalesce(F.size(contour), F.lit(0)) > 0
+def landmark_signature(df: DataFrame, name: str = "signature") -> DataFrame:
+    """Six ratios over the eye distance; null when the eyes coincide or a part is missing.
+
+    Input: left_eye, right_eye, nose, lips, contour (arrays of x, y), box_width, box_height.
+    """
+    centers = df.withColumns({f"_{p}": centroid(F.col(p)) for p in ("left_eye", "right_eye", "nose", "lips")})
+    le, re, n, m = (F.col(f"_{p}") for p in ("left_eye", "right_eye", "nose", "lips"))
+    staged = centers.withColumns({
+        "_eyes": distance(le, re),
+        "_middle": F.struct(((le["x"] + re["x"]) / 2).alias("x"), ((le["y"] + re["y"]) / 2).alias("y")),
+        "_xs": F.transform("lips", lambda p: p["x"]), "_outline": F.coalesce(F.size("contour"), F.lit(0)) > 0})
+    eyes, middle, contour = F.col("_eyes"), F.col("_middle"), F.col("contour")
     first, last = F.try_element_at(contour, F.lit(1)), F.try_element_at(contour, F.lit(-1))
+    part = lambda c: F.try_divide(c, eyes)
     ratios = F.array(
-        distance(middle, n) / eyes, distance(middle, m) / eyes,
-        F.when(outline, distance(n, last) / eyes).otherwise(1.2),
-        (F.array_max(xs) - F.array_min(xs)) / eyes,
-        F.when(outline, distance(first, last) / eyes).otherwise(2.0),
-        box_height / F.greatest(F.lit(0.01), box_width))
-    complete = left_eye.isNotNull() & right_eye.isNotNull() & nose.isNotNull() & lips.isNotNull()
-    return F.when(complete & (eyes > 0.01), ratios)
+        part(distance(middle, n)), part(distance(middle, m)),
+        F.when(F.col("_outline"), part(distance(n, last))).otherwise(1.2),
+        part(F.array_max("_xs") - F.array_min("_xs")),
+        F.when(F.col("_outline"), part(distance(first, last))).otherwise(2.0),
+        F.col("box_height") / F.greatest(F.lit(0.01), F.col("box_width")))
+    complete = (F.col("left_eye").isNotNull() & F.col("right_eye").isNotNull() & F.col("nose").isNotNull()
+                & F.col("lips").isNotNull())
+    return staged.select(*df.columns, F.when(complete & (eyes > 0.01), ratios).alias(name))
 
 
 def square_crop(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column,

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stitchwork.functions.text import contains_any, has_word, literals
 from stitchwork.rules import photos as P
 
 
-def classify_description(description: Column) -> Column:
-    """Portrait class of a description, null for low quality text."""
-    t = F.lower(description)
-    flag = {name: has_word(t, words) for name, words in P.DESCRIPTION_FLAGS.items()}
-    old = flag["gray"] | contains_any(t, ["senior", "elderly"])
+def classify_descriptions(df: DataFrame, description: str, name: str = "category") -> DataFrame:
+    """Add the portrait class of a description, null for low quality text.
+
+    The lower-cased text and each word flag are columns of their own, so a
+    row evaluates every pattern once.
+    """
+    t = F.col("_t")
+    flags = {f"_{n}": has_word(t, words) for n, words in P.DESCRIPTION_FLAGS.items()}
+    staged = df.withColumn("_t", F.lower(description)).withColumns(
+        {**flags, "_elder": contains_any("_t", ["senior", "elderly"])})
+    flag = {n: F.col(f"_{n}") for n in P.DESCRIPTION_FLAGS}
+    old = flag["gray"] | F.col("_elder")
     men = (F.when(old, "face_men_o50_distinguished")
            .when(flag["mature"], F.when(flag["beard"], "face_men_35_50_beard")
                  .when(flag["bald"], "face_men_35_50_balding").when(flag["formal"], "face_men_35_50_formal")
@@ -29,10 +36,11 @@ def classify_description(description: Column) -> Column:
              .when(flag["styled"] & flag["formal"], "face_women_u35_formal")
              .when(flag["styled"], "face_women_u35_hair_styled")
              .when(flag["smile"], "face_women_u35_smile_natural").otherwise("face_women_u35_portrait_neutral"))
-    return (F.when(contains_any(t, P.LOW_QUALITY_PHRASES), None)
-            .when(flag["male"] & ~flag["female"], men).when(flag["female"] & ~flag["male"], women)
-            .when(flag["glasses"], "face_portrait_eyeglasses").when(flag["formal"], "face_portrait_formal")
-            .otherwise("face_portrait_general"))
+    category = (F.when(contains_any("_t", P.LOW_QUALITY_PHRASES), None)
+                .when(flag["male"] & ~flag["female"], men).when(flag["female"] & ~flag["male"], women)
+                .when(flag["glasses"], "face_portrait_eyeglasses").when(flag["formal"], "face_portrait_formal")
+                .otherwise("face_portrait_general"))
+    return staged.select(*df.columns, category.alias(name))
 
 
 def coded_demographic(age: Column, gender: Column) -> Column:
@@ -48,43 +56,49 @@ def code_name(code: Column, names: list[str]) -> Column:
     return F.when(inside, F.try_element_at(literals(names), (code + 1).cast("int"))).otherwise(code.cast("string"))
 
 
-def _shared(keywords: Column, terms: list[str]) -> Column:
-    return F.size(F.array_intersect(keywords, literals(terms)))
+def _shared(terms: list[str]) -> Column:
+    return F.size(F.array_intersect("keywords", literals(terms)))
 
 
-def photo_facts(description: Column, keywords: Column, aspect: Column, width: Column, height: Column) -> dict:
-    """Relevance facts of one photo; ``category`` is null where the photo is rejected.
+def photo_facts(photos: DataFrame) -> DataFrame:
+    """Relevance facts per photo; ``category`` is null where the photo is rejected.
 
-    ``keywords`` is a distinct lower-case array.
+    Input: description, keywords (distinct lower-case array), aspect, width,
+    height. Counts and text tests become columns first, so each scans the
+    text once.
     """
-    d = F.lower(description)
-    every = P.MALE_TERMS + P.FEMALE_TERMS + P.FACE_TERMS + P.FASHION_TERMS + P.POSTURE_TERMS
-    negatives, positives = _shared(keywords, P.EXCLUDED_TERMS), _shared(keywords, sorted(set(every)))
-    face, fashion, posture = (_shared(keywords, t) for t in (P.FACE_TERMS, P.FASHION_TERMS, P.POSTURE_TERMS))
-    face_text, fashion_text, posture_text = (
-        contains_any(d, t) for t in (P.FACE_PHRASES, P.FASHION_PHRASES, P.POSTURE_PHRASES))
-    is_male = (_shared(keywords, P.MALE_TERMS) > 0) | contains_any(d, P.MALE_PHRASES)
-    is_female = (_shared(keywords, P.FEMALE_TERMS) > 0) | contains_any(d, P.FEMALE_PHRASES)
-    is_face, is_fashion, is_posture = (face > 0) | face_text, (fashion > 0) | fashion_text, (posture > 0) | posture_text
-    human = (_shared(keywords, P.HUMAN_TERMS) > 0) | contains_any(d, P.HUMAN_PHRASES)
-    ratio = F.coalesce(F.when(~F.isnan(aspect), aspect), F.lit(1.0))
-    small = (F.coalesce(width, F.lit(0)) != 0) & (F.coalesce(height, F.lit(0)) != 0) & (
-        (width < P.PHOTO_MIN_EDGE) | (height < P.PHOTO_MIN_EDGE))
-    rejected = (contains_any(d, P.NEGATIVE_PHRASES)
-                | ((negatives > 0) & ((negatives >= 2) | (positives == 0))) | ~human
-                | (ratio < P.PHOTO_ASPECT_RANGE[0]) | (ratio > P.PHOTO_ASPECT_RANGE[1]) | small
-                | ~(is_face | is_fashion | is_posture))
+    c = F.col
+    every = sorted(set(P.MALE_TERMS + P.FEMALE_TERMS + P.FACE_TERMS + P.FASHION_TERMS + P.POSTURE_TERMS))
+    counted = photos.withColumn("_d", F.lower("description")).withColumns({
+        "_neg": _shared(P.EXCLUDED_TERMS), "_pos": _shared(every), "_nf": _shared(P.FACE_TERMS),
+        "_ns": _shared(P.FASHION_TERMS), "_np": _shared(P.POSTURE_TERMS), "_nm": _shared(P.MALE_TERMS),
+        "_nw": _shared(P.FEMALE_TERMS), "_nh": _shared(P.HUMAN_TERMS),
+        "_tf": contains_any("_d", P.FACE_PHRASES), "_ts": contains_any("_d", P.FASHION_PHRASES),
+        "_tp": contains_any("_d", P.POSTURE_PHRASES)})
+    facts = counted.withColumns({
+        "is_male": (c("_nm") > 0) | contains_any("_d", P.MALE_PHRASES),
+        "is_female": (c("_nw") > 0) | contains_any("_d", P.FEMALE_PHRASES),
+        "is_face": (c("_nf") > 0) | c("_tf"), "is_fashion": (c("_ns") > 0) | c("_ts"),
+        "is_posture": (c("_np") > 0) | c("_tp"),
+        "aspect_ratio": F.coalesce(F.when(~F.isnan("aspect"), c("aspect")), F.lit(1.0))})
+    human = (c("_nh") > 0) | contains_any("_d", P.HUMAN_PHRASES)
+    small = (F.coalesce("width", F.lit(0)) != 0) & (F.coalesce("height", F.lit(0)) != 0) & (
+        (c("width") < P.PHOTO_MIN_EDGE) | (c("height") < P.PHOTO_MIN_EDGE))
+    # Cheap numeric gates come before the text scans.
+    rejected = ((c("aspect_ratio") < P.PHOTO_ASPECT_RANGE[0]) | (c("aspect_ratio") > P.PHOTO_ASPECT_RANGE[1]) | small
+                | ((c("_neg") > 0) & ((c("_neg") >= 2) | (c("_pos") == 0)))
+                | ~(c("is_face") | c("is_fashion") | c("is_posture")) | ~human | contains_any("_d", P.NEGATIVE_PHRASES))
 
     def gendered(who: str) -> Column:
-        return (F.when(is_fashion & ~is_face, f"unsplash_{who}_fashion")
-                .when(is_face & ~is_fashion, f"unsplash_{who}_grooming")
-                .when(fashion >= face, f"unsplash_{who}_fashion").otherwise(f"unsplash_{who}_grooming"))
+        return (F.when(c("is_fashion") & ~c("is_face"), f"unsplash_{who}_fashion")
+                .when(c("is_face") & ~c("is_fashion"), f"unsplash_{who}_grooming")
+                .when(c("_ns") >= c("_nf"), f"unsplash_{who}_fashion").otherwise(f"unsplash_{who}_grooming"))
 
-    category = (F.when(is_male & ~is_female, gendered("men")).when(is_female & ~is_male, gendered("women"))
-                .when(is_face, "unsplash_face_grooming").when(is_posture, "unsplash_posture_and_fit")
+    category = (F.when(c("is_male") & ~c("is_female"), gendered("men"))
+                .when(c("is_female") & ~c("is_male"), gendered("women"))
+                .when(c("is_face"), "unsplash_face_grooming").when(c("is_posture"), "unsplash_posture_and_fit")
                 .otherwise("unsplash_general_fashion"))
-    score = (face * 2 + fashion * 2 + posture + F.when(fashion_text, 3).otherwise(0)
-             + F.when(face_text, 3).otherwise(0) + F.when(is_male | is_female, 1).otherwise(0))
-    return {"category": F.when(~rejected, category), "relevance_score": score, "is_male": is_male,
-            "is_female": is_female, "is_face": is_face, "is_fashion": is_fashion, "is_posture": is_posture,
-            "aspect_ratio": ratio}
+    score = (c("_nf") * 2 + c("_ns") * 2 + c("_np") + F.when(c("_ts"), 3).otherwise(0)
+             + F.when(c("_tf"), 3).otherwise(0) + F.when(c("is_male") | c("is_female"), 1).otherwise(0))
+    return facts.select(*photos.columns, F.when(~rejected, category).alias("category"), score.alias("relevance_score"),
+                        "is_male", "is_female", "is_face", "is_fashion", "is_posture", "aspect_ratio")

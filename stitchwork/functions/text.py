@@ -44,8 +44,33 @@ def any_of(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, parts)
 
 
-def contains_any(c: Column, needles: list[str]) -> Column:
-    """Substring test against a short literal list."""
+def sql_value(value) -> str:
+    """A Python value as a SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+# Long literal lists go to Spark as one SQL expression: one call instead of one per entry.
+
+def literals(values: list) -> Column:
+    return F.expr("array(" + ", ".join(sql_value(v) for v in values) + ")")
+
+
+def literal_map(mapping: dict) -> Column:
+    return F.expr("map(" + ", ".join(f"{sql_value(k)}, {sql_value(v)}" for k, v in mapping.items()) + ")")
+
+
+def contains_any(c: Column | str, needles: list[str]) -> Column:
+    """Substring test against a short literal list; a column name is the cheaper form to build."""
+    if isinstance(c, str):
+        return F.expr(" OR ".join(f"contains({c}, {sql_value(n)})" for n in needles))
     return any_of([c.contains(n) for n in needles])
 
 
@@ -58,17 +83,17 @@ def has_word(c: Column, alternatives: str) -> Column:
     return c.rlike(f"(?U)\\b(?:{alternatives})\\b")
 
 
-def literals(values: list) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def pick(values: list, index: Column) -> Column:
     """values[index mod len], zero-based."""
     return F.element_at(literals(values), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 
-def first_rule(c: Column, rules: list[tuple], default) -> Column:
+def first_rule(c: Column | str, rules: list[tuple], default) -> Column:
     """The target of the first rule with a keyword inside ``c``."""
+    if isinstance(c, str):
+        cases = " ".join("WHEN " + " OR ".join(f"contains({c}, {sql_value(k)})" for k in keywords)
+                         + f" THEN {sql_value(target)}" for target, keywords in rules)
+        return F.expr(f"CASE {cases} ELSE {sql_value(default)} END")
     out = None
     for target, keywords in rules:
         hit = contains_any(c, keywords)
@@ -77,21 +102,19 @@ def first_rule(c: Column, rules: list[tuple], default) -> Column:
 
 
 def lookup(c: Column, mapping: dict, otherwise: Column | None = None) -> Column:
-    """Literal mapping as a ``when`` chain; unmapped values give ``otherwise``."""
-    out = None
-    for key, value in mapping.items():
-        value = value if isinstance(value, Column) else F.lit(value)
-        out = F.when(c == key, value) if out is None else out.when(c == key, value)
-    return out if otherwise is None else out.otherwise(otherwise)
+    """Literal mapping; unmapped values give ``otherwise``."""
+    if any(isinstance(v, Column) for v in mapping.values()):
+        out = None
+        for key, value in mapping.items():
+            out = F.when(c == key, value) if out is None else out.when(c == key, value)
+        return out if otherwise is None else out.otherwise(otherwise)
+    found = F.try_element_at(literal_map(mapping), c)
+    return found if otherwise is None else F.coalesce(found, otherwise)
 
 
 def synonyms(c: Column, table: dict[str, list[str]], otherwise: Column) -> Column:
-    """canonical -> spellings, as a ``when`` chain."""
-    out = None
-    for canonical, spellings in table.items():
-        hit = c.isin(spellings)
-        out = F.when(hit, F.lit(canonical)) if out is None else out.when(hit, F.lit(canonical))
-    return out.otherwise(otherwise)
+    """canonical -> spellings, as one literal map from spelling to canonical."""
+    return F.coalesce(F.try_element_at(literal_map({s: k for k, ss in table.items() for s in ss}), c), otherwise)
 
 
 def half_even(c: Column, digits: int) -> Column:
@@ -127,16 +150,24 @@ def uniform(seed: int | str, *keys: Column) -> Column:
     return F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(1 << 53))
 
 
-def weighted(draw: Column, options: list, weights: list[float]) -> Column:
-    """Option whose cumulative weight first exceeds the draw."""
-    total, running, out = float(sum(weights)), 0.0, None
+def sql_weighted(draw: str, options: list, weights: list[float]) -> str:
+    """Option whose cumulative weight first exceeds the draw (SQL text)."""
+    total, running, cases = float(sum(weights)), 0.0, ""
     for option, weight in list(zip(options, weights))[:-1]:
         running += weight
-        hit = draw < running / total
-        out = F.when(hit, F.lit(option)) if out is None else out.when(hit, F.lit(option))
-    return F.lit(options[-1]) if out is None else out.otherwise(F.lit(options[-1]))
+        cases += f" WHEN {draw} < {running / total!r}D THEN {sql_value(option)}"
+    return f"CASE{cases} ELSE {sql_value(options[-1])} END" if cases else sql_value(options[-1])
+
+
+def sql_choose(draw: str, options: list) -> str:
+    """Uniform choice by a draw in [0, 1) (SQL text)."""
+    values = ", ".join(sql_value(o) for o in options)
+    return f"element_at(array({values}), CAST(floor({draw} * {len(options)}) AS INT) + 1)"
+
+
+def weighted(draw: str, options: list, weights: list[float]) -> Column:
+    return F.expr(sql_weighted(draw, options, weights))
 
 
-def choose(draw: Column, options: list) -> Column:
-    """Uniform choice by a draw in [0, 1)."""
-    return F.element_at(literals(options), (F.floor(draw * len(options)) + 1).cast("int"))
+def choose(draw: str, options: list) -> Column:
+    return F.expr(sql_choose(draw, options))

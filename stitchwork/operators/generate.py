@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from stitchwork.functions.labels import (
     formality_tier, mean_worn, pooled_tier_counts, positive, severity, task_filename)
-from stitchwork.functions.text import choose, half_even, literals, lookup, uniform, weighted
+from stitchwork.functions.text import (
+    choose, half_even, literals, lookup, sql_choose, sql_value, sql_weighted, uniform, weighted)
 from stitchwork.rules import advice as A
 from stitchwork.rules import garments as G
 
@@ -56,26 +57,23 @@ def plan_from_counts(counts: DataFrame, category: str, total: str) -> DataFrame:
         F.col("from"), F.least(last, F.col("from") + _CHUNK - 1))).alias("index"))
 
 
-def _pool_pick(draw_band: Column, draw_item: Column, target: Column, pool: list[tuple]) -> Column:
+def _sql_pool_pick(draw_band: str, draw_item: str, target: str, pool: list[tuple]) -> str:
     """75 % within one formality step of the target (exact hits weigh 3:1), else the whole pool."""
-    out = None
+    cases = ""
     for level in range(4):
-        band = [(n, 3 if f == level else 1) for n, _, f in pool if level - 1 <= f <= level + 1]
-        picked = weighted(draw_item, [n for n, _ in band], [float(w) for _, w in band])
-        out = F.when(target == level, picked) if out is None else out.when(target == level, picked)
-    return F.when(draw_band < 0.75, out).otherwise(choose(draw_item, [n for n, _, _ in pool]))
+        band = [(n, 3.0 if f == level else 1.0) for n, _, f in pool if level - 1 <= f <= level + 1]
+        cases += f" WHEN {level} THEN {sql_weighted(draw_item, [n for n, _ in band], [w for _, w in band])}"
+    return (f"CASE WHEN {draw_band} < 0.75D THEN CASE {target}{cases} END "
+            f"ELSE {sql_choose(draw_item, [n for n, _, _ in pool])} END")
 
 
 def _pool_value(item: Column, pool: list[tuple], which: int) -> Column:
     return lookup(item, {entry[0]: entry[which] for entry in pool})
 
 
-def _color_pick(draw: Column, garment: Column) -> Column:
-    out = None
-    for name, allowed in G.GARMENT_COLORS.items():
-        hit = garment == name
-        out = F.when(hit, choose(draw, allowed)) if out is None else out.when(hit, choose(draw, allowed))
-    return out.otherwise(choose(draw, list(G.PALETTE)))
+def _color_pick(draw: str, garment: str) -> Column:
+    cases = "".join(f" WHEN {sql_value(n)} THEN {sql_choose(draw, allowed)}" for n, allowed in G.GARMENT_COLORS.items())
+    return F.expr(f"CASE {garment}{cases} ELSE {sql_choose(draw, list(G.PALETTE))} END")
 
 
 def _per_gender(category: Column, build) -> Column:
@@ -83,10 +81,9 @@ def _per_gender(category: Column, build) -> Column:
     return F.when(women, build("woman")).otherwise(build("man"))
 
 
-def _keyed_choice(draw: Column, pairs: list[tuple]) -> Column:
-    """Struct (key, phrase) chosen uniformly."""
-    options = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(p).alias("phrase")) for k, p in pairs])
-    return F.element_at(options, (F.floor(draw * len(pairs)) + 1).cast("int"))
+def _keyed_choice(draw: str, pairs: list[tuple]) -> Column:
+    """Key chosen uniformly."""
+    return choose(draw, [k for k, _ in pairs])
 
 
 def score_in_band(draw: Column, tier: Column) -> Column:
@@ -110,7 +107,7 @@ def draw_labels(tasks: DataFrame, seed: int) -> DataFrame:
     # Every draw is a column first, so the rules below read columns instead of repeating hashes.
     tasks_in, tasks = tasks, tasks.select("*", *[
         uniform(f"{seed}:{f}", F.col("index")).alias(f"_u_{f.replace(':', '_')}") for f in _DRAWS])
-    u = lambda field: F.col(f"_u_{field.replace(':', '_')}")
+    u = lambda field: f"_u_{field.replace(':', '_')}"
     category, tier = F.col("category"), F.col("tier")
     grooming = category.endswith("Grooming")
     outfit_only = lambda c: F.when(~grooming, c)
@@ -119,10 +116,10 @@ def draw_labels(tasks: DataFrame, seed: int) -> DataFrame:
     women = grooming & category.startswith("Women")
 
     staged = tasks.select(
-        "*", score_in_band(u("score"), tier).alias("score"),
+        "*", score_in_band(F.col(u("score")), tier).alias("score"),
         severity(tier).alias("_sev"), positive(tier).alias("_pos"),
-        F.floor(u("target") * 4).cast("int").alias("_target"),
-        F.when(u("direction") < 0.5, "baggy").otherwise("tight").alias("fit_direction"),
+        F.floor(F.col(u("target")) * 4).cast("int").alias("_target"),
+        F.when(F.col(u("direction")) < 0.5, "baggy").otherwise("tight").alias("fit_direction"),
         choose(u("hair_length"), G.HAIR_LENGTHS).alias("_hair"),
         choose(u("facial"), G.FACIAL_HAIR_STYLES).alias("_facial"), choose(u("makeup"), G.MAKEUP_STYLES).alias("_makeup"),
         _keyed_choice(u("background"), G.BACKGROUNDS).alias("_background"),
@@ -132,8 +129,8 @@ def draw_labels(tasks: DataFrame, seed: int) -> DataFrame:
         choose(u("ethnicity"), G.IDENTITY["ethnicity"]).alias("identity_ethnicity"),
         _per_gender(category, lambda g: choose(u("build"), G.BUILDS[g])).alias("identity_build"),
         _per_gender(category, lambda g: choose(u("face"), G.FACE_SHAPES[g])).alias("identity_face"))
-    slot = lambda s: _per_gender(category, lambda g: _pool_pick(
-        u(f"{s}:band"), u(f"{s}:item"), F.col("_target"), G.POOLS[(g, s)]))
+    slot = lambda s: _per_gender(category, lambda g: F.expr(_sql_pool_pick(
+        u(f"{s}:band"), u(f"{s}:item"), "_target", G.POOLS[(g, s)])))
     dressed = staged.select(
         "*", outfit_only(slot("upper")).alias("upper_type"), outfit_only(slot("mid")).alias("mid_type"),
         outfit_only(slot("lower")).alias("_lower"), outfit_only(slot("footwear")).alias("footwear_type"))
@@ -172,14 +169,14 @@ def draw_labels(tasks: DataFrame, seed: int) -> DataFrame:
         outfit_only(text(pos)).alias("fabric_crisp"), outfit_only(sev).alias("footwear_worn"),
         outfit_only(text(pos)).alias("footwear_polished"), outfit_only(sev).alias("styling_sloppy"),
         outfit_only(text(pos)).alias("styling_sharp"),
-        outfit_only(_color_pick(u("upper_color"), F.col("upper_type"))).alias("requested_upper_color"),
+        outfit_only(_color_pick(u("upper_color"), "upper_type")).alias("requested_upper_color"),
         outfit_only(F.when(F.col("mid_type") == "none", "none").otherwise(
-            _color_pick(u("mid_color"), F.col("mid_type")))).alias("requested_mid_color"),
+            _color_pick(u("mid_color"), "mid_type"))).alias("requested_mid_color"),
         outfit_only(F.when(no_lower, "none").otherwise(
-            _color_pick(u("lower_color"), F.col("lower_type")))).alias("requested_lower_color"),
-        outfit_only(_color_pick(u("footwear_color"), F.col("footwear_type"))).alias("requested_footwear_color"),
-        F.col("_background.key").alias("requested_background"), F.col("_lighting.key").alias("requested_lighting"),
-        F.col("_framing.key").alias("requested_framing"),
+            _color_pick(u("lower_color"), "lower_type"))).alias("requested_lower_color"),
+        outfit_only(_color_pick(u("footwear_color"), "footwear_type")).alias("requested_footwear_color"),
+        F.col("_background").alias("requested_background"), F.col("_lighting").alias("requested_lighting"),
+        F.col("_framing").alias("requested_framing"),
         outfit_only(choose(u("outfit_hair"), G.OUTFIT_HAIR)).alias("requested_hair_desc"),
         F.when(~grooming, F.col("fit_direction")).alias("fit_direction"),
         "identity_age", "identity_ethnicity", "identity_build", "identity_face")
@@ -297,18 +294,24 @@ def render_prompts(labels: DataFrame) -> DataFrame:
 
 def advice_contexts(rows: DataFrame, index: Column, seed: int) -> DataFrame:
     """Sixteen strata in rotation (tier outer, category inner) with tier-dependent signals."""
-    u = lambda field: uniform(f"{seed}:{field}", index)
     combos = [(c, t) for t in G.TIERS for c in G.CATEGORIES]
     at = (F.pmod(index, F.lit(len(combos))) + 1).cast("int")
-    category = F.element_at(literals([c for c, _ in combos]), at)
-    tier = F.element_at(literals([t for _, t in combos]), at)
-    signal = lambda table, draw: lookup(tier, {t: weighted(draw, [v for v, _ in o], [w for _, w in o])
-                                               for t, o in table.items()})
-    return rows.select(
-        "*", category.alias("category"), tier.alias("tier"), choose(u("occasion"), A.OCCASIONS).alias("occasion"),
-        signal(A.POSTURE_WEIGHTS, u("posture")).alias("posture"),
-        weighted(u("lighting"), [v for v, _ in A.LIGHTING_WEIGHTS], [w for _, w in A.LIGHTING_WEIGHTS]).alias("lighting"),
-        F.when(category.endswith("Outfit"), signal(A.HARMONY_WEIGHTS, u("harmony"))).alias("color_harmony"))
+    draws = ["occasion", "posture", "lighting", "harmony"]
+    staged = rows.select(
+        "*", F.element_at(literals([c for c, _ in combos]), at).alias("category"),
+        F.element_at(literals([t for _, t in combos]), at).alias("tier"),
+        *[uniform(f"{seed}:{d}", index).alias(f"_u_{d}") for d in draws])
+
+    def signal(table: dict, draw: str) -> Column:
+        cases = "".join(f" WHEN {sql_value(t)} THEN {sql_weighted(draw, [v for v, _ in o], [w for _, w in o])}"
+                        for t, o in table.items())
+        return F.expr(f"CASE tier{cases} END")
+    lights = A.LIGHTING_WEIGHTS
+    return staged.select(
+        *rows.columns, "category", "tier", choose("_u_occasion", A.OCCASIONS).alias("occasion"),
+        signal(A.POSTURE_WEIGHTS, "_u_posture").alias("posture"),
+        weighted("_u_lighting", [v for v, _ in lights], [w for _, w in lights]).alias("lighting"),
+        F.when(F.col("category").endswith("Outfit"), signal(A.HARMONY_WEIGHTS, "_u_harmony")).alias("color_harmony"))
 
 
 def search_tasks(spark: SparkSession, category: str, tiers: list[str], seed: int, count: int, predicate: Column,

@@ -33,16 +33,15 @@ def stall_report(checks: DataFrame, hours: float) -> DataFrame:
     """
     order = [F.col("ts"), F.col("event_id")]
     seen = running(checks, ["host"], order, {
-        "_high": ("max", F.when(F.col("reachable"), F.col("count")))}, keep_ranges=True)
-    before = running(seen, ["host"], order, {"_before": ("lag", F.col("_high"))}, keep_ranges=True)
+        "_before": ("prior_max", F.when(F.col("reachable"), F.col("count"))),
+        "_next": ("lead", F.col("ts")), "_start": ("min", F.col("ts"))}, keep_ranges=True)
     delta = F.when(F.col("reachable"), F.col("count") - F.coalesce("_before", F.lit(0))).otherwise(0).cast("long")
-    moved = before.withColumn("delta", delta).withColumn("_moved", F.col("reachable") & (F.col("delta") > 0))
-    # One pass for the latest progress and for whether the previous check was progress.
-    marked = running(moved, ["host"], order, {
-        "progress_at": ("last", F.when(F.col("_moved"), F.col("ts"))), "_prev": ("lag", F.col("_moved"))}, keep_ranges=True)
-    starts = F.when(~F.col("_moved") & F.coalesce("_prev", F.lit(True)), F.col("ts"))
-    since = running(marked, ["host"], order, {"_since": ("last", starts)})
-    stalled = F.when(~F.col("_moved"), F.col("_since"))
+    moved = seen.withColumn("delta", delta).withColumn("_moved", F.col("reachable") & (F.col("delta") > 0))
+    # A stall starts at the check after the latest progress, or at the very first check.
+    since = running(moved, ["host"], order, {
+        "progress_at": ("last", F.when(F.col("_moved"), F.col("ts"))),
+        "_since": ("last", F.when(F.col("_moved"), F.col("_next")))})
+    stalled = F.when(~F.col("_moved"), F.coalesce("_since", "_start"))
     limit = int(hours * 3_600_000_000)
     return since.select(
         *[c for c in checks.columns if c != RANGE], "delta", "progress_at", stalled.alias("stalled_since"),
@@ -51,8 +50,8 @@ def stall_report(checks: DataFrame, hours: float) -> DataFrame:
 
 def early_stop(history: DataFrame, run: str, order: list[Column], value: str, patience: int) -> DataFrame:
     """First epoch without improvement for ``patience`` epochs, null when training never stalls."""
-    rows = running(history, [run], order, {"epoch": ("sum", F.lit(1)), "_best": ("min", F.col(value))}, keep_ranges=True)
-    rows = running(rows, [run], order, {"_before": ("lag", F.col("_best"))}, keep_ranges=True)
+    rows = running(history, [run], order, {
+        "epoch": ("sum", F.lit(1)), "_before": ("prior_min", F.col(value))}, keep_ranges=True)
     better = F.col("_before").isNull() | (F.col(value) < F.col("_before"))
     rows = running(rows, [run], order, {"_improved": ("last", F.when(better, F.col("epoch")))})
     return rows.groupBy(run).agg(F.min(F.when(F.col("epoch") - F.col("_improved") >= patience, F.col("epoch")))

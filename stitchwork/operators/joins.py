@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stitchwork.functions.text import literals
+from stitchwork.functions.text import literals, sql_value
 
 
 def keyword_sets(keywords: DataFrame, key: str, keyword: str, vocabulary: list[str] | None = None) -> DataFrame:
@@ -17,7 +17,7 @@ def keyword_sets(keywords: DataFrame, key: str, keyword: str, vocabulary: list[s
     word = F.lower(F.trim(F.col(keyword)))
     rows = keywords.where(F.col(keyword).isNotNull()).select(key, word.alias("_k"))
     if vocabulary is not None:
-        rows = rows.where(F.col("_k").isin(vocabulary))
+        rows = rows.where(f"_k IN ({', '.join(sql_value(v) for v in vocabulary)})")
     return rows.groupBy(key).agg(F.collect_set("_k").alias("keywords"))
 
 

@@ -10,7 +10,9 @@ before it is a per-range total, carried over by a join with at most one row
 per range.
 
 Passes over the input: one count, one sample, one total per range, one
-result. Put ``session.settle`` in front when the input itself is expensive.
+result. Put ``session.settle`` in front when the input itself is expensive;
+chained calls double the passes each time, so a chain longer than two
+belongs behind it as well.
 """
 
 from __future__ import annotations
@@ -74,7 +76,8 @@ def running(df: DataFrame, key: list[str], order: list[Column], features: dict[s
 
     - ``sum``/``max``/``min``: up to and including the row
     - ``before``: sum over the rows strictly before
-    - ``lag``: the previous row's value
+    - ``prior_max``/``prior_min``: over the rows strictly before
+    - ``lag``/``lead``: the previous or next row's value
     - ``last``: latest non-null value up to and including the row
 
     ``order`` is unique within a key. An input that already has ranges (from
@@ -98,15 +101,20 @@ def running(df: DataFrame, key: list[str], order: list[Column], features: dict[s
             local.append(F.sum(v).over(frame).alias(part))
             totals.append(F.sum(v).alias(total))
             carries.append(F.sum(total).over(before).alias(f"_c_{n}"))
-        elif kind in ("max", "min"):
-            agg = F.max if kind == "max" else F.min
-            local.append(agg(v).over(upto).alias(part))
+        elif kind in ("max", "min", "prior_max", "prior_min"):
+            agg = F.max if kind.endswith("max") else F.min
+            frame = window.rowsBetween(Window.unboundedPreceding, -1) if kind.startswith("prior") else upto
+            local.append(agg(v).over(frame).alias(part))
             totals.append(agg(v).alias(total))
             carries.append(agg(total).over(before).alias(f"_c_{n}"))
         elif kind == "lag":
             local.append(F.lag(v).over(window).alias(part))
             totals.append(F.max_by(v, position).alias(total))
             carries.append(F.lag(total).over(carry_window).alias(f"_c_{n}"))
+        elif kind == "lead":
+            local.append(F.lead(v).over(window).alias(part))
+            totals.append(F.min_by(v, position).alias(total))
+            carries.append(F.lead(total).over(carry_window).alias(f"_c_{n}"))
         elif kind == "last":
             local.append(F.last(v, ignorenulls=True).over(upto).alias(part))
             totals.append(F.max_by(v, F.when(v.isNotNull(), position)).alias(total))
@@ -115,10 +123,13 @@ def running(df: DataFrame, key: list[str], order: list[Column], features: dict[s
             raise ValueError(f"unknown kind {kind!r}")
 
     summary = cut.groupBy(RANGE, *key).agg(*totals)
-    # Only the first key of a range can reach back, so this keeps at most one row per range.
-    reach = (summary.select(RANGE, *key, *carries, F.row_number().over(carry_window).alias("_first"))
-             .where(F.col("_first") > 1).drop("_first"))
-    rows = cut.select("*", *local, F.row_number().over(window).alias("_rn"))
+    # Only the first and the last key of a range can reach over its edges, so at most two rows per range stay.
+    spans = F.row_number().over(carry_window) > 1
+    if any(kind == "lead" for kind, _ in features.values()):
+        spans = spans | F.lead(F.lit(True)).over(carry_window).isNotNull()
+    reach = summary.select(RANGE, *key, *carries, spans.alias("_spans")).where("_spans").drop("_spans")
+    rows = cut.select("*", *local, F.row_number().over(window).alias("_rn"),
+                      F.lead(F.lit(True)).over(window).isNull().alias("_end"))
     joined = rows.join(F.broadcast(reach), [RANGE, *key], "left")
 
     out = {}
@@ -129,10 +140,12 @@ def running(df: DataFrame, key: list[str], order: list[Column], features: dict[s
                 F.coalesce(part, F.lit(0)) + F.coalesce(carry, F.lit(0)))
         elif kind == "before":
             out[n] = F.coalesce(part, F.lit(0)) + F.coalesce(carry, F.lit(0))
-        elif kind == "max":
+        elif kind.endswith("max"):
             out[n] = F.greatest(part, carry)
-        elif kind == "min":
+        elif kind.endswith("min"):
             out[n] = F.least(part, carry)
+        elif kind == "lead":
+            out[n] = F.when(F.col("_end"), carry).otherwise(part)
         elif kind == "lag":
             out[n] = F.when(F.col("_rn") == 1, carry).otherwise(part)
         else:

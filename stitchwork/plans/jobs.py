@@ -47,16 +47,15 @@ def curate_photos(photos: DataFrame, keywords: DataFrame, vocabulary: list[str],
                   limit: int | None = None) -> DataFrame:
     """Q02: keyword sets, relevance rules, best photos per class."""
     described = joins.with_keywords(photos, joins.keyword_sets(keywords, "photo_id", "keyword", vocabulary), "photo_id")
-    facts = portraits.photo_facts(F.col("description"), F.col("keywords"), F.col("aspect"), F.col("width"), F.col("height"))
-    rows = described.select("photo_id", facts["category"].alias("category"),
-                            facts["relevance_score"].alias("relevance_score")).where(F.col("category").isNotNull())
+    rows = portraits.photo_facts(described).where(F.col("category").isNotNull()).select(
+        "photo_id", "category", "relevance_score")
     return sets.top_by_score(rows, "category", "relevance_score", [F.col("photo_id")], per_class, limit)
 
 
 def balanced_ingestion(described: DataFrame, key: str, quota: int, limit: int | None = None) -> DataFrame:
     """Q03: classify descriptions, fill class quotas in scan order."""
-    rows = described.select(key, portraits.classify_description(F.col("description")).alias("category")).where(
-        F.col("category").isNotNull())
+    rows = portraits.classify_descriptions(described.select(key, "description"), "description").select(
+        key, "category").where(F.col("category").isNotNull())
     return sets.quota_then_limit(rows, "category", quota, [F.col(key)], limit)
 
 
@@ -110,8 +109,7 @@ def evaluation_report(p: DataFrame, predicted: Column, target: Column, mask: Col
 
 def advice_qa(records: DataFrame) -> dict[str, DataFrame]:
     """Q10: annotate every answer, count outcomes, collect the retained vocabulary."""
-    reviewed = records.withColumn("reasons", AF.review_reasons(F.col("text"), F.col("score")))
-    reviewed = reviewed.withColumn("passed", AF.review_passes(F.col("reasons")))
+    reviewed = AF.review(records, F.col("text"), F.col("score"))
     kept = reviewed.where("passed")
     n = F.size(words("text")).cast("long")
     return {"reviewed": reviewed,

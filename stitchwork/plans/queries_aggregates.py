@@ -158,7 +158,7 @@ def a10b(spark, sf):
 
 @query("a11_class_allocation", f"""SELECT category, count(*) AS available, least(count(*), 50)::BIGINT AS allocated FROM ({DESCRIPTION_SQL}) WHERE category IS NOT NULL GROUP BY category""")
 def a11(spark, sf):
-    rows = S.photos(spark, sf).select(portraits.classify_description(c("description")).alias("category"))
+    rows = portraits.classify_descriptions(S.photos(spark, sf).select("description"), "description")
     return AG.allocation(rows, "category", 50)
 
 
@@ -240,8 +240,8 @@ def a19(spark, sf):
 SELECT count(*) AS total, count(*) FILTER (WHERE p) AS passed, count(*) FILTER (WHERE p AND w) AS warned, count(*) FILTER (WHERE NOT p) AS hard_failed,
   count(*) FILTER (WHERE NOT p) / count(*) > 0.10 AS alert FROM v""")
 def a20(spark, sf):
-    rows = S.advice(spark, sf).select(advice.review_reasons(c("text"), c("score")).alias("r"))
-    return AG.review_counters(rows, advice.review_passes(c("r")), F.array_contains("r", A.NO_VERB_WARNING))
+    rows = advice.review(S.advice(spark, sf).select("text", "score"), c("text"), c("score"))
+    return AG.review_counters(rows, c("passed"), F.array_contains("reasons", A.NO_VERB_WARNING))
 
 
 @query("a21_event_sets", "SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS kinds FROM events GROUP BY user_id")

@@ -355,7 +355,8 @@ FROM g"""
 
 @query("p26_classify_description", DESCRIPTION_SQL)
 def p26(spark, sf):
-    return S.photos(spark, sf).select("photo_id", portraits.classify_description(c("description")).alias("category"))
+    rows = portraits.classify_descriptions(S.photos(spark, sf).select("photo_id", "description"), "description")
+    return rows.select("photo_id", "category")
 
 
 def _count_in(terms):
@@ -393,9 +394,7 @@ def qualified_photos(spark, sf):
     from stitchwork.operators import joins
     sets_ = joins.keyword_sets(S.keyword_rows(spark, sf), "photo_id", "keyword", S.PHOTO_VOCABULARY)
     photos = joins.with_keywords(S.photos(spark, sf), sets_, "photo_id")
-    facts = portraits.photo_facts(c("description"), c("keywords"), c("aspect"), c("width"), c("height"))
-    return photos.select("photo_id", "lang", "source", *[v.alias(k) for k, v in facts.items()]).where(
-        c("category").isNotNull())
+    return portraits.photo_facts(photos).where(c("category").isNotNull())
 
 
 @query("p27_photo_relevance", f"WITH {PHOTO_FACTS_SQL} SELECT photo_id, category, relevance_score, is_male, is_female, is_face, is_fashion, is_posture FROM facts")
@@ -573,12 +572,10 @@ SELECT id, (short::INT + long::INT + chatter::INT + banned::INT + unobs::INT + (
   CASE WHEN short THEN 'too short (' || wc || ' words, need >= 25)' WHEN long THEN 'too long (' || wc || ' words, need <= 85)' ELSE '' END AS length_reason
 FROM c""")
 def p33(spark, sf):
-    r = advice.review_reasons(c("text"), c("score"))
-    rows = S.advice(spark, sf).select("id", r.alias("r"))
+    rows = advice.review(S.advice(spark, sf).select("id", "text", "score"), c("text"), c("score"))
     return rows.select(
-        "id", F.size("r").alias("n_reasons"), advice.review_passes(c("r")).alias("passed"),
-        F.array_contains("r", A.NO_VERB_WARNING).alias("warned"),
-        F.coalesce(F.get(F.filter("r", lambda x: x.startswith("too short") | x.startswith("too long")), F.lit(0)),
+        "id", F.size("reasons").alias("n_reasons"), "passed", F.array_contains("reasons", A.NO_VERB_WARNING).alias("warned"),
+        F.coalesce(F.get(F.filter("reasons", lambda x: x.startswith("too short") | x.startswith("too long")), F.lit(0)),
                    F.lit("")).alias("length_reason"))
 
 
@@ -591,9 +588,9 @@ SELECT id, CASE WHEN t = '' THEN 'empty' WHEN chatter THEN 'meta-chatter opener'
   WHEN score >= 9.0 AND n > 3 THEN 'high score (' || printf('%.1f', score) || ') should have 2-3 polish tips, got ' || n
   WHEN score < 9.0 AND n < 3 THEN 'lower score (' || printf('%.1f', score) || ') should have 3-5 fixes, got ' || n ELSE 'ok' END AS reason FROM c""")
 def p34(spark, sf):
-    reason = F.coalesce(advice.first_reason(c("text"), c("score")), F.lit("ok"))
+    rows = advice.first_failure(S.advice(spark, sf).select("id", "text", "score"), c("text"), c("score"))
     # The matched text follows the colon; the check compares the rule.
-    return S.advice(spark, sf).select("id", F.regexp_replace(reason, ": '(?s).*$", "").alias("reason"))
+    return rows.select("id", F.regexp_replace(F.coalesce("reason", F.lit("ok")), ": '(?s).*$", "").alias("reason"))
 
 
 # ---- predictions ----------------------------------------------------------------------------

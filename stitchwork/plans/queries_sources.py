@@ -235,8 +235,10 @@ SELECT vec_id, round(sqrt((cx-nx)*(cx-nx)+(cy-ny)*(cy-ny))/ed, 6) AS nose, round
 def p50(spark, sf):
     at = lambda i: F.element_at("embedding", i).cast("double")
     pts = lambda *starts: F.array(*[F.struct(at(i).alias("x"), at(i + 1).alias("y")) for i in starts])
-    sig = geometry.landmark_signature(pts(1, 3), pts(5, 7), pts(9), pts(11, 13), pts(15, 17), F.lit(0.4), F.lit(1.0))
-    rows = table(spark, sf, "embeddings").select("vec_id", sig.alias("s")).where(c("s").isNotNull())
+    faces = table(spark, sf, "embeddings").select(
+        "vec_id", pts(1, 3).alias("left_eye"), pts(5, 7).alias("right_eye"), pts(9).alias("nose"), pts(11, 13).alias("lips"),
+        pts(15, 17).alias("contour"), F.lit(0.4).alias("box_width"), F.lit(1.0).alias("box_height"))
+    rows = geometry.landmark_signature(faces, "s").where(c("s").isNotNull())
     names = ["nose", "mouth", "chin", "width", "jaw", "aspect"]
     return rows.select("vec_id", *[F.round(F.element_at("s", i + 1), 6).alias(n) for i, n in enumerate(names)])
 
