@@ -18,13 +18,18 @@ def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def _match(pattern: str, stems: list[str]) -> Column:
+    """First match or the empty text; every match holds a stem, so most rows skip the pattern."""
+    return F.when(contains_any(F.lower("_content"), stems), F.regexp_extract("_content", pattern, 1)).otherwise("")
+
+
 def _stage(df: DataFrame, text: Column, score: Column) -> DataFrame:
     """Shared facts of an answer as columns, so every rule below reads them instead of recomputing them."""
     content = strip(F.coalesce(text, F.lit("")))
     one = df.withColumns({"_content": content, "_missing": text.isNull(), "_score": score})
     two = one.withColumns({"_low": F.lower("_content"), "_lines": lines("_content"), "_wc": word_count("_content"),
-                           "_banned": F.regexp_extract("_content", _BANNED, 1),
-                           "_unobs": F.regexp_extract("_content", _UNOBSERVABLE, 1)})
+                           "_banned": _match(_BANNED, A.BANNED_STEMS),
+                           "_unobs": _match(_UNOBSERVABLE, A.UNOBSERVABLE_STEMS)})
     numbered = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("n"), word_count(x).alias("w"),
                                                            starts_with_any(x, ["- ", "• ", "* "]).alias("b")))
     three = two.withColumns({"_lines": numbered, "_chatter": starts_with_any(F.col("_low"), A.CHATTER_OPENERS)})

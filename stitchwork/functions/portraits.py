@@ -12,13 +12,23 @@ from stitchwork.rules import photos as P
 def classify_descriptions(df: DataFrame, description: str, name: str = "category") -> DataFrame:
     """Add the portrait class of a description, null for low quality text.
 
-    The lower-cased text and each word flag are columns of their own, so a
-    row evaluates every pattern once.
+    Single words are found in one cut of the text into words; only phrases
+    need a pattern, and only where their letters occur at all.
     """
-    t = F.col("_t")
-    flags = {f"_{n}": has_word(t, words) for n, words in P.DESCRIPTION_FLAGS.items()}
-    staged = df.withColumn("_t", F.lower(description)).withColumns(
-        {**flags, "_elder": contains_any("_t", ["senior", "elderly"])})
+    single = {n: [w for w in words.split("|") if w.isalnum()] for n, words in P.DESCRIPTION_FLAGS.items()}
+    phrases = {n: [w for w in words.split("|") if not w.isalnum()] for n, words in P.DESCRIPTION_FLAGS.items()}
+    every = sorted({w for ws in single.values() for w in ws})
+
+    def flag_of(n: str) -> Column:
+        hit = F.arrays_overlap("_hits", literals(single[n])) if single[n] else F.lit(False)
+        if not phrases[n]:
+            return hit
+        return hit | (contains_any("_t", phrases[n]) & has_word(F.col("_t"), "|".join(phrases[n])))
+
+    cut = F.split("_t", "[^\\p{L}\\p{M}\\p{N}\\p{Pc}]+")
+    staged = (df.withColumn("_t", F.lower(description)).withColumn("_hits", F.array_intersect(cut, literals(every)))
+              .withColumns({**{f"_{n}": flag_of(n) for n in P.DESCRIPTION_FLAGS},
+                            "_elder": contains_any("_t", ["senior", "elderly"])}))
     flag = {n: F.col(f"_{n}") for n in P.DESCRIPTION_FLAGS}
     old = flag["gray"] | F.col("_elder")
     men = (F.when(old, "face_men_o50_distinguished")
@@ -60,6 +70,15 @@ def _shared(terms: list[str]) -> Column:
     return F.size(F.array_intersect("keywords", literals(terms)))
 
 
+def plausible_size(photos: DataFrame) -> DataFrame:
+    """The numeric gates alone, on stored columns: they reach the scan, before keywords are joined."""
+    c = F.col
+    ratio = F.coalesce(F.when(~F.isnan("aspect"), c("aspect")), F.lit(1.0))
+    sized = ((F.coalesce("width", F.lit(0)) == 0) | (F.coalesce("height", F.lit(0)) == 0)
+             | ((c("width") >= P.PHOTO_MIN_EDGE) & (c("height") >= P.PHOTO_MIN_EDGE)))
+    return photos.where(ratio.between(*P.PHOTO_ASPECT_RANGE) & sized)
+
+
 def photo_facts(photos: DataFrame) -> DataFrame:
     """Relevance facts per photo; ``category`` is null where the photo is rejected.
 

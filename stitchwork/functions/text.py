@@ -144,10 +144,9 @@ def fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", half_even(c, digits))
 
 
-def uniform(seed: int | str, *keys: Column) -> Column:
-    """Deterministic draw in [0, 1) per row, equal on every partitioning."""
-    bits = F.xxhash64(F.lit(str(seed)), *keys)
-    return F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(1 << 53))
+def uniform(seed: int | str, key: str) -> Column:
+    """Deterministic draw in [0, 1) per row from a key column, equal on every partitioning."""
+    return F.expr(f"CAST(shiftrightunsigned(xxhash64({sql_value(str(seed))}, {key}), 11) AS DOUBLE) / {float(1 << 53)!r}D")
 
 
 def sql_weighted(draw: str, options: list, weights: list[float]) -> str:

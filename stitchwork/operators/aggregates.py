@@ -151,7 +151,8 @@ def worst_class(recalls: DataFrame) -> DataFrame:
 
 
 def allocation(df: DataFrame, by: str, quota: int) -> DataFrame:
-    return df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("available")).withColumn(
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("available")).where(F.col(by).isNotNull())
+    return counts.withColumn(
         "allocated", F.least("available", F.lit(quota)).cast("long"))
 
 

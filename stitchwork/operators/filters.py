@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from stitchwork.functions.text import contains_any
 
 
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on expensive computed columns where they are.
+
+    A plain filter is pushed below the projection that computes its columns,
+    which copies their whole expressions into the condition and evaluates
+    them again. A projection with a partition id is not crossed. Cheap
+    conditions on stored columns belong in a plain ``where``, which does
+    reach the scan.
+    """
+    pinned = df.withColumn("_pin", F.spark_partition_id())
+    return pinned.where(condition & (F.col("_pin") >= 0)).drop("_pin")
+
+
 def unprocessed(items: DataFrame, processed: DataFrame, key: str) -> DataFrame:
     """Resume: rows whose key is in no processed log or tree."""
     return items.join(processed.select(key).where(F.col(key).isNotNull()), key, "left_anti")

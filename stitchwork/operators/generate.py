@@ -106,7 +106,7 @@ def draw_labels(tasks: DataFrame, seed: int) -> DataFrame:
     """
     # Every draw is a column first, so the rules below read columns instead of repeating hashes.
     tasks_in, tasks = tasks, tasks.select("*", *[
-        uniform(f"{seed}:{f}", F.col("index")).alias(f"_u_{f.replace(':', '_')}") for f in _DRAWS])
+        uniform(f"{seed}:{f}", "index").alias(f"_u_{f.replace(':', '_')}") for f in _DRAWS])
     u = lambda field: f"_u_{field.replace(':', '_')}"
     category, tier = F.col("category"), F.col("tier")
     grooming = category.endswith("Grooming")
@@ -292,15 +292,15 @@ def render_prompts(labels: DataFrame) -> DataFrame:
 
 # ---- advice contexts, searches, grids ------------------------------------------------------
 
-def advice_contexts(rows: DataFrame, index: Column, seed: int) -> DataFrame:
+def advice_contexts(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """Sixteen strata in rotation (tier outer, category inner) with tier-dependent signals."""
     combos = [(c, t) for t in G.TIERS for c in G.CATEGORIES]
-    at = (F.pmod(index, F.lit(len(combos))) + 1).cast("int")
+    at = (F.pmod(F.col(key), F.lit(len(combos))) + 1).cast("int")
     draws = ["occasion", "posture", "lighting", "harmony"]
     staged = rows.select(
         "*", F.element_at(literals([c for c, _ in combos]), at).alias("category"),
         F.element_at(literals([t for _, t in combos]), at).alias("tier"),
-        *[uniform(f"{seed}:{d}", index).alias(f"_u_{d}") for d in draws])
+        *[uniform(f"{seed}:{d}", key).alias(f"_u_{d}") for d in draws])
 
     def signal(table: dict, draw: str) -> Column:
         cases = "".join(f" WHEN {sql_value(t)} THEN {sql_weighted(draw, [v for v, _ in o], [w for _, w in o])}"

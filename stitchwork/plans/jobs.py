@@ -46,16 +46,16 @@ def qualify_and_route(items: DataFrame, processed: DataFrame, key: str) -> DataF
 def curate_photos(photos: DataFrame, keywords: DataFrame, vocabulary: list[str], per_class: int,
                   limit: int | None = None) -> DataFrame:
     """Q02: keyword sets, relevance rules, best photos per class."""
-    described = joins.with_keywords(photos, joins.keyword_sets(keywords, "photo_id", "keyword", vocabulary), "photo_id")
-    rows = portraits.photo_facts(described).where(F.col("category").isNotNull()).select(
+    described = joins.with_keywords(portraits.plausible_size(photos), joins.keyword_sets(keywords, "photo_id", "keyword", vocabulary), "photo_id")
+    rows = filters.keep(portraits.photo_facts(described), F.col("category").isNotNull()).select(
         "photo_id", "category", "relevance_score")
     return sets.top_by_score(rows, "category", "relevance_score", [F.col("photo_id")], per_class, limit)
 
 
 def balanced_ingestion(described: DataFrame, key: str, quota: int, limit: int | None = None) -> DataFrame:
     """Q03: classify descriptions, fill class quotas in scan order."""
-    rows = portraits.classify_descriptions(described.select(key, "description"), "description").select(
-        key, "category").where(F.col("category").isNotNull())
+    rows = filters.keep(portraits.classify_descriptions(described.select(key, "description"), "description"),
+                        F.col("category").isNotNull()).select(key, "category")
     return sets.quota_then_limit(rows, "category", quota, [F.col(key)], limit)
 
 
@@ -110,7 +110,7 @@ def evaluation_report(p: DataFrame, predicted: Column, target: Column, mask: Col
 def advice_qa(records: DataFrame) -> dict[str, DataFrame]:
     """Q10: annotate every answer, count outcomes, collect the retained vocabulary."""
     reviewed = AF.review(records, F.col("text"), F.col("score"))
-    kept = reviewed.where("passed")
+    kept = filters.keep(reviewed, F.col("passed"))
     n = F.size(words("text")).cast("long")
     return {"reviewed": reviewed,
             "counters": AG.review_counters(reviewed, F.col("passed"), F.array_contains("reasons", A.NO_VERB_WARNING)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stitchwork.functions import advice, colour, decode, geometry, labels, portraits, routing, text, urls
-from stitchwork.operators import generate, looks as look_ops, repair, sets
+from stitchwork.operators import filters, generate, looks as look_ops, repair, sets
 from stitchwork.plans import standins as S
 from stitchwork.plans.registry import (
     q, query, sql_has, sql_in, sql_list, sql_map, sql_pick, sql_rules, sql_synonyms, table)
@@ -393,8 +393,8 @@ facts AS (SELECT photo_id, lang, source, is_male, is_female, is_face, is_fashion
 def qualified_photos(spark, sf):
     from stitchwork.operators import joins
     sets_ = joins.keyword_sets(S.keyword_rows(spark, sf), "photo_id", "keyword", S.PHOTO_VOCABULARY)
-    photos = joins.with_keywords(S.photos(spark, sf), sets_, "photo_id")
-    return portraits.photo_facts(photos).where(c("category").isNotNull())
+    photos = joins.with_keywords(portraits.plausible_size(S.photos(spark, sf)), sets_, "photo_id")
+    return filters.keep(portraits.photo_facts(photos), c("category").isNotNull())
 
 
 @query("p27_photo_relevance", f"WITH {PHOTO_FACTS_SQL} SELECT photo_id, category, relevance_score, is_male, is_female, is_face, is_fashion, is_posture FROM facts")

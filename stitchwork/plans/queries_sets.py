@@ -147,7 +147,7 @@ _COMBOS = [(cat, t) for t in G.TIERS for cat in G.CATEGORIES]
   {sql_pick([t for _, t in _COMBOS], 'conv_id * 8 + turn')} AS tier FROM conversations""")
 def u15(spark, sf):
     rows = table(spark, sf, "conversations").select((c("conv_id") * 8 + c("turn")).alias("id"))
-    return generate.advice_contexts(rows, c("id"), 42).select("id", "category", "tier")
+    return generate.advice_contexts(rows, "id", 42).select("id", "category", "tier")
 
 
 @query("u16_rejection_search")

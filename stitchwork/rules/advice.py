@@ -11,6 +11,9 @@ BANNED_PATTERNS = [
     r"\bchange your body\b", r"\bplastic surgery\b", r"\bbotox\b", r"\btone (your|the) (body|muscles?)\b",
     r"\bwork ?out to\b"]
 UNOBSERVABLE_PATTERNS = [r"\bcologne\b", r"\bperfume\b", r"\bfragrance\b", r"\bdeodorant\b", r"\bscent\b"]
+# A part of every phrase above, lower case.
+BANNED_STEMS = ["weight", "diet", "calorie", "slim", "skin", "acne", "pimple", "body", "surgery", "botox", "tone", "work"]
+UNOBSERVABLE_STEMS = ["cologne", "perfume", "fragrance", "deodorant", "scent"]
 CHATTER_OPENERS = ["sure", "here's", "here is", "as a stylist", "certainly", "of course", "i'd suggest",
                    "i would suggest", "great question", "absolutely"]
 ACTION_VERBS = ["cuff", "tuck", "roll", "unbutton", "button", "iron", "steam", "press", "trim", "shave",
