@@ -15,7 +15,7 @@ from stitchwork.plans.registry import q, query, sql_in, sql_list, sql_map, sql_p
 from stitchwork.rules import advice as A
 from stitchwork.rules import garments as G
 from stitchwork.sources import readers, writers
-from stitchwork.streaming import flows
+from stitchwork.streaming import flows, state
 
 c = F.col
 
@@ -412,6 +412,22 @@ def t03(spark, sf):
     return spark.read.parquet(out).select("doc_id", "lang")
 
 
+@query("t04_stream_host_health", """WITH e AS (SELECT user_id AS host, event_id, event_type <> 'error' AS up, event_id // 400 AS n FROM events),
+d AS (SELECT host, up, n - coalesce(max(CASE WHEN up THEN n END) OVER (PARTITION BY host ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS delta FROM e)
+SELECT host::VARCHAR AS host, CASE WHEN NOT up THEN 'UNREACHABLE' WHEN delta > 0 THEN 'RUNNING' ELSE 'STOPPED' END AS status, count(*) AS checks,
+  sum(CASE WHEN up THEN delta ELSE 0 END)::BIGINT AS gained FROM d GROUP BY 1, 2""")
+def t04(spark, sf):
+    out, ckpt = fresh_folder(spark, "stream-out"), fresh_folder(spark, "stream-ckpt")
+    up = c("event_type") != "error"
+    rows = _stream(spark, sf, "events", ["event_id", "ts", "user_id", "event_type"]).select(
+        c("user_id").cast("string").alias("host"), F.lit(1).cast("long").alias("instance_id"), c("ts").cast("timestamp").alias("ts"),
+        up.alias("reachable"), F.floor(c("event_id") / 400).alias("count"), F.lit(1 << 40).alias("target"))
+    with state.rocksdb(spark):
+        flows.to_files(state.host_health(rows, destroy=False), out, ckpt).awaitTermination()
+    done = spark.read.schema(state.HEALTH_SCHEMA).parquet(out)
+    return done.groupBy("host", "status").agg(F.count(F.lit(1)).alias("checks"), F.sum("delta").alias("gained"))
+
+
 @query("t05_stream_delta", "SELECT h AS host, doc_id AS item FROM documents, (SELECT unnest(['a', 'b', 'c']) AS h) WHERE NOT (h = 'a' AND doc_id % 2 = 0)")
 def t05(spark, sf):
     out, ckpt = fresh_folder(spark, "stream-out"), fresh_folder(spark, "stream-ckpt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from stitchwork.functions.text import literals
 from stitchwork.operators.ordered import first_per_key, top_per_key
@@ -58,7 +58,7 @@ def _batches(spark: SparkSession, out: str, schema: StructType, before: int) ->
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(out)
     if before == 0 or not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], schema).withColumn("batch", F.lit(-1))
-    return spark.read.schema(schema.add("batch", "int")).parquet(out).where(F.col("batch") < before)
+    return spark.read.schema(schema.add("batch", IntegerType())).parquet(out).where(F.col("batch") < before)
 
 
 def quota_stream(stream: DataFrame, by: str, quota: int, order: list[Column], out: str,

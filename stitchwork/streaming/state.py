@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -22,6 +23,23 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark):
+    """The processors need the RocksDB state store; the session's own setting comes back afterwards."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
 HEALTH_SCHEMA = ("host string, ts timestamp, status string, count long, delta long, stalled_hours double, "
                  "event string")
 _HEALTH_STATE = ("last_count long, stalled_since double, completed boolean, alerted boolean, destroyed boolean, "
