@@ -68,10 +68,15 @@ def literal_map(mapping: dict) -> Column:
 
 
 def contains_any(c: Column | str, needles: list[str]) -> Column:
-    """Substring test against a short literal list; a column name is the cheaper form to build."""
+    """Substring test against a short literal list.
+
+    A column name gives a chain of plain searches, best for long texts that
+    are already a column. An expression is searched by one alternation of
+    quoted literals, so it is evaluated once.
+    """
     if isinstance(c, str):
         return F.expr(" OR ".join(f"contains({c}, {sql_value(n)})" for n in needles))
-    return any_of([c.contains(n) for n in needles])
+    return c.rlike("|".join(f"\\Q{n}\\E" for n in needles))
 
 
 def starts_with_any(c: Column, prefixes: list[str]) -> Column:

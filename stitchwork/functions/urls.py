@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stitchwork.functions.text import contains_any, strip
@@ -53,37 +53,39 @@ def _present(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def media_urls(post: Column) -> Column:
-    """URLs of one post: gallery first, then the direct link, then the preview.
+def with_media_urls(posts: DataFrame, post: str, name: str = "urls") -> DataFrame:
+    """Add the URLs of a post column: gallery first, then the direct link, then the preview.
 
     A gallery follows its item order when it has one and the map's order
     otherwise; only valid media count, and a missing source falls back to
-    its last preview.
+    its last preview. Each kind is a column of its own before one is chosen.
     """
-    media = post["media_metadata"]
-    ordered = F.filter(F.transform(F.coalesce(post["gallery_data"]["items"], F.array()),
-                                   lambda i: i["media_id"]), lambda i: F.coalesce(i != "", F.lit(False)))
-    keys = F.when(F.size(ordered) > 0, ordered).otherwise(F.map_keys(media))
+    p = F.col(post)
+    none = F.array().cast("array<string>")
+    ordered = F.filter(F.transform(F.coalesce(p["gallery_data"]["items"], F.array()), lambda i: i["media_id"]),
+                       lambda i: F.coalesce(i != "", F.lit(False)))
+    staged = posts.withColumns({
+        "_media": p["media_metadata"], "_ordered": ordered,
+        "_main": F.coalesce(_present(p["url_overridden_by_dest"]), p["url"], F.lit("")),
+        "_preview": F.get(p["preview"]["images"], F.lit(0))["source"]["url"], "_skip": is_gone(p) | is_video(p)})
 
     def media_url(key: Column) -> Column:
-        meta = F.try_element_at(media, key)
-        previews = F.coalesce(meta["p"], F.array())
-        last = F.when(F.size(previews) > 0, F.try_element_at(previews, F.lit(-1))["u"])
+        meta = F.try_element_at("_media", key)
+        last = F.try_element_at(F.coalesce(meta["p"], F.array()), F.lit(-1))["u"]
         url = F.coalesce(_present(meta["s"]["u"]), _present(meta["s"]["gif"]), _present(last))
-        return F.when(meta["status"] == "valid", _present(unescape_url(url)))
-
-    gallery = F.when(F.size(F.coalesce(F.map_keys(media), F.array())) > 0,
-                     F.array_compact(F.transform(keys, media_url)))
-    main = F.coalesce(_present(post["url_overridden_by_dest"]), post["url"], F.lit(""))
-    direct = F.when(is_image_url(main), F.array_compact(F.array(_present(unescape_url(main)))))
-    preview_images = F.coalesce(post["preview"]["images"], F.array())
-    preview_url = F.when(F.size(preview_images) > 0, F.try_element_at(preview_images, F.lit(1))["source"]["url"])
-    preview = F.when(_present(preview_url).isNotNull(),
-                     F.array_compact(F.array(_present(unescape_url(preview_url)))))
-    nonempty = lambda a: F.when(F.size(a) > 0, a)
-    urls = F.coalesce(nonempty(gallery), nonempty(direct), nonempty(preview),
-                      F.array().cast("array<string>"))
-    return F.when(is_gone(post) | is_video(post), F.array().cast("array<string>")).otherwise(urls)
+        return F.when(meta["status"] == "valid", url)
+
+    keys = F.when(F.size("_ordered") > 0, F.col("_ordered")).otherwise(F.map_keys("_media"))
+    # Only raw URLs here; entities are resolved once, on the kind that is used.
+    gallery = F.when(F.col("_media").isNotNull(), F.array_compact(F.transform(keys, media_url)))
+    kinds = staged.withColumns({
+        "_gallery": F.coalesce(gallery, none),
+        "_direct": F.when(is_image_url(F.col("_main")), F.array("_main")).otherwise(none),
+        "_shown": F.when(F.coalesce("_preview", F.lit("")) != "", F.array("_preview")).otherwise(none)})
+    chosen = (F.when(F.col("_skip"), none).when(F.size("_gallery") > 0, F.col("_gallery"))
+              .when(F.size("_direct") > 0, F.col("_direct")).otherwise(F.col("_shown")))
+    clean = F.filter(F.transform(chosen, unescape_url), lambda u: u != "")
+    return kinds.select(*posts.columns, clean.alias(name))
 
 
 def harvest_marked(html: Column) -> Column:

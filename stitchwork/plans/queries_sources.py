@@ -146,8 +146,11 @@ def _listing_pages(spark, sf):
     preview = t('{"id":"d","url":"https://blog.example/a","preview":{"images":[{"source":{"url":"https://t.example/', u, '.jpg?w=9&amp;s=1"}}]}}')
     video = t('{"id":"e","is_video":true,"url":"https://i.example/', u, '.jpg"}')
     post = F.when(k % 5 == 0, direct).when(k % 5 == 1, removed).when(k % 5 == 2, gallery).when(k % 5 == 3, preview).otherwise(video)
-    page = t('{"data":{"after":null,"children":[{"kind":"t3","data":', post, '},{"kind":"t3","data":', post, '},{"kind":"t1","data":', direct, '}]}}')
-    return table(spark, sf, "orders").select(k.alias("page"), F.from_json(page, readers.LISTING_SCHEMA).alias("p")).select("page", "p.data")
+    page = t('{"data":{"after":"', k.cast("string"), '","children":[{"kind":"t3","data":', post, '},{"kind":"t3","data":', post,
+             '},{"kind":"t1","data":', direct, '}]}}')
+    folder = fresh_folder(spark, "listing-pages")
+    table(spark, sf, "orders").select(page.alias("value")).write.text(folder)
+    return readers.listing_pages(spark, folder).withColumn("page", c("data.after").cast("long"))
 
 
 @query("p21_listing_request_url", """SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'https://www.reddit.com/r/Fit/top.json?limit=' || p_size || CASE WHEN p_partkey % 5 = 0 THEN '&after=t3_x' ELSE '' END || '&q=' || replace(p_name, ' ', '+') || '&t=all'

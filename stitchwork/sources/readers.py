@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from stitchwork.functions import jsonish
 from stitchwork.functions.text import strip
-from stitchwork.functions.urls import media_urls
+from stitchwork.functions.urls import with_media_urls
+from stitchwork.operators.filters import keep, usable_labels
 from stitchwork.rules import garments as G
 from stitchwork.rules import routing as R
 
@@ -155,8 +156,6 @@ def discover_labels(spark: SparkSession, category: str, preferred: str, fallback
 
     Only paths are checked here; the returned ``rows`` stay a lazy frame.
     """
-    from stitchwork.operators.filters import usable_labels
-
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
 
     def exists(path: str) -> bool:
@@ -206,8 +205,9 @@ def listing_pages(spark: SparkSession, folder: str, stream: bool = False) -> Dat
 def listing_urls(pages: DataFrame, page: Column) -> DataFrame:
     """Image URLs of listing pages in order of appearance, one row per first appearance in the page."""
     posts = pages.select(page.alias("page"), F.posexplode("data.children").alias("post_pos", "child"))
-    urls = posts.where(F.col("child.kind") == "t3").select(
-        "page", "post_pos", F.posexplode(media_urls(F.col("child.data"))).alias("url_pos", "url"))
+    own = posts.where(F.col("child.kind") == "t3").select("page", "post_pos", F.col("child.data").alias("post"))
+    found = keep(with_media_urls(own, "post"), F.size("urls") > 0)
+    urls = found.select("page", "post_pos", F.posexplode("urls").alias("url_pos", "url"))
     first = urls.groupBy("page", "url").agg(F.min(F.struct("post_pos", "url_pos")).alias("at"))
     return first.select("page", "at.post_pos", "at.url_pos", "url")
 
