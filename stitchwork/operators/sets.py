@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stitchwork.functions.text import literals
@@ -37,7 +37,7 @@ def novel_urls(found: DataFrame, seen: DataFrame | None, url: str, order: list[C
 
 
 def claim_urls(found: DataFrame, url: str, category: str, category_order: str, position: str,
-               limit: str, max_rounds: int = 1000) -> DataFrame:
+               limit: str, largest_limit: int, max_rounds: int = 1000) -> DataFrame:
     """First ``limit`` free URLs per category, categories served in order.
 
     A URL that a full category leaves stays free for the next one, so a
@@ -46,17 +46,20 @@ def claim_urls(found: DataFrame, url: str, category: str, category_order: str, p
     ``limit`` askers by position; refused pairs drop out. With one common
     category order this ends in exactly the one-category-at-a-time result.
     Rounds are few: only URLs at the edge of a full category move on.
+
+    ``largest_limit`` bounds the limits of all categories; it lets Spark cut
+    a large category before its shuffle.
     """
     pairs = settle(found.groupBy(url, category).agg(
         F.min(category_order).alias(category_order), F.min(position).alias(position), F.max(limit).alias(limit)))
     for _ in range(max_rounds):
         asks = first_per_key(pairs, [url], [F.col(category_order), F.col(position)])
-        ranked = asks.withColumn("_rank", F.row_number().over(
-            Window.partitionBy(category).orderBy(position, url)))
-        refused = ranked.where(F.col("_rank") > F.col(limit)).select(url, category)
+        ranked = top_per_key(asks, [category], [F.col(position), F.col(url)], largest_limit, rank="_rank")
+        kept = ranked.where(F.col("_rank") <= F.col(limit)).drop("_rank")
+        refused = asks.join(kept.select(url, category), [url, category], "left_anti").select(url, category)
         remaining = settle(pairs.join(refused, [url, category], "left_anti"))
         if remaining.count() == pairs.count():
-            return ranked.drop("_rank")
+            return kept
         pairs = remaining
     raise RuntimeError(f"no stable assignment after {max_rounds} rounds")
 

@@ -36,8 +36,84 @@ def s04(spark, sf):
                    c("o_custkey").cast("string"), F.lit('"]}'))
     # Each landed line is one such document.
     table(spark, sf, "orders").where(c("o_orderkey") % 3 == 0).select(doc.alias("value")).write.text(folder)
-    entries = spark.read.text(folder).select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("category", "list"))
-    return entries.select("category", F.posexplode("list").alias("position", "url"))
+    return readers.json_map_rows(spark.read.text(folder))
+
+
+@query("s01_file_listing")
+def s01(spark, sf):
+    """Listing by extension, contents never read: here the table files themselves."""
+    return readers.image_files(spark, sf, [".PARQUET"]).select("filename", "length")
+
+
+@query("s05_manifest", f"SELECT filename, 'p ' || id AS prompt, category, tier, id AS seed, id::VARCHAR AS k FROM {S.LABELS} WHERE verdict = 'error'")
+def s05(spark, sf):
+    rows = S.label_rows(spark, sf).where(c("verdict") == "error")
+    entry = F.struct(F.concat(F.lit("p "), c("id").cast("string")).alias("prompt"), "category", "tier", c("id").alias("seed"),
+                     F.create_map(F.lit("k"), c("id").cast("string")).alias("row"))
+    docs = rows.select(F.to_json(F.create_map(c("filename"), entry)).alias("value"))
+    return readers.manifest_rows(docs).select("filename", "prompt", "category", "tier", "seed", c("row")["k"].alias("k"))
+
+
+@query("s14_prompt_variants", "SELECT 'v' || p_partkey AS variant, unnest(['prompt_append', 'extra_negative']) AS key, unnest([p_name, p_type]) AS text FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'v' || p_partkey, 'prompt_append', p_name FROM part WHERE p_partkey % 3 = 0")
+def s14(spark, sf):
+    k = c("p_partkey")
+    inner = F.create_map(F.lit("prompt_append"), c("p_name"), F.lit("extra_negative"), F.when(k % 3 == 0, "").otherwise(c("p_type")))
+    docs = table(spark, sf, "part").select(F.to_json(F.create_map(F.concat(F.lit("v"), k.cast("string")), inner)).alias("value"))
+    return readers.variant_rows(docs)
+
+
+@query("s16_listing_pages", "SELECT o_orderkey AS page, 3 AS posts FROM orders")
+def s16(spark, sf):
+    return _listing_pages(spark, sf).select("page", F.size("data.children").alias("posts"))
+
+
+@query("s18_catalog_defaults", """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS query, CASE WHEN p_partkey % 2 = 1 THEN CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE 'hot' END END AS listing,
+  'top' AS sort, 'all' AS time, CASE WHEN p_partkey % 5 = 0 THEN p_size ELSE 40 END AS "limit" FROM part""")
+def s18(spark, sf):
+    k, none = c("p_partkey"), F.lit(None).cast("string")
+    rows = table(spark, sf, "part").select(
+        k, F.when(k % 2 == 0, c("p_name")).otherwise("").alias("query"), F.when(k % 3 == 0, "new").alias("listing"), none.alias("sort"),
+        none.alias("time"), none.alias("description"), F.when(k % 5 == 0, c("p_size")).alias("limit"))
+    return readers.catalog_defaults(rows).select("p_partkey", "query", "listing", "sort", "time", "limit")
+
+
+@query("f05_video_posts", "SELECT page_id FROM pages WHERE page_id % 4 = 0 OR page_id % 5 = 1 OR page_id % 7 = 2")
+def f05(spark, sf):
+    return _posts(spark, sf).where(urls.is_video(c("post"))).select("page_id")
+
+
+@query("f06_removed_posts", "SELECT page_id FROM pages WHERE page_id % 6 = 0 OR page_id % 9 = 1 OR page_id % 11 = 2")
+def f06(spark, sf):
+    return _posts(spark, sf).where(urls.is_gone(c("post"))).select("page_id")
+
+
+def _posts(spark, sf):
+    p = c("page_id")
+    return table(spark, sf, "pages").select(p, F.struct(
+        F.when(p % 4 == 0, True).when(p % 3 == 0, False).alias("is_video"), F.when(p % 5 == 1, "hosted:video").alias("post_hint"),
+        F.when(p % 7 == 2, "YouTube.com").otherwise("i.redd.it").alias("domain"), F.when(p % 6 == 0, "moderator").alias("removed_by_category"),
+        F.when(p % 9 == 1, "[removed]").otherwise("text").alias("selftext"), F.when(p % 11 == 2, "[deleted]").alias("title")).alias("post"))
+
+
+@query("k01_append_log", "SELECT o_orderstatus, 2 * count(*) AS n FROM orders GROUP BY 1")
+def k01(spark, sf):
+    folder = fresh_folder(spark, "log")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    writers.append_log(rows, folder)
+    writers.append_log(rows, folder)
+    log = readers.json_lines(spark, folder, "o_orderkey long, o_orderstatus string")
+    return log.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k06_audit_report", f"""SELECT count(*)::BIGINT AS sample_size, count(*) FILTER (WHERE verdict = 'valid')::BIGINT AS valid, count(*) FILTER (WHERE verdict = 'invalid')::BIGINT AS invalid FROM {S.LABELS}""")
+def k06(spark, sf):
+    from stitchwork.operators.aggregates import audit_summary
+    ok = F.lit(True)
+    v = S.label_rows(spark, sf).select("verdict", ok.alias("body_type_match"), ok.alias("face_match"), ok.alias("attribute_match"),
+                                       F.lit(False).alias("severe_anatomy_defect"))
+    report = writers.audit_report(audit_summary(v, 28000), "judge")
+    j = lambda path: F.get_json_object("value", path).cast("long")
+    return report.select(j("$.sample_size").alias("sample_size"), j("$.summary.valid").alias("valid"), j("$.summary.invalid").alias("invalid"))
 
 
 @query("s06_labels_csv", f"SELECT filename, category, tier, score, upper_pattern, fit_baggy::INT AS fit_baggy FROM {S.LABELS} WHERE category = 'Men_Outfit'")

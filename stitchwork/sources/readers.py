@@ -56,28 +56,37 @@ def parse_json_column(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.withColumn("_p", parsed).where(F.col("_p").isNotNull()).select(*df.columns, "_p.*")
 
 
-def json_map_of_lists(spark: SparkSession, path: str, key: str = "category", value: str = "url") -> DataFrame:
-    """``{category: [url, ...]}`` as rows with the position inside the list."""
-    text = spark.read.text(path, wholetext=True)
-    entries = text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias(key, "_list"))
+def json_map_rows(texts: DataFrame, key: str = "category", value: str = "url") -> DataFrame:
+    """``{category: [url, ...]}`` documents (``value``) as rows with the position inside the list."""
+    entries = texts.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias(key, "_list"))
     return entries.select(key, F.posexplode("_list").alias("position", value))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """``{filename: {prompt, category, tier, seed, row}}`` as rows."""
-    text = spark.read.text(path, wholetext=True)
+def json_map_of_lists(spark: SparkSession, path: str, key: str = "category", value: str = "url") -> DataFrame:
+    return json_map_rows(spark.read.text(path, wholetext=True), key, value)
+
+
+def manifest_rows(texts: DataFrame) -> DataFrame:
+    """``{filename: {prompt, category, tier, seed, row}}`` documents (``value``) as rows."""
     kind = ("map<string,struct<prompt:string,negative_prompt:string,category:string,tier:string,seed:bigint,"
             "row:map<string,string>>>")
-    return text.select(F.explode(F.from_json("value", kind)).alias("filename", "_e")).select("filename", "_e.*")
+    return texts.select(F.explode(F.from_json("value", kind)).alias("filename", "_e")).select("filename", "_e.*")
 
 
-def variants(spark: SparkSession, path: str) -> DataFrame:
-    """``{variant: {key: text}}`` as (variant, key, text), empty texts left out."""
-    text = spark.read.text(path, wholetext=True)
-    outer = text.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("variant", "_m"))
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    return manifest_rows(spark.read.text(path, wholetext=True))
+
+
+def variant_rows(texts: DataFrame) -> DataFrame:
+    """``{variant: {key: text}}`` documents (``value``) as (variant, key, text), empty texts left out."""
+    outer = texts.select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("variant", "_m"))
     return outer.select("variant", F.explode("_m").alias("key", "text")).where(F.col("text") != "")
 
 
+def variants(spark: SparkSession, path: str) -> DataFrame:
+    return variant_rows(spark.read.text(path, wholetext=True))
+
+
 def label_type(field: dict) -> T.DataType:
     return {"regression": T.DoubleType(), "ordinal": T.IntegerType()}.get(field["type"], T.StringType())
 
@@ -250,11 +259,16 @@ CATALOG_SCHEMA = ("category string, subreddit string, query string, listing stri
                   "description string, limit int")
 
 
+def catalog_defaults(rows: DataFrame) -> DataFrame:
+    """Fill a catalog table: a query and a listing exclude each other, the rest has defaults."""
+    query = F.when(F.col("query") != "", F.col("query"))
+    return rows.withColumns({
+        "query": query, "listing": F.when(query.isNull(), F.coalesce("listing", F.lit("hot"))),
+        "sort": F.coalesce("sort", F.lit("top")), "time": F.coalesce("time", F.lit("all")),
+        "description": F.coalesce("description", F.lit("")), "limit": F.coalesce("limit", F.lit(40))})
+
+
 def query_catalog(spark: SparkSession, entries: list[dict]) -> DataFrame:
     """Declarative catalog with defaults; a query and a listing exclude each other."""
-    rows = []
-    for e in entries:
-        query = e.get("query") or None
-        rows.append((e["category"], e["subreddit"], query, None if query else e.get("listing", "hot"),
-                     e.get("sort", "top"), e.get("time", "all"), e.get("description", ""), e.get("limit", 40)))
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    names = [part.split()[0] for part in CATALOG_SCHEMA.split(", ")]
+    return catalog_defaults(spark.createDataFrame([tuple(e.get(n) for n in names) for e in entries], CATALOG_SCHEMA))

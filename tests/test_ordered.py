@@ -62,7 +62,7 @@ def test_claim_urls_equals_serial_loop(spark):
     rng = random.Random(9)
     rows = [(f"u{rng.randrange(30)}", f"c{c}", c, p, 4 + c % 3) for c in range(6) for p in range(15)]
     found = spark.createDataFrame(rows, "url string, category string, ord int, pos int, lim int")
-    got = {(r["category"], r["url"]) for r in sets.claim_urls(found, "url", "category", "ord", "pos", "lim").collect()}
+    got = {(r["category"], r["url"]) for r in sets.claim_urls(found, "url", "category", "ord", "pos", "lim", 6).collect()}
     taken, want = set(), set()
     for c in range(6):
         mine = 0
