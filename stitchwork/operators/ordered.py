@@ -43,16 +43,16 @@ def with_ranges(df: DataFrame, keys: list[Column], ranges: int | None = None) ->
     # About _PER_RANGE keys per range, whatever the size of the input.
     sample = df.select(key.alias("k"), draw.alias("d")).where(F.col("d") < chance).agg(
         F.sort_array(F.collect_list("k")).alias("s"))
-    bounds = sample.select(F.filter("s", lambda x, i: i % _PER_RANGE == _PER_RANGE - 1).alias("b")).scalar()
-    # Two levels of comparison: block first, then inside the block.
+    # Two levels of comparison, blocks first and then inside one block; both lists are built once.
     block = max(1, int(ranges ** 0.5))
-    out = df.withColumn("_key", key).withColumn("_bounds", bounds)
-    below = lambda bounds_part: F.size(F.filter(bounds_part, lambda b: b < F.col("_key")))
-    blocks = F.filter("_bounds", lambda x, i: i % block == block - 1)
-    out = out.withColumn("_block", below(blocks))
-    inside = F.slice("_bounds", F.col("_block") * block + 1, F.lit(block))
+    cuts = sample.select(F.filter("s", lambda x, i: i % _PER_RANGE == _PER_RANGE - 1).alias("fine")).select(
+        F.struct("fine", F.filter("fine", lambda x, i: i % block == block - 1).alias("coarse"))).scalar()
+    out = df.withColumn("_key", key).withColumn("_cuts", cuts)
+    below = lambda part: F.size(F.filter(part, lambda b: b < F.col("_key")))
+    out = out.withColumn("_block", below(F.col("_cuts.coarse")))
+    inside = F.slice(F.col("_cuts.fine"), F.col("_block") * block + 1, F.lit(block))
     return (out.withColumn(RANGE, F.col("_block") * block + below(inside))
-            .drop("_key", "_bounds", "_block"))
+            .drop("_key", "_cuts", "_block"))
 
 
 def global_row_number(df: DataFrame, keys: list[Column], name: str, ranges: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stitchwork.functions import advice, decode, portraits, text
 from stitchwork.operators import aggregates as AG
 from stitchwork.operators import joins
+from stitchwork.operators.filters import keep
 from stitchwork.plans import standins as S
 from stitchwork.plans.queries_filters import LOG_SQL, status_log
 from stitchwork.plans.queries_scalars import (
@@ -159,7 +160,7 @@ def a10b(spark, sf):
 @query("a11_class_allocation", f"""SELECT category, count(*) AS available, least(count(*), 50)::BIGINT AS allocated FROM ({DESCRIPTION_SQL}) WHERE category IS NOT NULL GROUP BY category""")
 def a11(spark, sf):
     rows = portraits.classify_descriptions(S.photos(spark, sf).select("description"), "description")
-    return AG.allocation(rows, "category", 50)
+    return AG.allocation(keep(rows, c("category").isNotNull()), "category", 50)
 
 
 @query("a12_prefix_counts", f"""WITH k AS (SELECT string_split(CASE WHEN o_orderkey % 9 = 0 THEN 'solo' ELSE {sql_pick(['men_u35_suit', 'women_o50_chic', 'face_men_u35', 'posture_check'], 'o_orderkey')} END, '_') AS p FROM orders)
