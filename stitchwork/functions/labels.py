@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stitchwork.functions.text import half_even, literals, lookup
 from stitchwork.rules import garments as G
 
-FILENAME_PATTERN = r"^\d{5}_(.+?)_(flaw_severe|flaw_mild|average|polished)\.png$"
+FILENAME_PATTERN = r"^\d{5,}_(.+?)_(flaw_severe|flaw_mild|average|polished)\.png$"
 
 
 def rescale_score(score: Column) -> Column:
@@ -75,7 +75,8 @@ def task_filename(index: Column, category: Column, tier: Column) -> Column:
 
 
 def filename_index(name: Column) -> Column:
-    return F.when(name.rlike(r"^\d{5}_"), F.substring(name, 1, 5).cast("int"))
+    """Index before the first underscore: five digits, more from 100,000 on."""
+    return F.regexp_extract(name, r"^(\d{5,})_", 1).try_cast("bigint")
 
 
 def filename_category(name: Column) -> Column:
@@ -89,9 +90,14 @@ def filename_tier(name: Column) -> Column:
 
 
 def content_key(content: Column) -> Column:
+    """Short display name of a content. Equality is decided on ``content_digest``."""
     return F.substring(F.sha2(content.cast("binary"), 256), 1, 16)
 
 
+def content_digest(content: Column) -> Column:
+    return F.sha2(content.cast("binary"), 256)
+
+
 def pooled_tier_counts(total: Column) -> dict[str, Column]:
     """1/6, 1/6, 1/3, 1/3 of a total; the remainder goes to average."""
     base = F.floor(total / 6).cast("long")

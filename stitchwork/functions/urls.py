@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stitchwork.functions.text import contains_any, strip
 from stitchwork.rules import routing as R
 
-# Fixed value: the entities that occur in listing URLs; the ampersand goes last.
-URL_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
-                ("&#x2F;", "/"), ("&#47;", "/"), ("&nbsp;", " "), ("&#38;", "&"), ("&amp;", "&")]
+# The standard's named references, from the standard library; names without a semicolon also match as a prefix.
+_PREFIXES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+
+
+def _code_point(number: Column) -> Column:
+    """Character of a numeric reference; what the standard replaces is replaced."""
+    latin = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)} | {0: "\ufffd", 13: "\r"}
+    controls = ((number >= 1) & (number <= 8)) | ((number >= 14) & (number <= 31)) | (number == 11) | (number == 127) | (
+        (number >= 0xFDD0) & (number <= 0xFDEF)) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    known = F.create_map(*[F.lit(x) for kv in latin.items() for x in kv])
+    return (F.when(number.isNull() | (number > 0x10FFFF) | ((number >= 0xD800) & (number <= 0xDFFF)), "\ufffd")
+            .when(number.isin(list(latin)), F.try_element_at(known, number.cast("int")))
+            .when(controls, "").otherwise(plain))
+
+
+def _unescaped(reference: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for kv in html5.items() for x in kv])
+    digits = F.ltrim(F.regexp_extract(reference, "^&#([0-9]+)", 1), F.lit("0"))
+    hexed = F.ltrim(F.regexp_extract(reference, "^&#[xX]([0-9a-fA-F]+)", 1), F.lit("0"))
+    name = F.substring(reference, 2, 33)
+    prefix = F.regexp_extract(reference, f"^&({'|'.join(_PREFIXES)})", 1)
+    return (F.when(reference.rlike("^&#[0-9]"), _code_point(F.when(F.length(digits) <= 9, F.concat(F.lit("0"), digits).cast("bigint"))))
+            .when(reference.rlike("^&#"), _code_point(F.when(F.length(hexed) <= 8, F.conv(F.concat(F.lit("0"), hexed), 16, 10).cast("bigint"))))
+            .when(F.map_contains_key(names, name), F.try_element_at(names, name))
+            .when(prefix != "", F.concat(F.try_element_at(names, prefix), F.substr(name, F.length(prefix) + 1)))
+            .otherwise(reference))
 
 
 def unescape_url(url: Column) -> Column:
-    out = F.coalesce(url, F.lit(""))
-    for entity, plain in URL_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return strip(out)
+    """HTML-unescape in one pass, so an escaped ampersand does not start a second reference; then trim."""
+    text = F.coalesce(url, F.lit(""))
+    between, found = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    plain = F.array_append(F.transform(found, _unescaped), F.lit(""))
+    joined = F.array_join(F.zip_with(between, plain, lambda a, b: F.concat(a, b)), "")
+    return strip(F.when(text.contains("&"), joined).otherwise(text))
 
 
 def url_is_safe(url: Column) -> Column:

@@ -11,14 +11,15 @@ from stitchwork.functions.text import literals, sql_value
 def keyword_sets(keywords: DataFrame, key: str, keyword: str, vocabulary: list[str] | None = None) -> DataFrame:
     """Distinct lower-case keywords per key.
 
-    Given a vocabulary, other keywords go before the grouping, so a set can
-    never grow past the vocabulary.
+    Repeats go before the sets are gathered, so a set is as large as the
+    key's distinct words. A vocabulary keeps only words that the caller will
+    intersect with.
     """
     word = F.lower(F.trim(F.col(keyword)))
     rows = keywords.where(F.col(keyword).isNotNull()).select(key, word.alias("_k"))
     if vocabulary is not None:
         rows = rows.where(f"_k IN ({', '.join(sql_value(v) for v in vocabulary)})")
-    return rows.groupBy(key).agg(F.collect_set("_k").alias("keywords"))
+    return rows.distinct().groupBy(key).agg(F.collect_list("_k").alias("keywords"))
 
 
 def with_keywords(photos: DataFrame, sets: DataFrame, key: str) -> DataFrame:
@@ -51,11 +52,18 @@ def range_join(points: DataFrame, point: str, ranges: DataFrame, start: str, end
             .where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_cell"))
 
 
-def corrections_by_file(corrections: DataFrame, key: str = "filename") -> DataFrame:
-    """Long (file, column, value) to one map per file; a repeated column keeps its last (largest) value."""
-    single = corrections.groupBy(key, "column").agg(F.max("new_value").alias("new_value"))
-    return single.groupBy(key).agg(
+def corrections_by_file(corrections: DataFrame, key: str = "filename", position: str | None = None) -> DataFrame:
+    """Long (file, column, value) to one map per file.
+
+    With ``position`` (the place of an answer) a file's last answer replaces
+    its earlier ones as a whole. Without it all rows of a file are one answer,
+    in which a column occurs once (of repeats the largest text stays).
+    """
+    answer = [key, position] if position else [key]
+    single = corrections.groupBy(*answer, "column").agg(F.max("new_value").alias("new_value"))
+    maps = single.groupBy(*answer).agg(
         F.map_from_entries(F.collect_list(F.struct("column", "new_value"))).alias("edit"))
+    return maps.groupBy(key).agg(F.max_by("edit", position).alias("edit")) if position else maps
 
 
 def _first_row_of(labels: DataFrame, edits: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -68,9 +76,14 @@ def _first_row_of(labels: DataFrame, edits: DataFrame, key: str, order: list[str
 
 
 def apply_corrections(labels: DataFrame, corrections: DataFrame, columns: list[str], key: str = "filename",
-                      order: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(patched labels, cell diff, unmatched files); values compare as text."""
-    edits = corrections_by_file(corrections, key)
+                      order: list[str] | None = None,
+                      position: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(patched labels, cell diff, unmatched files); values compare as text.
+
+    ``order`` makes a file that is listed twice consume its edit on the first
+    row only; ``position`` is the place of an answer in the corrections.
+    """
+    edits = corrections_by_file(corrections, key, position)
     target = _first_row_of(labels, edits, key, order) if order else labels.join(edits, key, "left")
     new = {c: F.try_element_at("edit", F.lit(c)) for c in columns}
     cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("old_value"), new[c].alias("new_value"))
@@ -87,9 +100,9 @@ def apply_corrections(labels: DataFrame, corrections: DataFrame, columns: list[s
 
 
 def salvage_rows(labels: DataFrame, plan: DataFrame, columns: list[str], key: str = "filename",
-                 order: list[str] | None = None) -> DataFrame:
+                 order: list[str] | None = None, position: str | None = None) -> DataFrame:
     """Copies of the planned rows with their edits, under a ``salvage_`` name, ready to append."""
-    edits = corrections_by_file(plan, key)
+    edits = corrections_by_file(plan, key, position)
     target = _first_row_of(labels, edits, key, order) if order else labels.join(edits, key, "inner")
     hit = target.where(F.col("edit").isNotNull())
     edited = {c: F.coalesce(F.try_element_at("edit", F.lit(c)), F.col(c).cast("string"))

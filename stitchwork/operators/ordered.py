@@ -2,17 +2,15 @@
 
 ``row_number() over (order by ...)`` without a partition, or partitioned by
 a key that owns a third of the rows, sends all of them to one task. Here the
-rows are cut into ranges of (key, order) first. The cuts come from a sample
-of whole, unique sort keys, so a hot key is cut as often as it needs, and
-they are values (not partition ids), so a recomputed partition lands in the
-same range. Each range runs a plain window; what a range needs from the ones
-before it is a per-range total, carried over by a join with at most one row
-per range.
-
-Passes over the input: one count, one sample, one total per range, one
-result. Put ``session.settle`` in front when the input itself is expensive;
-chained calls double the passes each time, so a chain longer than two
-belongs behind it as well.
+rows are cut into ranges of (key, order) first: one range exchange on whole,
+unique sort keys, so a hot key is cut as often as it needs. The cut rows are
+written to the shared checkpoint folder with their range number, so a
+recomputed partition finds the same cut. Each range runs a plain window; what
+a range needs from the ones before it is a per-range total, carried over by a
+join with at most one row per range.
+
+Passes over the input: one to count, one to sample and one to write the cut.
+Totals and results read the cut, also in chained calls with ``keep_ranges``.
 """
 
 from __future__ import annotations
@@ -20,50 +18,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stitchwork.session import settle
+
 RANGE = "_range"
-_PER_RANGE = 16
-_MAX_RANGES = 4096
+#: Rows that one range, so one task, holds at most on average.
+ROWS_PER_RANGE = 2_000_000
 
 
 def _sort_key(keys: list[Column]) -> Column:
     return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
 
 
-def with_ranges(df: DataFrame, keys: list[Column], ranges: int | None = None) -> DataFrame:
-    """Add the range number of each row. ``keys`` sort ascending and are unique together."""
-    spark = df.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(1, min(ranges, _MAX_RANGES))
-    if ranges == 1:
+def with_ranges(df: DataFrame, keys: list[Column], ranges: int | None = None,
+                rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Add the range number of each row. ``keys`` sort ascending and are unique together.
+
+    As many ranges as the session's shuffle partitions, or more where these
+    would hold over ``rows_per_range`` rows; there is no maximum.
+    """
+    if ranges is None:
+        ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows_per_range))
+    if ranges <= 1:
         return df.withColumn(RANGE, F.lit(0))
-    key = _sort_key(keys)
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    chance = F.lit(float(_PER_RANGE * ranges)) / F.greatest(total, F.lit(1))
-    draw = F.shiftrightunsigned(F.xxhash64(key), 11).cast("double") / float(1 << 53)
-    # About _PER_RANGE keys per range, whatever the size of the input.
-    sample = df.select(key.alias("k"), draw.alias("d")).where(F.col("d") < chance).agg(
-        F.sort_array(F.collect_list("k")).alias("s"))
-    # Two levels of comparison, blocks first and then inside one block; both lists are built once.
-    block = max(1, int(ranges ** 0.5))
-    cuts = sample.select(F.filter("s", lambda x, i: i % _PER_RANGE == _PER_RANGE - 1).alias("fine")).select(
-        F.struct("fine", F.filter("fine", lambda x, i: i % block == block - 1).alias("coarse"))).scalar()
-    out = df.withColumn("_key", key).withColumn("_cuts", cuts)
-    below = lambda part: F.size(F.filter(part, lambda b: b < F.col("_key")))
-    out = out.withColumn("_block", below(F.col("_cuts.coarse")))
-    inside = F.slice(F.col("_cuts.fine"), F.col("_block") * block + 1, F.lit(block))
-    return (out.withColumn(RANGE, F.col("_block") * block + below(inside))
-            .drop("_key", "_cuts", "_block"))
+    return settle(df.repartitionByRange(ranges, *keys).withColumn(RANGE, F.spark_partition_id()))
 
 
 def global_row_number(df: DataFrame, keys: list[Column], name: str, ranges: int | None = None) -> DataFrame:
     """Dense 1-based position in the order of ``keys``, over the whole table."""
     cut = with_ranges(df, keys, ranges)
     before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range, so this window and the broadcast are bounded by the range count.
+    # One row per range.
     offsets = cut.groupBy(RANGE).agg(F.count(F.lit(1)).alias("_n")).select(
         RANGE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     local = cut.withColumn("_rn", F.row_number().over(Window.partitionBy(RANGE).orderBy(*keys)))
-    return (local.join(F.broadcast(offsets), RANGE)
+    return (local.join(offsets, RANGE)
             .withColumn(name, (F.col("_rn") + F.col("_offset")).cast("long"))
             .drop("_rn", "_offset", RANGE))
 
@@ -130,7 +118,7 @@ def running(df: DataFrame, key: list[str], order: list[Column], features: dict[s
     reach = summary.select(RANGE, *key, *carries, spans.alias("_spans")).where("_spans").drop("_spans")
     rows = cut.select("*", *local, F.row_number().over(window).alias("_rn"),
                       F.lead(F.lit(True)).over(window).isNull().alias("_end"))
-    joined = rows.join(F.broadcast(reach), [RANGE, *key], "left")
+    joined = rows.join(reach, [RANGE, *key], "left")
 
     out = {}
     for n, (kind, _) in features.items():

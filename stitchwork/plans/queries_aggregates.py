@@ -247,7 +247,7 @@ def a20(spark, sf):
 
 @query("a21_event_sets", "SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS kinds FROM events GROUP BY user_id")
 def a21(spark, sf):
-    sets = joins.keyword_sets(table(spark, sf, "events"), "user_id", "event_type", ["click", "error", "purchase", "signup", "view"])
+    sets = joins.keyword_sets(table(spark, sf, "events"), "user_id", "event_type")
     return sets.select("user_id", F.array_join(F.array_sort("keywords"), "|").alias("kinds"))
 
 

@@ -20,10 +20,10 @@ c = F.col
 
 
 @query("j01_keyword_sets", f"""WITH k AS (SELECT photo_id, list_sort(list(DISTINCT lower(trim(keyword)))) AS ks FROM {S.KEYWORDS}
-  WHERE lower(trim(keyword)) IN {sql_in(S.PHOTO_VOCABULARY)} GROUP BY 1)
+  WHERE keyword IS NOT NULL GROUP BY 1)
 SELECT photo_id, coalesce(array_to_string(ks, '|'), '') AS keywords FROM {S.PHOTOS} LEFT JOIN k USING (photo_id)""")
 def j01(spark, sf):
-    sets = joins.keyword_sets(S.keyword_rows(spark, sf), "photo_id", "keyword", S.PHOTO_VOCABULARY)
+    sets = joins.keyword_sets(S.keyword_rows(spark, sf), "photo_id", "keyword")
     photos = joins.with_keywords(S.photos(spark, sf).select("photo_id"), sets, "photo_id")
     return photos.select("photo_id", F.array_join(F.array_sort("keywords"), "|").alias("keywords"))
 
@@ -59,9 +59,9 @@ def j04(spark, sf):
 
 
 @query("j05_audit_tasks", f"""SELECT l.id, t.o_totalprice AS price FROM {S.LABELS} l JOIN orders t
-  ON l.verdict = 'invalid' AND regexp_matches(l.filename, '^\\d{{5}}_') AND left(l.filename, 5)::BIGINT = t.o_orderkey""")
+  ON l.verdict = 'invalid' AND l.id = t.o_orderkey""")
 def j05(spark, sf):
-    audit = S.label_rows(spark, sf).where(c("verdict") == "invalid").select("id", L.filename_index(c("filename")).cast("long").alias("o_orderkey"))
+    audit = S.label_rows(spark, sf).where(c("verdict") == "invalid").select("id", L.filename_index(c("filename")).alias("o_orderkey"))
     return audit.where(c("o_orderkey").isNotNull()).join(table(spark, sf, "orders"), "o_orderkey").select("id", c("o_totalprice").alias("price"))
 
 
@@ -126,18 +126,38 @@ def j11b(spark, sf):
     return joins.apply_corrections(rows, fit_corrections(spark, sf), ["fit_baggy", "fit_tight"])[0].drop("filename")
 
 
-@query("j12_rollback_paths", f"""WITH log AS (SELECT o_orderkey AS pos, '/raw/' || o_orderstatus || '/' || (o_orderkey % 900) || '.jpg' AS file,
-  '/train/' || (o_orderkey % 900) || '.jpg' AS destination FROM orders WHERE o_orderkey % 900 <> 5),
+@query("j11c_last_answer_once", f"""WITH l AS (SELECT * FROM {S.LABELS}),
+r AS (SELECT id * 2 AS row, filename, fit_baggy, fit_tight FROM l UNION ALL SELECT id * 2 + 1, filename, fit_baggy, fit_tight FROM l WHERE id % 4 = 0)
+SELECT row, filename, CASE WHEN row % 2 = 0 AND id % 3 <> 2 THEN CASE WHEN id % 3 = 0 THEN id % 3 ELSE 9 END ELSE r.fit_baggy END AS fit_baggy,
+  CASE WHEN row % 2 = 0 AND id % 3 = 1 THEN id % 2 ELSE r.fit_tight END AS fit_tight FROM r JOIN l USING (filename)""")
+def j11c(spark, sf):
+    """Every file has two answers, '10' before '9' in some; files listed twice take theirs once."""
+    rows = S.label_rows(spark, sf).select("id", "filename", "fit_baggy", "fit_tight")
+    two = rows.select((c("id") * 2).alias("row"), "filename", "fit_baggy", "fit_tight").union(
+        rows.where(c("id") % 4 == 0).select(c("id") * 2 + 1, "filename", "fit_baggy", "fit_tight"))
+
+    def answer(place, column, value, which):
+        return rows.where(which).select("filename", F.lit(place).alias("position"), F.lit(column).alias("column"),
+                                        value.cast("string").alias("new_value"))
+    third, first = c("id") % 3, F.lit(10)
+    edits = (answer(1, "fit_baggy", first, third != 2).union(answer(1, "fit_tight", first, third != 2))
+             .union(answer(2, "fit_baggy", third, third == 0)).union(answer(2, "fit_baggy", F.lit(9), third == 1))
+             .union(answer(2, "fit_tight", c("id") % 2, third == 1)))
+    return joins.apply_corrections(two, edits, ["fit_baggy", "fit_tight"], order=["row"], position="position")[0]
+
+
+@query("j12_rollback_paths", """WITH log AS (SELECT o_orderkey AS pos, '/raw/' || o_orderstatus || '/' || (o_orderkey % 900) || '.jpg' AS file,
+  '/train/' || (o_orderkey % 900) || '.jpg' AS destination FROM orders),
 last AS (SELECT regexp_replace(destination, '^.*/', '') AS name, arg_max(file, pos) AS original FROM log GROUP BY 1)
 SELECT name, coalesce(original, 'recovered_untracked/' || name) AS restored, original IS NOT NULL AS tracked
-FROM (SELECT p_partkey || '.jpg' AS name FROM part) LEFT JOIN last USING (name)""")
+FROM (SELECT (p_partkey * 3) || '.jpg' AS name FROM part) LEFT JOIN last USING (name)""")
 def j12(spark, sf):
     k = c("o_orderkey")
     name = F.concat((k % 900).cast("string"), F.lit(".jpg"))
-    log = table(spark, sf, "orders").where(k % 900 != 5).select(
+    log = table(spark, sf, "orders").select(
         k.alias("pos"), F.concat(F.lit("/raw/"), c("o_orderstatus"), F.lit("/"), name).alias("file"),
         F.concat(F.lit("/train/"), name).alias("destination"))
-    files = table(spark, sf, "part").select(F.concat(c("p_partkey").cast("string"), F.lit(".jpg")).alias("name"))
+    files = table(spark, sf, "part").select(F.concat((c("p_partkey") * 3).cast("string"), F.lit(".jpg")).alias("name"))
     return joins.rollback_paths(files, log, "pos")
 
 
@@ -199,11 +219,11 @@ def j16(spark, sf):
     return filters.target_status(targets, table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
-@query("j17_known_hashes", """WITH k AS (SELECT left(sha256(text), 16) AS key, doc_id FROM documents)
+@query("j17_known_hashes", """WITH k AS (SELECT sha256(text) AS key, doc_id FROM documents)
 SELECT key, min(doc_id) AS doc_id FROM k WHERE key NOT IN (SELECT key FROM k JOIN labels USING (doc_id)) GROUP BY key""")
 def j17(spark, sf):
     from stitchwork.operators.sets import novel_urls
-    d = table(spark, sf, "documents").select(L.content_key(c("text")).alias("key"), "doc_id")
+    d = table(spark, sf, "documents").select(L.content_digest(c("text")).alias("key"), "doc_id")
     indexed = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     return novel_urls(d, indexed, "key", [c("doc_id")]).select("key", "doc_id")
 

@@ -251,16 +251,11 @@ def p18(spark, sf):
 
 # ---- URLs -----------------------------------------------------------------------------------
 
-_ENT = "url"
-for _e, _p in urls.URL_ENTITIES:
-    _ENT = f"replace({_ENT}, {q(_e)}, {q(_p)})"
-
-
 @query("p19_unescape_url", f"""
-WITH u AS (SELECT page_id, ' ' || page_url || '?a=1&amp;b=' || page_id || '&#39;&amp;lt; ' AS url FROM {S.URLS})
-SELECT page_id, trim({_ENT}) AS url FROM u""")
+SELECT page_id, page_url || '?a=1&b=' || page_id || '''&lt;&amp;é=x=y©=1&unknown;' AS url FROM {S.URLS}""")
 def p19(spark, sf):
-    raw = F.concat(F.lit(" "), c("page_url"), F.lit("?a=1&amp;b="), c("page_id").cast("string"), F.lit("&#39;&amp;lt; "))
+    raw = F.concat(F.lit(" "), c("page_url"), F.lit("?a=1&amp;b="), c("page_id").cast("string"),
+                   F.lit("&#39;&amp;lt;&#38;amp;&eacute;&#61;x&#x3D;y&copy=1&unknown; "))
     return S.urls(spark, sf).select("page_id", urls.unescape_url(raw).alias("url"))
 
 
@@ -298,9 +293,7 @@ def p23(spark, sf):
                                                 F.sha2(c("text").cast("binary"), 256).alias("full_key"))
 
 
-@query("p24_parse_task_filename", f"""SELECT id, CASE WHEN regexp_matches(filename, '^\\d{{5}}_') THEN left(filename, 5)::INT END AS index,
-  CASE WHEN regexp_matches(filename, '^\\d{{5}}_') THEN category END AS category,
-  CASE WHEN regexp_matches(filename, '^\\d{{5}}_') THEN tier END AS tier FROM {S.LABELS}""")
+@query("p24_parse_task_filename", f"SELECT id, id AS index, category, tier FROM {S.LABELS}")
 def p24(spark, sf):
     n = c("filename")
     return S.label_rows(spark, sf).select("id", labels.filename_index(n).alias("index"),

@@ -276,17 +276,22 @@ def k03(spark, sf):
     return rows.select("filename", "score", "fabric_wrinkled", "requested_hair_desc")
 
 
-@query("k04_versioned_snapshot", f"SELECT count(*) AS n, count(DISTINCT filename) AS files FROM {S.LABELS}")
+@query("k04_versioned_snapshot", f"SELECT id, filename, score FROM {S.LABELS}")
 def k04(spark, sf):
     folder = fresh_folder(spark, "snapshot")
     rows = S.label_rows(spark, sf).select("id", "filename", "score")
-    writers.publish(rows.where(c("id") % 2 == 0), folder, write=True, version="1")
-    writers.publish(rows, folder, write=True, version="2")
-    return readers_current(spark, folder)
+    writers.publish(rows.where(c("id") % 2 == 0), folder, write=True, version="9")
+    writers.publish(rows, folder, write=True, version="10")
+    return writers.read_published(spark, folder)
 
 
-def readers_current(spark, folder):
-    return writers.read_published(spark, folder).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("filename").alias("files"))
+@query("k04b_dry_run_diff", f"""SELECT id, 'tier' AS "column", tier AS old_value, tier || '!' AS new_value FROM {S.LABELS} WHERE id % 3 = 0""")
+def k04b(spark, sf):
+    folder = fresh_folder(spark, "snapshot")
+    rows = S.label_rows(spark, sf).select("id", "filename", "tier")
+    writers.publish(rows, folder, write=True, version="1")
+    edited = rows.withColumn("tier", F.when(c("id") % 3 == 0, F.concat("tier", F.lit("!"))).otherwise(c("tier")))
+    return writers.preview(edited, folder, "id")
 
 
 @query("k09_request_lines", """SELECT '{"key":"d' || doc_id || '","request":{"contents":[{"role":"user","parts":[{"inline_data":{"mime_type":"image/png","data":"' || base64(encode(text)) || '"}},{"text":"Classify doc ' || doc_id || '"}]}],"system_instruction":{"parts":[{"text":"Be strict."}]},"generation_config":{"temperature":0.1,"response_mime_type":"application/json"}}}' AS value FROM documents""")

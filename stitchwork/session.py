@@ -38,7 +38,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset
-    (tests on one machine) a fresh local folder is used.
+    on a local master (tests on one machine) a fresh local folder is used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(current)
     return current

@@ -34,22 +34,41 @@ def write_labels(labels: DataFrame, path: str, category: str) -> None:
     label_columns(labels, category).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+_POINTER = "version string, published long"
+
+
+def preview(df: DataFrame, root: str, key: str) -> DataFrame:
+    """Cells that publishing df would change against the current version: key, column, old_value, new_value as text.
+
+    Cells of a row that only one side has show null on the other.
+    """
+    columns = [c for c in df.columns if c != key]
+
+    def cells(rows: DataFrame, name: str) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias(name)) for c in columns])
+        return rows.select(key, F.explode(pairs).alias("_c")).select(key, "_c.column", f"_c.{name}")
+    both = cells(read_published(df.sparkSession, root), "old_value").join(cells(df, "new_value"), [key, "column"], "full")
+    return both.where(~F.col("old_value").eqNullSafe(F.col("new_value")))
+
+
 def publish(df: DataFrame, root: str, write: bool = False, version: str | None = None) -> str | None:
     """Versioned snapshot: the new version is complete before the pointer moves, older ones stay.
 
-    Without ``write`` nothing happens (dry run is the default).
+    Without ``write`` nothing happens (dry run is the default; ``preview``
+    gives the cells that would change). A pointer row carries the time of its
+    publication, so versions may have any names.
     """
     if not write:
         return None
     version = version or time.strftime("%Y%m%dT%H%M%SZ", time.gmtime())
     df.write.mode("errorifexists").parquet(f"{root}/v={version}")
-    pointer = df.sparkSession.createDataFrame([(version,)], "version string").coalesce(1)
+    pointer = df.sparkSession.createDataFrame([(version, time.time_ns())], _POINTER).coalesce(1)
     pointer.write.mode("append").json(f"{root}/_versions")
     return version
 
 
 def current_version(spark: SparkSession, root: str) -> str:
-    return spark.read.schema("version string").json(f"{root}/_versions").agg(F.max("version")).first()[0]
+    return spark.read.schema(_POINTER).json(f"{root}/_versions").agg(F.max_by("version", "published")).first()[0]
 
 
 def read_published(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
