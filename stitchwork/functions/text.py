@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,9 +151,26 @@ def fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", half_even(c, digits))
 
 
+#: A prime below 2^31, so products of two residues stay inside a bigint. Raising to the fifth power permutes its residues.
+DRAW_PRIME = 2**31 - 1
+
+
+def sql_draw(seed: int | str, key: str) -> str:
+    """Whole-number draw in [0, DRAW_PRIME) per row from a whole-number key (SQL text of any engine).
+
+    Affine, fifth power, affine: every step is exact in bigint and a
+    permutation, so keys below the prime never collide within a seed.
+    """
+    digest = hashlib.sha256(str(seed).encode()).digest()
+    a, b, c, d = (int.from_bytes(digest[i:i + 4], "big") % (DRAW_PRIME - 1) + 1 for i in (0, 4, 8, 12))
+    x = f"((CAST({key} AS BIGINT) % {DRAW_PRIME} * {a} + {b}) % {DRAW_PRIME})"
+    square = f"({x} * {x} % {DRAW_PRIME})"
+    return f"(({square} * {square} % {DRAW_PRIME} * {x} % {DRAW_PRIME} * {c} + {d}) % {DRAW_PRIME})"
+
+
 def uniform(seed: int | str, key: str) -> Column:
     """Deterministic draw in [0, 1) per row from a key column, equal on every partitioning."""
-    return F.expr(f"CAST(shiftrightunsigned(xxhash64({sql_value(str(seed))}, {key}), 11) AS DOUBLE) / {float(1 << 53)!r}D")
+    return F.expr(f"CAST({sql_draw(seed, key)} AS DOUBLE) / {float(DRAW_PRIME)!r}D")
 
 
 def sql_weighted(draw: str, options: list, weights: list[float]) -> str:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stitchwork.functions.text import literals
+from stitchwork.functions.text import literals, sql_draw
 from stitchwork.operators.ordered import first_per_key, global_row_number, running, top_per_key
 from stitchwork.session import settle
 
@@ -169,19 +169,18 @@ def ordered_split(df: DataFrame, order: list[Column], train_share: float, min_ea
             .withColumn("split", F.when(F.col("_pos") <= F.col("_cut"), "train").otherwise("val")).drop("_pos", "_cut"))
 
 
-def random_split(df: DataFrame, key: Column, seed: int, val_share: float = 0.2) -> DataFrame:
-    """Exact shares in hashed order, at least one row on the validation side."""
+def random_split(df: DataFrame, key: str, seed: int, val_share: float = 0.2) -> DataFrame:
+    """Exact shares in drawn order of a whole-number key, at least one row on the validation side."""
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     val = F.greatest(F.lit(1), F.floor(total * F.lit(val_share)))
-    draw = F.xxhash64(F.lit(str(seed)), key)
-    return (global_row_number(df.withColumn("_draw", draw), [F.col("_draw"), key], "_pos").withColumn("_val", val)
+    return (global_row_number(df.withColumn("_draw", F.expr(sql_draw(seed, key))), [F.col("_draw"), F.col(key)], "_pos").withColumn("_val", val)
             .withColumn("split", F.when(F.col("_pos") <= F.col("_val"), "val").otherwise("train"))
             .drop("_draw", "_pos", "_val"))
 
 
-def sample_rows(df: DataFrame, key: Column, seed: int, n: int) -> DataFrame:
-    """n rows without replacement by hashed order, equal on every partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(str(seed)), key), key).limit(n)
+def sample_rows(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """n rows without replacement by drawn order, equal on every partitioning."""
+    return df.orderBy(F.expr(sql_draw(seed, key)), key).limit(n)
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -206,10 +205,10 @@ def reindex(values: DataFrame, value: str, name: str = "new_id") -> DataFrame:
             .withColumn(name, F.col("_pos") - 1).drop("_pos"))
 
 
-def shuffled_positions(df: DataFrame, key: Column, seed: int, name: str = "position") -> DataFrame:
-    """Deterministic shuffle: zero-based position in hashed order."""
-    out = df.withColumn("_draw", F.xxhash64(F.lit(str(seed)), key))
-    return (global_row_number(out, [F.col("_draw"), key], "_pos")
+def shuffled_positions(df: DataFrame, key: str, seed: int, name: str = "position") -> DataFrame:
+    """Deterministic shuffle: zero-based position in drawn order."""
+    out = df.withColumn("_draw", F.expr(sql_draw(seed, key)))
+    return (global_row_number(out, [F.col("_draw"), F.col(key)], "_pos")
             .withColumn(name, F.col("_pos") - 1).drop("_draw", "_pos"))
 
 

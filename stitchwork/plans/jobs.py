@@ -97,7 +97,7 @@ def training_set(samples: DataFrame, annotations: DataFrame, key: str, fields: l
         raw = F.col(f["name"]) if f["name"] in samples.columns else F.lit(None).cast("string")
         target, mask = L.target_and_mask(f, raw, score)
         cols += [target.alias(f"{f['name']}_target"), mask.alias(f"{f['name']}_mask")]
-    return sets.random_split(j.select(key, *cols), F.col(key), seed=11)
+    return sets.random_split(j.select(key, *cols), key, seed=11)
 
 
 def evaluation_report(p: DataFrame, predicted: Column, target: Column, mask: Column) -> dict[str, DataFrame]:

@@ -159,7 +159,8 @@ def f19(spark, sf):
     return filters.qa_passed(S.advice(spark, sf), flag).select("id")
 
 
-@query("f20_trainable_fields")
+@query("f20_trainable_fields", f"""SELECT filename, upper_pattern, lower_pattern, facial_hair_style, makeup_style, fabric_wrinkled, fit_baggy, fit_tight,
+  footwear_worn, styling_sloppy, hair_untidy, skin_neglected, eyebrows_unkempt, facial_hair_untidy, makeup_uneven, score FROM {S.LABELS}""")
 def f20(spark, sf):
     """Only the trainable columns of the label rows survive; provenance columns are pruned before the scan."""
     from stitchwork.sources.readers import trainable_fields

@@ -10,7 +10,8 @@ from stitchwork.operators.filters import unprocessed
 from stitchwork.plans import standins as S
 from stitchwork.plans.queries_aggregates import VOCAB_SQL, retained_vocabulary
 from stitchwork.plans.queries_joins import _SALVAGE_SQL, salvaged
-from stitchwork.plans.registry import q, query, sql_in, sql_list, sql_pick, table
+from stitchwork.plans.registry import (
+    q, query, sql_choice, sql_draw_number, sql_in, sql_list, sql_map, sql_pick, sql_uniform, sql_weigh, table)
 from stitchwork.rules import advice as A
 from stitchwork.rules import garments as G
 from stitchwork.rules import photos as P
@@ -122,19 +123,64 @@ def drawn(spark, sf, seed=2026):
     return generate.draw_labels(tasks, seed)
 
 
-@query("u12_weighted_draw")
+_DRAWN_FIELDS = ["score", "target", "direction", "background", "lighting", "framing", "upper_pattern", "upper_color",
+                 *(f"{s}:{d}" for s in ("upper", "mid", "lower", "footwear") for d in ("band", "item"))]
+
+
+def _slot_sql(slot: str) -> str:
+    def pool(gender):
+        entries = G.POOLS[(gender, slot)]
+        near = " ".join(f"WHEN {level} THEN " + sql_weigh(f"u_{slot}_item", [n for n, _, f in entries if abs(f - level) <= 1],
+                                                          [3.0 if f == level else 1.0 for _, _, f in entries if abs(f - level) <= 1])
+                        for level in range(4))
+        return f"CASE WHEN u_{slot}_band < 0.75 THEN CASE target {near} END ELSE {sql_choice(f'u_{slot}_item', [n for n, _, _ in entries])} END"
+    return f"CASE WHEN starts_with(category, 'Women') THEN {pool('woman')} ELSE {pool('man')} END"
+
+
+def _worth_sql(slot: str, garment: str) -> str:
+    worth = {g: sql_map(garment, {n: f for n, _, f in G.POOLS[(g, slot)]}) for g in ("man", "woman")}
+    return f"CASE WHEN starts_with(category, 'Women') THEN {worth['woman']} ELSE {worth['man']} END"
+
+
+def _color_sql(draw: str, garment: str) -> str:
+    cases = " ".join(f"WHEN {q(n)} THEN {sql_choice(draw, allowed)}" for n, allowed in G.GARMENT_COLORS.items())
+    return f"CASE {garment} {cases} ELSE {sql_choice(draw, list(G.PALETTE))} END"
+
+
+DRAWN_SQL = f"""(WITH d AS (SELECT id AS index, category, tier, ends_with(category, 'Outfit') AS outfit,
+  {', '.join(f"{sql_uniform(f'2026:{f}', 'id')} AS u_{f.replace(':', '_')}" for f in _DRAWN_FIELDS)} FROM {S.LABELS}),
+t AS (SELECT *, floor(u_target * 4)::INT AS target FROM d),
+p AS (SELECT *, CASE WHEN outfit THEN {_slot_sql('upper')} END AS upper_type, CASE WHEN outfit THEN {_slot_sql('mid')} END AS mid_type,
+  CASE WHEN outfit THEN {_slot_sql('lower')} END AS lower_draw, CASE WHEN outfit THEN {_slot_sql('footwear')} END AS footwear_type FROM t),
+g AS (SELECT *, CASE WHEN upper_type = 'dress' THEN 'none' ELSE lower_draw END AS lower_type FROM p),
+w AS (SELECT *, list_filter([{_worth_sql('upper', 'upper_type')}, CASE WHEN mid_type <> 'none' THEN {_worth_sql('mid', 'mid_type')} END,
+  {_worth_sql('lower', 'lower_type')}, {_worth_sql('footwear', 'footwear_type')}], lambda x: x IS NOT NULL) AS worths FROM g),
+f AS (SELECT *, list_sum(worths)::DOUBLE / len(worths) AS mean FROM w)
+SELECT index, category, tier, upper_type, mid_type, lower_type, footwear_type,
+  CASE WHEN outfit THEN CASE WHEN mean < 1 THEN 'casual' WHEN mean < 2 THEN 'smart_casual' WHEN mean < 2.75 THEN 'business' ELSE 'formal' END END AS formality,
+  CASE WHEN outfit THEN {sql_weigh('u_upper_pattern', ['solid', 'striped', 'checked', 'printed'], [0.55, 0.16, 0.15, 0.14])} END AS upper_pattern,
+  CASE WHEN outfit THEN {_color_sql('u_upper_color', 'upper_type')} END AS requested_upper_color,
+  CASE WHEN outfit THEN CASE WHEN u_direction < 0.5 THEN 'baggy' ELSE 'tight' END END AS fit_direction,
+  printf('%.1f', CASE tier WHEN 'flaw_severe' THEN 1.0::DOUBLE + u_score * 1.0::DOUBLE WHEN 'flaw_mild' THEN 2.1::DOUBLE + u_score * (3.0::DOUBLE - 2.1::DOUBLE)
+    WHEN 'average' THEN 4.0::DOUBLE + u_score * 2.0::DOUBLE ELSE 7.0::DOUBLE + u_score * 3.0::DOUBLE END)::DOUBLE AS score,
+  {sql_choice('u_background', [k for k, _ in G.BACKGROUNDS])} AS requested_background, {sql_choice('u_lighting', [k for k, _ in G.LIGHTING])} AS requested_lighting,
+  {sql_choice('u_framing', [k for k, _ in G.FRAMING])} AS requested_framing FROM f)"""
+
+
+@query("u12_weighted_draw", f"SELECT upper_pattern, count(*) AS n FROM {DRAWN_SQL} WHERE upper_pattern IS NOT NULL GROUP BY 1")
 def u12(spark, sf):
     rows = drawn(spark, sf).where(c("upper_pattern").isNotNull())
     return rows.groupBy("upper_pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("u13_coherent_outfits")
+@query("u13_coherent_outfits", f"SELECT index, category, upper_type, mid_type, lower_type, footwear_type, formality FROM {DRAWN_SQL} WHERE ends_with(category, 'Outfit')")
 def u13(spark, sf):
     return drawn(spark, sf).where(c("category").endswith("Outfit")).select(
         "index", "category", "upper_type", "mid_type", "lower_type", "footwear_type", "formality")
 
 
-@query("u14_uniform_draws")
+@query("u14_uniform_draws", f"""SELECT index, tier, score, requested_background, requested_lighting, requested_framing, requested_upper_color, fit_direction
+FROM {DRAWN_SQL}""")
 def u14(spark, sf):
     return drawn(spark, sf).select("index", "tier", "score", "requested_background", "requested_lighting",
                                    "requested_framing", "requested_upper_color", "fit_direction")
@@ -150,7 +196,7 @@ def u15(spark, sf):
     return generate.advice_contexts(rows, "id", 42).select("id", "category", "tier")
 
 
-@query("u16_rejection_search")
+@query("u16_rejection_search", f"SELECT index, category, tier, mid_type FROM {DRAWN_SQL} WHERE mid_type = 'hoodie' ORDER BY index LIMIT 25")
 def u16(spark, sf):
     """First 25 order keys, in order, whose drawn outfit has a hoodie."""
     return drawn(spark, sf).where(c("mid_type") == "hoodie").orderBy("index").limit(25).select("index", "category", "tier", "mid_type")
@@ -162,9 +208,9 @@ def u17(spark, sf):
     return generate.sample_grid(table(spark, sf, "part").select("p_brand").distinct(), {"category": G.CATEGORIES, "tier": G.TIERS}, 3)
 
 
-@query("u18_seeded_sample")
+@query("u18_seeded_sample", f"SELECT doc_id, lang FROM documents ORDER BY {sql_draw_number(17, 'doc_id')}, doc_id LIMIT 100")
 def u18(spark, sf):
-    return sets.sample_rows(table(spark, sf, "documents").select("doc_id", "lang"), c("doc_id"), 17, 100)
+    return sets.sample_rows(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 17, 100)
 
 
 @query("u19_ordered_split", """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor((SELECT count(*) FROM documents) * 0.9::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM documents""")
@@ -172,9 +218,10 @@ def u19(spark, sf):
     return sets.ordered_split(table(spark, sf, "documents").select("doc_id"), [c("doc_id")], 0.9)
 
 
-@query("u19b_random_split")
+@query("u19b_random_split", f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {sql_draw_number(5, 'doc_id')}, doc_id)
+  <= greatest(1, floor((SELECT count(*) FROM documents) * 0.2::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM documents""")
 def u19b(spark, sf):
-    return sets.random_split(table(spark, sf, "documents").select("doc_id"), c("doc_id"), 5)
+    return sets.random_split(table(spark, sf, "documents").select("doc_id"), "doc_id", 5)
 
 
 @query("u20_reconstruction_check", f"""WITH l AS (SELECT id, filename FROM {S.LABELS}), r AS (SELECT id, CASE WHEN id % 1000 = 7 THEN 'broken' ELSE filename END AS filename FROM l)
@@ -185,7 +232,7 @@ def u20(spark, sf):
     return sets.differences(rows, rebuilt)
 
 
-@query("u21_tier_independence")
+@query("u21_tier_independence", f"SELECT tier, requested_lighting, count(*) AS n FROM {DRAWN_SQL} GROUP BY ALL")
 def u21(spark, sf):
     return drawn(spark, sf).groupBy("tier", "requested_lighting").agg(F.count(F.lit(1)).alias("n"))
 

@@ -39,12 +39,6 @@ def s04(spark, sf):
     return readers.json_map_rows(spark.read.text(folder))
 
 
-@query("s01_file_listing")
-def s01(spark, sf):
-    """Listing by extension, contents never read: here the table files themselves."""
-    return readers.image_files(spark, sf, [".PARQUET"]).select("filename", "length")
-
-
 @query("s05_manifest", f"SELECT filename, 'p ' || id AS prompt, category, tier, id AS seed, id::VARCHAR AS k FROM {S.LABELS} WHERE verdict = 'error'")
 def s05(spark, sf):
     rows = S.label_rows(spark, sf).where(c("verdict") == "error")

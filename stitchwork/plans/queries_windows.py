@@ -9,7 +9,7 @@ from stitchwork.operators import aggregates, history, sets
 from stitchwork.operators.ordered import first_per_key, running
 from stitchwork.plans import standins as S
 from stitchwork.plans.queries_scalars import PHOTO_FACTS_SQL, _second, qualified_photos
-from stitchwork.plans.registry import query, sql_list, sql_pick, table
+from stitchwork.plans.registry import query, sql_list, sql_pick, table, sql_draw_number
 from stitchwork.rules import garments as G
 
 c = F.col
@@ -92,9 +92,9 @@ def w08(spark, sf):
     return history.early_stop(e, "run", [c("ts"), c("event_id")], "value", patience=5)
 
 
-@query("w09_shuffled_positions")
+@query("w09_shuffled_positions", f"SELECT id, filename, row_number() OVER (ORDER BY {sql_draw_number(7, 'id')}, id) - 1 AS position FROM {S.LABELS}")
 def w09(spark, sf):
-    return sets.shuffled_positions(S.label_rows(spark, sf).select("id", "filename"), c("id"), seed=7)
+    return sets.shuffled_positions(S.label_rows(spark, sf).select("id", "filename"), "id", seed=7)
 
 
 @query("w10_dense_reindex", "SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS new_id FROM (SELECT DISTINCT p_name FROM part)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,31 @@ def sql_pick(values: list, index: str) -> str:
     return f"({sql_list(values)})[(({index}) % {len(values)}) + 1]"
 
 
+def sql_draw_number(seed, key: str) -> str:
+    """Affine, fifth power, affine, all modulo 2^31 - 1; the constants come from the seed's SHA-256."""
+    words = struct.unpack(">4I", hashlib.sha256(str(seed).encode()).digest()[:16])
+    a, b, c, d = (w % 2147483646 + 1 for w in words)
+    m = 2147483647
+    once = f"list_transform([(({key})::BIGINT % {m} * {a} + {b}) % {m}], lambda x: x * x % {m} * (x * x % {m}) % {m} * x % {m})[1]"
+    return f"(({once} * {c} + {d}) % {m})"
+
+
+def sql_uniform(seed, key: str) -> str:
+    return f"({sql_draw_number(seed, key)}::DOUBLE / 2147483647::DOUBLE)"
+
+
+def sql_weigh(draw: str, options: list, weights: list[float]) -> str:
+    total, seen, cases = float(sum(weights)), 0.0, ""
+    for option, weight in list(zip(options, weights))[:-1]:
+        seen += weight
+        cases += f" WHEN {draw} < {seen / total!r}::DOUBLE THEN {q(option)}"
+    return f"(CASE{cases} ELSE {q(options[-1])} END)" if cases else q(options[-1])
+
+
+def sql_choice(draw: str, options: list) -> str:
+    return f"({sql_list(options)})[floor({draw} * {len(options)})::INT + 1]"
+
+
 def sql_has(text: str, needles: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, {q(n)})" for n in needles) + ")"
 
