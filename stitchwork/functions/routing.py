@@ -58,6 +58,14 @@ def heuristic_reason(size: Column, width: Column, height: Column, laplacian: Col
             .otherwise("ok"))
 
 
+def passes_heuristic(size: Column, width: Column, height: Column, laplacian: Column) -> Column:
+    """Whether ``heuristic_reason`` is ``ok``: the gates alone, no text. For filters, which the optimizer copies."""
+    short, long = F.least(width, height), F.greatest(width, height)
+    fails = ((F.coalesce(size, F.lit(0)) == 0) | width.isNull() | height.isNull() | (short < R.MIN_EDGE_PX)
+             | (long / F.greatest(short, F.lit(1)) > R.MAX_ASPECT) | F.coalesce(laplacian < R.MIN_LAPLACIAN, F.lit(False)))
+    return ~F.coalesce(fails, F.lit(False))
+
+
 def framing_reason(width: Column, height: Column, min_width: Column, min_height: Column, orientation: Column,
                    white_corners: Column, laplacian: Column, min_aspect: Column | None = None,
                    max_aspect: Column | None = None, blur: float = R.MIN_LAPLACIAN) -> Column:

@@ -221,11 +221,10 @@ def shares(df: DataFrame, by: list[str]) -> DataFrame:
 def duplicate_report(rows: DataFrame, key: str, source: str, order: list[Column]) -> DataFrame:
     """(key, kept source, dropped source) for every repeat after the first."""
     at = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    firsts = (rows.select(key, source, at.alias("_at")).groupBy(key)
-              .agg(F.min_by(source, "_at").alias("kept"), F.min("_at").alias("_first"),
-                   F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n"))
-    return (rows.select(key, F.col(source).alias("dropped"), at.alias("_at")).join(firsts, key)
-            .where(F.col("_at") != F.col("_first")).select(key, "kept", "dropped"))
+    slim = rows.select(key, F.col(source).alias("dropped"), at.alias("_at"))
+    firsts = (slim.groupBy(key).agg(F.min_by("dropped", "_at").alias("kept"), F.min("_at").alias("_first"),
+                                    F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n"))
+    return slim.join(firsts, key).where(F.col("_at") != F.col("_first")).select(key, "kept", "dropped")
 
 
 def best_epoch(history: DataFrame, by: str, value: str, epoch: str) -> DataFrame:

@@ -315,12 +315,28 @@ def advice_contexts(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def search_tasks(spark: SparkSession, category: str, tiers: list[str], seed: int, count: int, predicate: Column,
-                 max_search: int = 200_000) -> DataFrame:
-    """First ``count`` seeds whose drawn row satisfies the predicate, tiers in rotation."""
-    base = spark.range(seed, seed + max_search).select(
-        F.col("id").alias("index"), F.lit(category).alias("category"),
-        F.element_at(literals(tiers), (F.pmod(F.col("id") - seed, F.lit(len(tiers))) + 1).cast("int")).alias("tier"))
-    return draw_labels(base, 0).where(predicate).orderBy("index").limit(count)
+                 block: int = 200_000, give_up: int | None = None) -> DataFrame:
+    """First ``count`` seeds whose drawn row satisfies the predicate, tiers in rotation.
+
+    The predicate may use every drawn column, and ``prompt`` too. Seeds are
+    searched in blocks of doubling size until enough are found. A predicate
+    that nothing satisfies would never end, so ``give_up`` seeds at most are
+    tried; finding fewer raises.
+    """
+    start, found = seed, None
+    while True:
+        base = spark.range(start, start + block).select(
+            F.col("id").alias("index"), F.lit(category).alias("category"),
+            F.element_at(literals(tiers), (F.pmod(F.col("id") - seed, F.lit(len(tiers))) + 1).cast("int")).alias("tier"))
+        hits = render_prompts(draw_labels(base, 0)).where(predicate)
+        found = hits if found is None else found.unionByName(hits)
+        first = found.orderBy("index").limit(count)
+        n = first.count()
+        if n == count:
+            return first
+        start, block = start + block, 2 * block
+        if give_up is not None and start - seed >= give_up:
+            raise ValueError(f"{n} of {count} seeds found among {start - seed}")
 
 
 def sample_grid(seed_rows: DataFrame, dims: dict[str, list], per_cell: int, sample: str = "sample_idx") -> DataFrame:

@@ -37,7 +37,7 @@ def novel_urls(found: DataFrame, seen: DataFrame | None, url: str, order: list[C
 
 
 def claim_urls(found: DataFrame, url: str, category: str, category_order: str, position: str,
-               limit: str, largest_limit: int, max_rounds: int = 1000) -> DataFrame:
+               limit: str, largest_limit: int) -> DataFrame:
     """First ``limit`` free URLs per category, categories served in order.
 
     A URL that a full category leaves stays free for the next one, so a
@@ -52,7 +52,7 @@ def claim_urls(found: DataFrame, url: str, category: str, category_order: str, p
     """
     pairs = settle(found.groupBy(url, category).agg(
         F.min(category_order).alias(category_order), F.min(position).alias(position), F.max(limit).alias(limit)))
-    for _ in range(max_rounds):
+    while True:
         asks = first_per_key(pairs, [url], [F.col(category_order), F.col(position)])
         ranked = top_per_key(asks, [category], [F.col(position), F.col(url)], largest_limit, rank="_rank")
         kept = ranked.where(F.col("_rank") <= F.col(limit)).drop("_rank")
@@ -61,7 +61,6 @@ def claim_urls(found: DataFrame, url: str, category: str, category_order: str, p
         if remaining.count() == pairs.count():
             return kept
         pairs = remaining
-    raise RuntimeError(f"no stable assignment after {max_rounds} rounds")
 
 
 def missing_for(items: DataFrame, consumers: list[str], sent: DataFrame, consumer: str, item: str,
@@ -185,9 +184,13 @@ def sample_rows(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either side the other lacks; empty means an exact reconstruction."""
-    b = b.select(*a.columns)
-    return (a.exceptAll(b).withColumn("side", F.lit("left"))
-            .unionByName(b.exceptAll(a).withColumn("side", F.lit("right"))))
+    names = a.columns
+    signed = a.withColumn("_n", F.lit(1)).unionByName(b.select(*names).withColumn("_n", F.lit(-1)))
+    net = signed.groupBy(*names).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
+    # As often as the row is in excess, like a multiset difference.
+    each = net.select(*names, F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"),
+                      F.explode(F.sequence(F.lit(1), F.abs("_n"))).alias("_i"))
+    return each.drop("_i")
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -213,17 +216,22 @@ def shuffled_positions(df: DataFrame, key: str, seed: int, name: str = "position
 
 
 def remap_ids(docs: DataFrame, key: str, tokens: Column, vocabulary: DataFrame, token: str, new_id: str,
-              strict: bool = False) -> DataFrame:
+              strict: bool = False, salt_rows: int = 1_000_000) -> DataFrame:
     """Token arrays to id arrays through a vocabulary table; unknown tokens vanish, or raise when strict.
 
     The vocabulary may outgrow a broadcast, so each document's distinct
     tokens join it by hash; a frequent token then counts once per document.
     """
-    own = docs.select(key, F.explode(F.array_distinct(tokens)).alias(token))
-    salted = own.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(16)))
-    wide = vocabulary.select(token, new_id).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    own = settle(docs.select(key, F.explode(F.array_distinct(tokens)).alias(token)))
+    # A token of more than salt_rows documents is spread over as many salts as it has such shares.
+    hot = (own.groupBy(token).agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") > salt_rows)
+           .select(token, F.ceil(F.col("_df") / salt_rows).cast("long").alias("_salts")))
+    salted = own.join(hot, token, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(key), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    wide = vocabulary.select(token, new_id).join(hot, token, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     how = "left" if strict else "inner"
-    pairs = salted.join(wide.withColumn("_salt", F.col("_salt").cast("long")), [token, "_salt"], how)
+    pairs = salted.join(wide, [token, "_salt"], how)
     if strict:
         known = F.when(F.col(new_id).isNull(), F.raise_error(F.concat(
             F.lit("token not in the vocabulary: "), F.col(token))).cast("long")).otherwise(F.col(new_id))

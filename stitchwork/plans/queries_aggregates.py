@@ -24,7 +24,8 @@ _DIMS = {"stream": R.STREAMS, "demographic": R.DEMOGRAPHICS, "tier": R.AESTHETIC
 
 
 def routed(spark, sf):
-    sorted_rows = status_log(spark, sf).where(c("status") == "sorted")
+    gates = routing.passes_heuristic(c("size"), c("width"), c("height"), c("laplacian"))
+    sorted_rows = S.annotations(spark, sf).where(gates & c("judged") & c("is_look"))
     return sorted_rows.select(
         "id", routing.resolve_stream(c("focus"), c("shot"), c("path")).alias("stream"),
         routing.resolve_demographic(c("gender"), c("age")).alias("demographic"),

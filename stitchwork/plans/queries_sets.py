@@ -41,9 +41,9 @@ _OWNER = "CASE " + " ".join(f"WHEN o_orderkey >= {a} AND o_orderkey < {b} THEN '
 
 
 @query("u03_missing_markers", f"""SELECT h AS host, o_orderkey AS item FROM orders, (SELECT unnest({sql_list(_HOSTS)}) AS h)
-  WHERE o_orderstatus = 'F' AND NOT coalesce({_OWNER} = h, false) AND NOT (h = 'vast1' AND o_orderkey % 3 = 0)""")
+  WHERE NOT coalesce({_OWNER} = h, false) AND NOT (h = 'vast1' AND o_orderkey % 3 = 0)""")
 def u03(spark, sf):
-    done = table(spark, sf, "orders").where(c("o_orderstatus") == "F").select(c("o_orderkey").alias("item"))
+    done = table(spark, sf, "orders").select(c("o_orderkey").alias("item"))
     sent = done.where(c("item") % 3 == 0).select(F.lit("vast1").alias("host"), "item")
     own = joins.slice_of(c("item"), G.HOST_SLICES) == c("host")
     return sets.missing_for(done, _HOSTS, sent, "host", "item", own)

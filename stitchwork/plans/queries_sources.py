@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stitchwork.functions import geometry, jsonish, labels as L, routing, text, urls
-from stitchwork.operators import generate, looks as look_ops, pixels
+from stitchwork.operators import generate, looks as look_ops, pixels, sets
 from stitchwork.plans import standins as S
 from stitchwork.plans.landing import fresh_folder
 from stitchwork.plans.queries_aggregates import ROUTED_SQL, routed
@@ -29,19 +29,19 @@ def s03(spark, sf):
     return readers.parse_json_column(rows, "props", "k int, _corrupt string").where(c("_corrupt").isNull()).select("event_id", "k")
 
 
-@query("s04_json_map_of_lists", "SELECT o_orderpriority AS category, unnest(['u' || o_orderkey, 'v' || o_custkey]) AS url, unnest([0, 1])::INT AS position FROM orders WHERE o_orderkey % 3 = 0")
+@query("s04_json_map_of_lists", "SELECT o_orderpriority AS category, unnest(['u' || o_orderkey, 'v' || o_custkey]) AS url, unnest([0, 1])::INT AS position FROM orders")
 def s04(spark, sf):
     folder = fresh_folder(spark, "json-map")
     doc = F.concat(F.lit('{"'), c("o_orderpriority"), F.lit('": ["u'), c("o_orderkey").cast("string"), F.lit('", "v'),
                    c("o_custkey").cast("string"), F.lit('"]}'))
     # Each landed line is one such document.
-    table(spark, sf, "orders").where(c("o_orderkey") % 3 == 0).select(doc.alias("value")).write.text(folder)
+    table(spark, sf, "orders").select(doc.alias("value")).write.text(folder)
     return readers.json_map_rows(spark.read.text(folder))
 
 
-@query("s05_manifest", f"SELECT filename, 'p ' || id AS prompt, category, tier, id AS seed, id::VARCHAR AS k FROM {S.LABELS} WHERE verdict = 'error'")
+@query("s05_manifest", f"SELECT filename, 'p ' || id AS prompt, category, tier, id AS seed, id::VARCHAR AS k FROM {S.LABELS}")
 def s05(spark, sf):
-    rows = S.label_rows(spark, sf).where(c("verdict") == "error")
+    rows = S.label_rows(spark, sf)
     entry = F.struct(F.concat(F.lit("p "), c("id").cast("string")).alias("prompt"), "category", "tier", c("id").alias("seed"),
                      F.create_map(F.lit("k"), c("id").cast("string")).alias("row"))
     docs = rows.select(F.to_json(F.create_map(c("filename"), entry)).alias("value"))
@@ -99,22 +99,31 @@ def k01(spark, sf):
     return log.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k06_audit_report", f"""SELECT count(*)::BIGINT AS sample_size, count(*) FILTER (WHERE verdict = 'valid')::BIGINT AS valid, count(*) FILTER (WHERE verdict = 'invalid')::BIGINT AS invalid FROM {S.LABELS}""")
+@query("k06_audit_report", f"""SELECT count(*)::BIGINT AS sample_size, count(*) FILTER (WHERE verdict = 'valid')::BIGINT AS valid, count(*) FILTER (WHERE verdict = 'invalid')::BIGINT AS invalid,
+  count(*) FILTER (WHERE id % 3 = 0)::BIGINT AS body_type_match_failed, count(*) FILTER (WHERE cust % 5 = 0)::BIGINT AS face_match_failed,
+  count(*) FILTER (WHERE id % 7 = 0)::BIGINT AS attribute_match_failed, count(*) FILTER (WHERE cust % 11 = 0)::BIGINT AS severe_anatomy_defect_failed FROM {S.LABELS}""")
 def k06(spark, sf):
     from stitchwork.operators.aggregates import audit_summary
-    ok = F.lit(True)
-    v = S.label_rows(spark, sf).select("verdict", ok.alias("body_type_match"), ok.alias("face_match"), ok.alias("attribute_match"),
-                                       F.lit(False).alias("severe_anatomy_defect"))
+    v = S.label_rows(spark, sf).select(
+        "verdict", (c("id") % 3 != 0).alias("body_type_match"), (c("cust") % 5 != 0).alias("face_match"),
+        (c("id") % 7 != 0).alias("attribute_match"), (c("cust") % 11 == 0).alias("severe_anatomy_defect"))
     report = writers.audit_report(audit_summary(v, 28000), "judge")
     j = lambda path: F.get_json_object("value", path).cast("long")
-    return report.select(j("$.sample_size").alias("sample_size"), j("$.summary.valid").alias("valid"), j("$.summary.invalid").alias("invalid"))
+    return report.select(j("$.sample_size").alias("sample_size"), *[j(f"$.summary.{n}").alias(n) for n in (
+        "valid", "invalid", "body_type_match_failed", "face_match_failed", "attribute_match_failed", "severe_anatomy_defect_failed")])
 
 
-@query("s06_labels_csv", f"SELECT filename, category, tier, score, upper_pattern, fit_baggy::INT AS fit_baggy FROM {S.LABELS} WHERE category = 'Men_Outfit'")
+@query("s06_labels_csv", f"SELECT filename, category, tier, score, upper_pattern, fit_baggy::INT AS fit_baggy, hair_untidy::INT AS hair_untidy FROM {S.LABELS}")
 def s06(spark, sf):
-    folder = fresh_folder(spark, "labels-csv")
-    writers.write_labels(S.label_rows(spark, sf).where(c("category") == "Men_Outfit"), folder, "Men_Outfit")
-    return readers.labels_csv(spark, folder, "Men_Outfit").select("filename", "category", "tier", "score", "upper_pattern", "fit_baggy")
+    out = []
+    for category in G.CATEGORIES:
+        folder = fresh_folder(spark, "labels-csv")
+        writers.write_labels(S.label_rows(spark, sf).where(c("category") == category), folder, category)
+        rows = readers.labels_csv(spark, folder, category)
+        out.append(rows.select("filename", "category", "tier", "score", *[
+            (c(n) if n in rows.columns else F.lit(None)).cast(kind).alias(n)
+            for n, kind in (("upper_pattern", "string"), ("fit_baggy", "int"), ("hair_untidy", "int"))]))
+    return sets.union_shards(out)
 
 
 @query("s07_shards_with_provenance", f"SELECT shard, count(*) AS n, count(DISTINCT filename) AS files FROM {S.SHARDS} GROUP BY shard")
@@ -156,7 +165,7 @@ def s10(spark, sf):
 @query("s11_partition_tree", "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
 def s11(spark, sf):
     folder = fresh_folder(spark, "tree")
-    table(spark, sf, "documents").select("doc_id", "lang", "source").repartition("lang", "source").write.partitionBy("lang", "source").parquet(folder)
+    table(spark, sf, "documents").select("doc_id", "lang", "source").hint("rebalance", "lang", "source").write.partitionBy("lang", "source").parquet(folder)
     return spark.read.parquet(folder).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -251,7 +260,7 @@ def s17(spark, sf):
 # ---- sinks ----------------------------------------------------------------------------------
 
 @query("k02_routed_write", f"""SELECT CASE WHEN status = 'sorted' THEN 'sorted' WHEN starts_with(status, 'rejected_heuristic') THEN 'blurry_or_low_res' WHEN status = 'rejected_vlm_failed' THEN 'vlm_failed' ELSE 'non_human_or_flatlay' END AS status_group,
-  coalesce(r.stream, 'none') AS stream, coalesce(r.tier, 'none') AS tier, count(*) AS n FROM {LOG_SQL} l LEFT JOIN {ROUTED_SQL} r USING (id) GROUP BY ALL""")
+  coalesce(r.stream, 'none') AS stream, coalesce(r.demographic, 'none') AS demographic, coalesce(r.tier, 'none') AS tier, count(*) AS n FROM {LOG_SQL} l LEFT JOIN {ROUTED_SQL} r USING (id) GROUP BY ALL""")
 def k02(spark, sf):
     folder = fresh_folder(spark, "routed")
     ok = c("status") == "sorted"
@@ -261,13 +270,19 @@ def k02(spark, sf):
                       F.when(ok, routing.resolve_demographic(c("gender"), c("age"))).alias("demographic"),
                       F.when(ok, routing.resolve_tier(c("tier_text"), c("overall"))).alias("tier"))
     writers.write_routed(rows, folder)
-    return spark.read.parquet(folder).groupBy("status_group", "stream", "tier").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(folder).groupBy("status_group", "stream", "demographic", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k03_schema_ordered_labels", f"""SELECT filename, score::VARCHAR AS score, coalesce(fabric_wrinkled::VARCHAR, '') AS fabric_wrinkled, '' AS requested_hair_desc FROM {S.LABELS} WHERE category = 'Women_Outfit'""")
+@query("k03_schema_ordered_labels", f"""SELECT filename, score::VARCHAR AS score, CASE WHEN ends_with(category, 'Outfit') THEN fabric_wrinkled ELSE hair_untidy END::VARCHAR AS condition,
+  CASE WHEN ends_with(category, 'Outfit') THEN '' ELSE 'no column' END AS requested_hair_desc FROM {S.LABELS}""")
 def k03(spark, sf):
-    rows = writers.label_columns(S.label_rows(spark, sf).where(c("category") == "Women_Outfit"), "Women_Outfit")
-    return rows.select("filename", "score", "fabric_wrinkled", "requested_hair_desc")
+    out = []
+    for category in G.CATEGORIES:
+        rows = writers.label_columns(S.label_rows(spark, sf).where(c("category") == category), category)
+        condition = "fabric_wrinkled" if category.endswith("Outfit") else "hair_untidy"
+        hair = c("requested_hair_desc") if "requested_hair_desc" in rows.columns else F.lit("no column")
+        out.append(rows.select("filename", "score", c(condition).alias("condition"), hair.alias("requested_hair_desc")))
+    return sets.union_shards(out)
 
 
 @query("k04_versioned_snapshot", f"SELECT id, filename, score FROM {S.LABELS}")

@@ -17,9 +17,14 @@ def append_log(records: DataFrame, path: str) -> None:
 
 
 def write_routed(records: DataFrame, path: str, mode: str = "append") -> None:
-    """Routed dataset: routing is the partition value, so a move is a new value and never a file move."""
+    """Routed dataset: routing is the partition value, so a move is a new value and never a file move.
+
+    The rows are rebalanced by route first: a task writes few folders, and a
+    large route is split over several tasks.
+    """
+    route = ["status_group", "stream", "demographic", "tier"]
     filled = records.withColumns({c: F.coalesce(c, F.lit("none")) for c in ("stream", "demographic", "tier")})
-    filled.write.mode(mode).partitionBy("status_group", "stream", "demographic", "tier").parquet(path)
+    filled.hint("rebalance", *route).write.mode(mode).partitionBy(*route).parquet(path)
 
 
 def label_columns(labels: DataFrame, category: str) -> DataFrame:
