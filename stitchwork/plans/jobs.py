@@ -85,12 +85,14 @@ def pixel_qa(labels: DataFrame, images: DataFrame, key: str = "filename") -> Dat
     return pixels.qa_rows(labels, pixels.with_color_names(pixels.measure(images, key)), key)
 
 
-def training_set(samples: DataFrame, annotations: DataFrame, key: str, fields: list[dict]) -> DataFrame:
-    """Q08: score fallback, masked targets and an exact random split.
+def training_set(samples: DataFrame, annotations: DataFrame, key: str, fields: list[dict],
+                 source: str = "qa_processed") -> DataFrame:
+    """Q08: usable labels, score fallback, masked targets and an exact random split.
 
-    ``samples`` has tier and one raw column per field, ``annotations`` the judged score.
+    ``samples`` has tier, one raw column per field and for measured labels
+    ``qa_pass``; ``annotations`` the judged score.
     """
-    j = samples.join(annotations.select(key, F.col("overall").alias("_overall")), key, "left")
+    j = filters.usable_labels(samples, source).join(annotations.select(key, F.col("overall").alias("_overall")), key, "left")
     score = L.score_or_midpoint(L.rescale_score(F.col("_overall")), F.lit(None).cast("double"), F.col("tier"))
     cols = []
     for f in fields:
@@ -153,11 +155,20 @@ def fleet_report(checks: DataFrame, hours: float) -> DataFrame:
         F.max_by("stalled_since", at).alias("stalled_since"), F.count_if("alert").alias("alerts"))
 
 
-def url_inventory(pages: DataFrame, category: Column, thin_below: int) -> DataFrame:
-    """Q14: image URLs of landed pages, each credited to its first finder, with thin sources flagged."""
+def url_inventory(pages: DataFrame, category: Column, thin_below: int, limit: int,
+                  existing: DataFrame | None = None) -> DataFrame:
+    """Q14: image URLs of landed pages that no inventory has yet, claimed by the categories in order up to their limit.
+
+    A URL that a full category leaves is free for the next one. Categories
+    that end with fewer than ``thin_below`` URLs are flagged.
+    """
     urls = readers.listing_urls(pages, F.col("page")).withColumn("category", category)
-    novel = sets.novel_urls(urls, None, "url", [F.col("category"), F.col("page"), F.col("post_pos"), F.col("url_pos")])
-    n = novel.groupBy("category").agg(F.count(F.lit(1)).alias("urls"))
+    if existing is not None:
+        urls = urls.join(existing.select("url"), "url", "left_anti")
+    found = urls.select("url", "category", F.col("category").alias("_order"),
+                        F.struct("page", "post_pos", "url_pos").alias("_position"), F.lit(limit).alias("_limit"))
+    claimed = sets.claim_urls(found, "url", "category", "_order", "_position", "_limit", limit)
+    n = claimed.groupBy("category").agg(F.count(F.lit(1)).alias("urls"), F.max("_position.page").alias("last_page"))
     return n.withColumn("thin", F.col("urls") < thin_below)
 
 

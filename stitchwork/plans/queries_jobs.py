@@ -15,7 +15,7 @@ from stitchwork.plans.queries_scalars import (
     _DEMOGRAPHIC, _OK_TIER, _REVIEW_BASE, _SEV, _STREAM_SORTER, _TIER_SORTER, DESCRIPTION_SQL, JUDGED, PHOTO_FACTS_SQL,
     judged)
 from stitchwork.plans.queries_sources import _listing_pages, text_images
-from stitchwork.plans.registry import q, query, sql_list, sql_map, sql_pick, table
+from stitchwork.plans.registry import q, query, sql_draw_number, sql_list, sql_map, sql_pick, table
 from stitchwork.rules import garments as G
 from stitchwork.rules import routing as R
 
@@ -83,16 +83,19 @@ _FIELDS = [{"name": "score", "type": "regression"}, {"name": "upper_pattern", "t
            {"name": "fabric_wrinkled", "type": "ordinal"}]
 
 
-@query("q08_training_set", f"""WITH s AS (SELECT l.id, {sql_pick(R.AESTHETIC_TIERS, 'l.id')} AS tier, l.upper_pattern, a.overall FROM {S.LABELS} l LEFT JOIN (SELECT id, overall FROM {S.ANNOTATIONS} WHERE id % 3 = 0) a USING (id)),
+@query("q08_training_set", f"""WITH s AS (SELECT l.id, {sql_pick(R.AESTHETIC_TIERS, 'l.id')} AS tier, l.upper_pattern, l.fabric_wrinkled, a.overall
+  FROM {S.LABELS} l LEFT JOIN {S.ANNOTATIONS} a USING (id) WHERE l.id % 10 <> 0),
 t AS (SELECT id, coalesce(CASE WHEN overall IS NOT NULL THEN greatest(1.0, least(10.0, CASE WHEN overall > 10 AND overall <= 20 THEN overall / 2.0 ELSE overall END)) END,
-  {sql_map('tier', {'1_Needs_Improvement': 2.0, '2_Average': 5.0, '3_Polished': 8.5})})::DOUBLE AS score_target, (upper_pattern IS NOT NULL)::INT AS m FROM s)
-SELECT round(sum(score_target), 4) AS score_sum, sum(m)::BIGINT AS supervised_patterns, count(*) AS n, greatest(1, floor(count(*) * 0.2))::BIGINT AS val_rows FROM t""")
+  {sql_map('tier', {'1_Needs_Improvement': 2.0, '2_Average': 5.0, '3_Polished': 8.5})})::DOUBLE AS score_target, upper_pattern,
+  row_number() OVER (ORDER BY {sql_draw_number(11, 'id')}, id) AS place FROM s)
+SELECT id, round(score_target, 6) AS score_target, CASE WHEN upper_pattern IS NULL THEN 0 ELSE list_position(['solid', 'striped', 'checked', 'printed'], upper_pattern) - 1 END::DOUBLE AS pattern_target,
+  (upper_pattern IS NOT NULL)::INT::DOUBLE AS pattern_mask, CASE WHEN place <= greatest(1, floor((SELECT count(*) FROM s) * 0.2::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM t""")
 def q08(spark, sf):
-    samples = S.label_rows(spark, sf).select("id", text.pick(R.AESTHETIC_TIERS, c("id")).alias("tier"), "upper_pattern")
-    notes = S.annotations(spark, sf).where(c("id") % 3 == 0).select("id", "overall")
-    rows = jobs.training_set(samples, notes, "id", _FIELDS)
-    return rows.agg(F.round(F.sum("score_target"), 4).alias("score_sum"), F.sum("upper_pattern_mask").cast("long").alias("supervised_patterns"),
-                    F.count(F.lit(1)).alias("n"), F.count_if(c("split") == "val").alias("val_rows"))
+    samples = S.label_rows(spark, sf).select("id", text.pick(R.AESTHETIC_TIERS, c("id")).alias("tier"), "upper_pattern", "fabric_wrinkled",
+                                             F.when(c("id") % 10 == 0, "0").otherwise(" 1").alias("qa_pass"))
+    rows = jobs.training_set(samples, S.annotations(spark, sf).select("id", "overall"), "id", _FIELDS)
+    return rows.select("id", F.round("score_target", 6).alias("score_target"), c("upper_pattern_target").alias("pattern_target"),
+                       c("upper_pattern_mask").cast("double").alias("pattern_mask"), "split")
 
 
 @query("q09_evaluation_report", f"""WITH {_RECALL_SQL}
@@ -110,12 +113,24 @@ def q09(spark, sf):
 
 
 @query("q10_advice_qa", _REVIEW_BASE + f""", v AS (SELECT t, NOT (short OR long OR chatter OR banned OR unobs OR bare > 0 OR n < 2 OR n > 5 OR long_lines > 0 OR adaptive) AS p FROM c),
-k AS (SELECT DISTINCT unnest(list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '')) AS w FROM v WHERE p UNION SELECT unnest({sql_list(__import__('stitchwork.functions.advice', fromlist=['x']).vocabulary_floor())}))
-SELECT (SELECT count(*) FROM v) AS total, (SELECT count(*) FROM v WHERE p) AS passed, (SELECT count(*) FROM k) AS vocabulary""")
+w AS (SELECT list_filter(string_split_regex(t, '\\s+'), lambda x: x <> '') AS words FROM v WHERE p),
+k AS (SELECT DISTINCT unnest(words) AS w FROM w UNION SELECT unnest({sql_list(__import__('stitchwork.functions.advice', fromlist=['x']).vocabulary_floor())}))
+SELECT 'counter' AS kind, 'total' AS item, (SELECT count(*) FROM v)::DOUBLE AS n UNION ALL SELECT 'counter', 'passed', (SELECT count(*) FROM v WHERE p)::DOUBLE
+UNION ALL SELECT 'counter', 'hard_failed', (SELECT count(*) FROM v WHERE NOT p)::DOUBLE
+UNION ALL SELECT 'length', 'examples', count(*)::DOUBLE FROM w UNION ALL SELECT 'length', 'max_len', max(least(len(words), 512))::DOUBLE FROM w
+UNION ALL SELECT 'length', 'avg_supervised', round(avg(len(words)), 6)::DOUBLE FROM w UNION ALL SELECT 'length', 'truncated', (count(*) FILTER (WHERE len(words) >= 512))::DOUBLE FROM w
+UNION ALL SELECT 'word', w, 1.0::DOUBLE FROM k""")
 def q10(spark, sf):
     out = jobs.advice_qa(S.advice(spark, sf))
-    size = out["vocabulary"].agg(F.count(F.lit(1)).alias("v")).scalar()
-    return out["counters"].select("total", "passed", size.alias("vocabulary"))
+
+    def long(rows, kind, names):
+        pairs = F.array(*[F.struct(F.lit(n).alias("item"), F.round(c(n).cast("double"), 6).alias("n")) for n in names])
+        return rows.select(F.lit(kind).alias("kind"), F.inline(pairs))
+    words_ = out["vocabulary"]
+    return sets.union_shards([
+        long(out["counters"], "counter", ["total", "passed", "hard_failed"]),
+        long(out["lengths"], "length", ["examples", "max_len", "avg_supervised", "truncated"]),
+        words_.select(F.lit("word").alias("kind"), c(words_.columns[0]).alias("item"), F.lit(1.0).alias("n"))])
 
 
 _OCC_RAW = ["first date", "board meeting", "gym", "", "wedding guest"]
@@ -155,12 +170,27 @@ def q13(spark, sf):
     return jobs.fleet_report(history.progress_checks(spark, sf), 12.0).select("host", "done", "progress_at")
 
 
-@query("q14_url_inventory", """WITH u AS (SELECT o_orderkey % 4 AS cat, 'i' || o_custkey AS url FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey % 4, 'p' || o_custkey FROM orders WHERE o_orderkey % 5 = 2
-  UNION ALL SELECT o_orderkey % 4, 'q' || o_custkey FROM orders WHERE o_orderkey % 5 = 2 UNION ALL SELECT o_orderkey % 4, 't' || o_custkey FROM orders WHERE o_orderkey % 5 = 3),
-f AS (SELECT url, min(cat) AS category FROM u GROUP BY url)
-SELECT category, count(*) AS urls, count(*) < 400 AS thin FROM f GROUP BY category""")
+def _claims_sql(limit: int) -> str:
+    """One category after the other: its first free URLs, up to the limit."""
+    steps, taken = [], "SELECT NULL AS url WHERE false"
+    for k in range(4):
+        steps.append(f"c{k} AS (SELECT {k} AS category, url, pos FROM f WHERE cat = {k} AND url NOT IN ({taken}) ORDER BY pos LIMIT {limit})")
+        taken = " UNION ALL ".join(f"SELECT url FROM c{i}" for i in range(k + 1))
+    return ", ".join(steps)
+
+
+@query("q14_url_inventory", f"""WITH u AS (SELECT o_orderkey % 4 AS cat, 'i' || o_custkey AS url, o_orderkey * 2 AS pos, o_custkey FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT o_orderkey % 4, 'q' || o_custkey, o_orderkey * 2, o_custkey FROM orders WHERE o_orderkey % 5 = 2
+  UNION ALL SELECT o_orderkey % 4, 'p' || o_custkey, o_orderkey * 2 + 1, o_custkey FROM orders WHERE o_orderkey % 5 = 2
+  UNION ALL SELECT o_orderkey % 4, 't' || o_custkey, o_orderkey * 2, o_custkey FROM orders WHERE o_orderkey % 5 = 3),
+f AS (SELECT cat, url, min(pos) AS pos FROM u WHERE NOT (starts_with(url, 'i') AND o_custkey % 3 = 0) GROUP BY cat, url),
+{_claims_sql(250)}
+SELECT category::BIGINT AS category, count(*) AS urls, max(pos) // 2 AS last_page, count(*) < 250 AS thin
+FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3) GROUP BY category""")
 def q14(spark, sf):
-    return jobs.url_inventory(_listing_pages(spark, sf), c("page") % 4, 400)
+    known = table(spark, sf, "customer").where(c("c_custkey") % 3 == 0).select(
+        F.concat(F.lit("https://i.example/"), c("c_custkey").cast("string"), F.lit(".jpg?a=1&b=2")).alias("url"))
+    return jobs.url_inventory(_listing_pages(spark, sf), c("page") % 4, 250, 250, known)
 
 
 @query("q15_variant_comparison", """WITH p AS (SELECT l_partkey, l_quantity / 10.0 AS la, l_quantity / 10.0 + l_tax AS lb, l_linenumber + 20 AS ta, l_linenumber + 21 AS tb FROM lineitem)
