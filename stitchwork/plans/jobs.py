@@ -146,13 +146,18 @@ def session_mart(looks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return facts, change
 
 
-def fleet_report(checks: DataFrame, hours: float) -> DataFrame:
-    """Q13: latest state per host with its alerts."""
+def fleet_report(checks: DataFrame, hours: float, tasks: DataFrame | None = None, done: Column | None = None) -> DataFrame:
+    """Q13: latest state per host with its alerts, and the progress of its slice where ``tasks`` (host, ...) are given."""
     report = history.stall_report(checks, hours)
     at = F.struct("ts", "event_id")
-    return report.groupBy("host").agg(
+    hosts = report.groupBy("host").agg(
         F.max("count").alias("done"), F.max_by("progress_at", at).alias("progress_at"),
         F.max_by("stalled_since", at).alias("stalled_since"), F.count_if("alert").alias("alerts"))
+    if tasks is None:
+        return hosts
+    slices = AG.progress(tasks, "host", done).select("host", F.col("target").alias("slice_target"),
+                                                     F.col("remaining").alias("slice_remaining"), F.col("pct").alias("slice_pct"))
+    return hosts.join(slices, "host", "left")
 
 
 def url_inventory(pages: DataFrame, category: Column, thin_below: int, limit: int,

@@ -164,10 +164,14 @@ def q12(spark, sf):
 
 
 @query("q13_fleet_report", """WITH e AS (SELECT user_id AS host, event_id, ts, event_type, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-m AS (SELECT *, event_type <> 'error' AND n > coalesce(max(CASE WHEN event_type <> 'error' THEN n END) OVER (PARTITION BY host ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved FROM e)
-SELECT host, max(n)::BIGINT AS done, max(CASE WHEN moved THEN ts END) AS progress_at FROM m GROUP BY host""")
+m AS (SELECT *, event_type <> 'error' AND n > coalesce(max(CASE WHEN event_type <> 'error' THEN n END) OVER (PARTITION BY host ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved FROM e),
+h AS (SELECT host, max(n)::BIGINT AS done, max(CASE WHEN moved THEN ts END) AS progress_at FROM m GROUP BY host),
+t AS (SELECT o_custkey AS host, count(*) AS target, count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders GROUP BY 1)
+SELECT host, done, progress_at, target AS slice_target, target - f AS slice_remaining, round(f * 100.0 / target, 6)::DOUBLE AS slice_pct FROM h LEFT JOIN t USING (host)""")
 def q13(spark, sf):
-    return jobs.fleet_report(history.progress_checks(spark, sf), 12.0).select("host", "done", "progress_at")
+    tasks = table(spark, sf, "orders").select(c("o_custkey").alias("host"), "o_orderstatus")
+    report = jobs.fleet_report(history.progress_checks(spark, sf), 12.0, tasks, c("o_orderstatus") == "F")
+    return report.select("host", "done", "progress_at", "slice_target", "slice_remaining", F.round("slice_pct", 6).alias("slice_pct"))
 
 
 def _claims_sql(limit: int) -> str:

@@ -428,23 +428,25 @@ def p45(spark, sf):
                     F.array_join("bad_points", "|").alias("bad"), F.array_join(F.transform("suggestions", lambda s: s["category"]), "|").alias("suggestions"))
 
 
-@query("p46_suggestions", f"""WITH l AS (SELECT * FROM {S.LABELS} WHERE ends_with(category, 'Outfit')),
-n AS (SELECT id, list_filter([CASE WHEN fabric_wrinkled > 0 THEN {q(A.SUGGEST_STEAM)} END, CASE WHEN footwear_worn > 0 THEN {q(A.SUGGEST_FOOTWEAR)} END, CASE WHEN score >= 8.0 THEN {q(A.SUGGEST_BREAK)} END], lambda x: x IS NOT NULL) AS ls,
-  CASE WHEN score >= 7.5 THEN {sql_list(A.APP_FALLBACK_LINES[('outfit', True)])} ELSE {sql_list(A.APP_FALLBACK_LINES[('outfit', False)])} END AS fb FROM l)
+@query("p46_suggestions", f"""WITH l AS (SELECT *, ends_with(category, 'Outfit') AS outfit FROM {S.LABELS}),
+n AS (SELECT id, list_filter([CASE WHEN hair_untidy > 0 THEN {q(A.SUGGEST_HAIR_UNTIDY)} END, CASE WHEN NOT outfit AND score >= 8.0 THEN {q(A.SUGGEST_HYDRATE)} END, CASE WHEN fabric_wrinkled > 0 THEN {q(A.SUGGEST_STEAM)} END, CASE WHEN footwear_worn > 0 THEN {q(A.SUGGEST_FOOTWEAR)} END, CASE WHEN outfit AND score >= 8.0 THEN {q(A.SUGGEST_BREAK)} END], lambda x: x IS NOT NULL) AS ls,
+  CASE WHEN category = 'Men_Grooming' THEN CASE WHEN score >= 7.5 THEN {sql_list(A.APP_FALLBACK_LINES[('men', True)])} ELSE {sql_list(A.APP_FALLBACK_LINES[('men', False)])} END
+  WHEN category = 'Women_Grooming' THEN CASE WHEN score >= 7.5 THEN {sql_list(A.APP_FALLBACK_LINES[('women', True)])} ELSE {sql_list(A.APP_FALLBACK_LINES[('women', False)])} END WHEN score >= 7.5 THEN {sql_list(A.APP_FALLBACK_LINES[('outfit', True)])} ELSE {sql_list(A.APP_FALLBACK_LINES[('outfit', False)])} END AS fb FROM l)
 SELECT id, array_to_string((CASE WHEN len(ls) < 2 THEN list_concat(ls, fb) ELSE ls END)[1:4], '|') AS lines FROM n""")
 def p46(spark, sf):
-    rows = S.label_rows(spark, sf).where(c("category").endswith("Outfit")).withColumn("occasion", F.lit("Date Night"))
+    rows = S.label_rows(spark, sf).withColumn("occasion", F.lit("Date Night"))
     return look_ops.suggest(rows).select("id", F.array_join(F.transform("suggestions", lambda s: s["recommendation"]), "|").alias("lines"))
 
 
 # ---- pixels ---------------------------------------------------------------------------------
 
 def text_images(spark, sf):
-    """Whole texts as pixels: rows of 32 three-channel pixels, the last partial row left out."""
-    size = F.octet_length("text")
-    return table(spark, sf, "documents").where(size >= 96).select(
-        c("doc_id"), F.floor(size / 96).cast("int").alias("height"), F.lit(32).alias("width"), F.lit(3).alias("nChannels"),
-        c("text").cast("binary").alias("data"))
+    """Whole texts as pixels: rows of 32 three-channel pixels, the last row filled up with black."""
+    height = F.greatest(F.ceil(F.octet_length("text") / 96), F.lit(1)).cast("int")
+    fill = F.unhex(F.repeat(F.lit("00"), height * 96 - F.octet_length("text")))
+    return table(spark, sf, "documents").select(
+        c("doc_id"), height.alias("height"), F.lit(32).alias("width"), F.lit(3).alias("nChannels"),
+        F.concat(c("text").cast("binary"), fill).alias("data"))
 
 
 @query("x01_pixel_measures")

@@ -9,6 +9,7 @@ from pyspark.sql.types import IntegerType, StructType
 
 from stitchwork.functions.text import literals
 from stitchwork.operators.ordered import first_per_key, top_per_key
+from stitchwork.streaming.state import rocksdb
 
 
 def landed(spark: SparkSession, folder: str, schema: StructType | str, glob: str | None = None,
@@ -23,14 +24,19 @@ def landed(spark: SparkSession, folder: str, schema: StructType | str, glob: str
 
 
 def to_files(stream: DataFrame, out: str, checkpoint: str, by: list[str] | None = None) -> StreamingQuery:
-    """Everything available now into a file sink, exactly once across restarts."""
+    """Everything available now into a file sink, exactly once across restarts. State lies on disk, not in the heap."""
     writer = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
               .outputMode("append").trigger(availableNow=True))
-    return (writer.partitionBy(*by) if by else writer).start()
+    with rocksdb(stream.sparkSession):
+        return (writer.partitionBy(*by) if by else writer).start()
 
 
 def distinct_urls(stream: DataFrame, url: str = "url") -> DataFrame:
-    """Each URL once over the life of the stream; the state holds every URL seen."""
+    """Each URL once over the life of the stream; the state holds every URL seen.
+
+    Put ``without_known`` in front where an index of landed URLs exists, or
+    use ``distinct_urls_within`` where the source has a time.
+    """
     return stream.dropDuplicates([url])
 
 
