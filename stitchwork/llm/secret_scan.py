@@ -34,7 +34,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}")
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n)*[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+_BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Inside a run that isn't base64 as a whole: what stands between dashes, or between slashes.
+_PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9]{16,}={0,2}"))
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U00[01][0-9A-Fa-f]{5}"
                       r"|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
@@ -170,6 +172,12 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
                 bombs += bomb
                 if found:
                     inner.append(_Layer(found, whole=layer.span(match.start(), match.end())))
+                elif not bomb and not match.group().rstrip("=").isalnum():
+                    for part in {x.span() for p in _PARTS for x in p.finditer(layer.text, *match.span())} - {match.span()}:
+                        found, bomb = _decoded(layer.text[slice(*part)])
+                        bombs += bomb
+                        if found:
+                            inner.append(_Layer(found, whole=layer.span(*part)))
         for child in inner:
             if child is not None and (child.text, child.whole) not in seen:
                 seen.add((child.text, child.whole))

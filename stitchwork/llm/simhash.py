@@ -3,9 +3,10 @@
 A 64-bit fingerprint is cut into five segments that form a ring. If two
 fingerprints differ in at most four bits, then at some segment a chain starts
 whose first l segments differ in at most ``l * 4 / 5`` bits in total, for every
-l from 1 to 5 (0, 1, 2, 3, 4 bits). The first two links of a chain (a segment
-equal, the next at most one bit off) are an equi-join on about 26 bits; the
-rest of the chain is tested before the full Hamming distance.
+l from 1 to 5 (0, 1, 2, 3, 4 bits). The first links of a chain are an
+equi-join: a segment equal, the next at most one bit off (26 bits), in large
+corpora also the third, two bits off in all (39 bits). The rest of the chain
+is tested before the full Hamming distance.
 """
 
 from __future__ import annotations
@@ -70,12 +71,28 @@ def _segment(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, sum(SEGMENTS[:k])).bitwiseAND(F.lit((1 << SEGMENTS[k]) - 1))
 
 
-def _key(fp: Column, k: int, flip: int = 0) -> Column:
-    """Ring position k, its segment and the next one; ``flip`` is XORed into the next one."""
-    after = _segment(fp, k + 1)
-    if flip:
-        after = after.bitwiseXOR(F.lit(flip))
-    return F.lit(k << 26).bitwiseOR(F.shiftleft(_segment(fp, k), 13)).bitwiseOR(after).cast("long")
+#: From this many fingerprints on, a third link costs less than the chance meetings on two.
+THREE_LINKS_FROM = 1_000_000_000
+
+
+def _key(fp: Column, k: int, links: int) -> Column:
+    """Ring position k and the segments of the chain's first links."""
+    key = F.lit(k).cast("long")
+    for i in range(links):
+        key = F.shiftleft(key, 13).bitwiseOR(_segment(fp, k + i))
+    return key
+
+
+def _flips(k: int, links: int) -> list[int]:
+    """What a partner's key at k may differ in: one bit in the second link, two in all up to the third."""
+    def bits(i: int) -> list[int]:
+        return [1 << b + 13 * (links - 1 - i) for b in range(SEGMENTS[(k + i) % len(SEGMENTS)])]
+    second = [0, *bits(1)]
+    if links == 2:
+        return second
+    third = bits(2)
+    two = [x | y for i, x in enumerate(third) for y in third[:i]]
+    return [*(x | y for x in second for y in [0, *third]), *two]
 
 
 def _chain_holds(a: Column, b: Column, k: int) -> Column:
@@ -90,26 +107,32 @@ def _chain_holds(a: Column, b: Column, k: int) -> Column:
     return holds
 
 
-def near_pairs(distinct: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
+def near_pairs(distinct: DataFrame, hot_key: int = HOT_KEY, links: int | None = None) -> DataFrame:
     """Links a, b between distinct fingerprints that connect whatever is MAX_BITS or less apart.
 
     distinct: one column fp. Pairs meet only on a shared chain start. A pair
     is emitted at its first valid chain, so it appears once. A key that more
     than ``hot_key`` fingerprints share emits no pairs: its members go through
-    ``midpoint_links``, which costs the same for each of them.
+    ``midpoint_links``, which costs the same for each of them. ``links`` (2 or
+    3) is the number of links in the join key, by default what is cheaper for
+    the number of fingerprints; the links found are the same.
     """
+    links = links or (2 if distinct.count() < THREE_LINKS_FROM else 3)
     n = len(SEGMENTS)
     fp = F.col("fp")
-    exact = distinct.select("fp", F.explode(F.array(*[_key(fp, k) for k in range(n)])).alias("key"))
+    exact = distinct.select("fp", F.explode(F.array(*[_key(fp, k, links) for k in range(n)])).alias("key"))
     counts = exact.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot_key).select("key")
     hot = settle(counts)
-    flips = [(k, f) for k in range(n) for f in [0, *(1 << i for i in range(SEGMENTS[(k + 1) % n]))]]
-    probe = distinct.select(F.col("fp").alias("a"), F.explode(F.array(*[_key(fp, k, f) for k, f in flips])).alias("key"))
+
+    def around(k: int) -> Column:
+        own = _key(fp, k, links)
+        return F.transform(F.lit(_flips(k, links)).cast("array<long>"), lambda flip: own.bitwiseXOR(flip))
+    probe = distinct.select(F.col("fp").alias("a"), F.explode(F.concat(*map(around, range(n)))).alias("key"))
     index = exact.withColumnRenamed("fp", "b")
     if hot.limit(1).count():
         index = index.join(hot, "key", "left_anti")
     a, b = F.col("a"), F.col("b")
-    position = F.shiftright("key", 26)
+    position = F.shiftright("key", 13 * links)
     first = F.coalesce(*[F.when(_chain_holds(a, b, k), F.lit(k)) for k in range(n)])
     pairs = (probe.join(index, "key").filter(a < b).filter(F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
              .filter(first == position).select("a", "b"))

@@ -103,11 +103,11 @@ def _clustered(seed, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot_key", [10**6, 3, 0])
-def test_pigeonring_loses_no_connection(spark, hot_key):
+@pytest.mark.parametrize("hot_key, links", [(10**6, 2), (3, 2), (0, 2), (10**6, 3), (2, 3)])
+def test_pigeonring_loses_no_connection(spark, hot_key, links):
     prints = _clustered(5, 400)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    links = simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long"), hot_key)
+    links = simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long"), hot_key, links)
     roots = {r.node: r.root for r in graph.components(links).collect()}
     mask = (1 << 64) - 1
     want = _components({p: p & mask for p in signed})
@@ -115,10 +115,11 @@ def test_pigeonring_loses_no_connection(spark, hot_key):
     assert all(((r.a ^ r.b) & mask).bit_count() <= 4 for r in links.collect())
 
 
-def test_simhash_pairs_once_and_complete(spark):
+@pytest.mark.parametrize("links", [2, 3])
+def test_simhash_pairs_once_and_complete(spark, links):
     prints = _clustered(6, 300)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    got = [(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()]
+    got = [(r.a, r.b) for r in simhash.near_pairs(spark.createDataFrame([(p,) for p in signed], "fp long"), links=links).collect()]
     mask = (1 << 64) - 1
     want = {(min(a, b), max(a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & mask).bit_count() <= 4}
     assert len(got) == len(set(got)) and set(got) == want
@@ -169,7 +170,7 @@ def _words(spans, removable):
             for w in range(r.start_word, r.end_word)}
 
 
-@pytest.mark.parametrize("n, gram", [(50, 25), (20, 7)])
+@pytest.mark.parametrize("n, gram", [(50, 20), (50, 12), (20, 7)])
 def test_repeated_passages(documents, odd, n, gram):
     for docs in (documents, odd):
         covered, later = _repeats([(r.doc_id, r.text) for r in docs.collect()], n)

@@ -88,6 +88,8 @@ SECRET = "password=hunter2hunter2"
 @pytest.mark.parametrize("wrap", [
     lambda s: quote(s, safe=""), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: "".join(f"&#{ord(c)};" for c in s),
     lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.urlsafe_b64encode(gzip.compress(s.encode())).decode().rstrip("="),
+    lambda s: base64.urlsafe_b64encode(("ÿþ?>~" * 9 + s).encode()).decode(),
+    lambda s: "a-name_" + base64.b64encode(s.encode()).decode(), lambda s: "pa/th/" + base64.b64encode(s.encode()).decode(),
     lambda s: base64.b64encode(bz2.compress(zlib.compress(s.encode()))).decode(),
     lambda s: quote(base64.b64encode(s.encode()).decode(), safe="").replace("=", "%3D"),
     lambda s: base64.b64encode(base64.b64encode(base64.b64encode(s.encode()))).decode(),
@@ -97,7 +99,7 @@ def test_nested_layers_map_to_the_wrapping(wrap):
     text = f"é before {inner} after"
     base, spans, _ = secret_scan.scan(text)
     assert not base
-    assert any(text[s:e].startswith(inner[:8]) or inner.startswith(text[s:e][:8]) for s, _, e in spans), spans
+    assert any(text[s:e] in inner for s, _, e in spans), spans
     assert "hunter2" not in secret_scan.redacted(text, spans) and all(9 <= s and e <= 9 + len(inner) for s, _, e in spans)
 
 
