@@ -98,9 +98,9 @@ def spark_schema(fields: list[dict]) -> T.StructType:
 
 
 def schema_file(path: str) -> T.StructType:
-    """Label schema from a schema file, provenance-only fields dropped."""
-    with open(path, encoding="utf-8") as handle:
-        return spark_schema(trainable_fields(json.load(handle)))
+    """Label schema from a schema file on any file system that Spark reads, provenance-only fields dropped."""
+    text = SparkSession.active().read.text(path, wholetext=True).first()[0]
+    return spark_schema(trainable_fields(json.loads(text)))
 
 
 def trainable_fields(fields: list[dict]) -> list[dict]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,13 +99,15 @@ def write_audit(results: DataFrame, summary: DataFrame, path: str, model: str,
 
 
 def write_schema_files(folder: str) -> list[str]:
-    """One small schema document per category, written by the driver."""
-    os.makedirs(folder, exist_ok=True)
+    """One small schema document per category, written by the driver through Hadoop's file system."""
+    spark = SparkSession.active()
     paths = []
     for category in G.CATEGORIES:
-        path = os.path.join(folder, f"label_schema_{category}.json")
-        with open(path, "w", encoding="utf-8") as handle:
-            json.dump(G.label_schema(category), handle, indent=2)
+        path = f"{folder}/label_schema_{category}.json"
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        stream.write(bytearray(json.dumps(G.label_schema(category), indent=2), "utf-8"))
+        stream.close()
         paths.append(path)
     return paths
 
