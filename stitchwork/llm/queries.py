@@ -52,14 +52,67 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_simhash, op3_token_matrices, op4_exact_dedup, op5_piece_encoding, op6_suffix_dedup, op7_packing,
     op8_secrets, op9_quality_model, op10_quality_rules)}
 
+#: The character classes of the quality rules as patterns; what none of them holds is a class of its own.
+_CLASS_PATTERNS = (r"[\p{Ll}\p{Lo}\p{Lm}]", r"[\p{Lu}\p{Lt}]", r"\p{Nd}", r"[\p{Z}\x09-\x0D]", r"[#*$%&|<>]", r"[.,;:]",
+                   r"[\p{Mn}\p{Mc}]", r"[\p{P}\p{S}]")
+
+
+def _divergence(p: str, q: str) -> str:
+    """One bin's share of twice the Jensen-Shannon divergence."""
+    part = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"{part(p)} + {part(q)}"
+
+
+def _rules_sql() -> str:
+    found = [f"len(regexp_extract_all(t, '{x}'))" for x in _CLASS_PATTERNS[:-1]]
+    signs = f"len(regexp_extract_all(t, '{_CLASS_PATTERNS[-1]}')) - {found[4]} - {found[5]}"
+    bins = [*found, signs]
+    classes = ", ".join(f"{x} AS c{i}" for i, x in enumerate(bins))
+    rest = " - ".join(["length(t)", *(f"c{i}" for i in range(len(bins)))])
+    n = len(bins) + 1
+    sums = ", ".join(f"sum(c{i}) AS s{i}" for i in range(n))
+    spread = " + ".join(_divergence(f"(c{i}::DOUBLE / length(t))", f"(s{i}::DOUBLE / chars)") for i in range(n))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+  regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+') AS ps FROM d),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g
+  FROM w WHERE len(ws) >= 3),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (SELECT doc_id, lang, t, ps, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+plain AS (SELECT doc_id, lang, unnest(ps) AS word FROM failed),
+total AS (SELECT lang, count(*) AS words FROM plain GROUP BY lang),
+common AS (SELECT lang, word, count(*) AS n, any_value(words) AS words FROM plain JOIN total USING (lang) GROUP BY lang, word HAVING count(*) >= any_value(words) / 500.0),
+classes AS (SELECT doc_id, lang, t, {classes} FROM failed),
+full_classes AS (SELECT *, {rest} AS c{n - 1} FROM classes),
+ref AS (SELECT lang, sum(length(t)) AS chars, {sums} FROM full_classes GROUP BY lang),
+by_class AS (SELECT doc_id, sqrt(greatest(0, ({spread}) / 2)) AS class_distance FROM full_classes JOIN ref USING (lang) WHERE length(t) > 0),
+own AS (SELECT doc_id, lang, word, count(*) AS k FROM plain GROUP BY ALL),
+bins AS (SELECT f.doc_id, c.word, coalesce(k, 0)::DOUBLE / len(ps) AS p, c.n::DOUBLE / c.words AS q FROM failed f JOIN common c USING (lang)
+  LEFT JOIN own o ON o.doc_id = f.doc_id AND o.word = c.word WHERE len(ps) >= 100),
+others AS (SELECT doc_id, 1 - sum(p) AS p, 1 - sum(q) AS q, sum({_divergence('p', 'q')}) AS js FROM bins GROUP BY doc_id),
+by_word AS (SELECT doc_id, sqrt(greatest(0, (js + CASE WHEN p > 1e-12 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 1e-12 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS word_distance FROM others)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR (coalesce(words, 0) >= 2000 AND (coalesce(n_words >= 50 AND class_distance >= 0.32, false) OR coalesce(word_distance >= 0.45, false)))) AS kept
+FROM failed LEFT JOIN total USING (lang) LEFT JOIN by_class USING (doc_id) LEFT JOIN by_word USING (doc_id)"""
+
+
 ORACLES = {
+    "op10_quality_rules": _rules_sql(),
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
