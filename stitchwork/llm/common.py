@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import sys
 import types
+import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stitchwork.session import settle  # noqa: F401  (re-used by the operators)
+from stitchwork.session import ensure_checkpoint_dir, settle  # noqa: F401  (settle is re-used by the operators)
 
 #: White space of the contracts: blank, and tab to carriage return. ``bytes.split()`` cuts at exactly these.
 SPACE = " \t\n\x0b\x0c\r"
@@ -38,6 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as Parquet to the shared checkpoint folder: later reads take single columns, compressed."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def held_out(doc_id: str | Column) -> Column:
     """Documents that are kept from training. A null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -49,6 +58,18 @@ def texts_of(batch: pa.RecordBatch, column: int = 1) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def portions(texts: list, chars: int) -> Iterator[list]:
+    """Consecutive slices of texts (or nulls) of about so many characters, one text at least."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") < chars):
+            size += len(texts[end] or "")
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
 def by_rank(column: Column, seed: int) -> Column:
     """A fixed pseudo-random order of ids, the same on every partitioning."""
     return F.xxhash64(column, F.lit(seed))

@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stitchwork.llm.common import by_rank, held_out, ship, worker_cache
+from stitchwork.llm.common import by_rank, held_out, portions, ship, worker_cache
 
 #: Labelled documents per language that the automata may learn from, and characters taken of them in all.
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 30_000
 #: Phrases end at every so many letters and blanks, so that long texts parse side by side.
 BLOCK_CHARS = 2_048
+#: Characters of the texts that are parsed at once.
+PORTION_CHARS = 2_000_000
 UNDETERMINED = "und"
 
 
@@ -200,15 +202,9 @@ def predict(docs: DataFrame, learned: dict[str, str], id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = parser(learned)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found, at = [], 0
-            while at < len(texts):  # about a million characters at once
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end] or "") < 2_000_000):
-                    chars += len(texts[end] or "")
-                    end += 1
-                found += known.predict(texts[at:end])
-                at = end
+            found = []
+            for part in portions(batch.column(1).to_pylist(), PORTION_CHARS):
+                found += known.predict(part)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 names=[id, "lang_pred", "score"])

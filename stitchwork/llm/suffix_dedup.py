@@ -1,10 +1,10 @@
 """Repeated passages by sparse suffix arrays.
 
 Only suffixes that start at content-selected minimisers are kept: in each run
-of 26 neighbouring 25-word grams the one with the smallest hash. Every passage
+of 31 neighbouring 20-word grams the one with the smallest hash. Every passage
 of 50 words contains such a place, and equal passages contain it at the same
 offset. The kept suffixes are sorted and compared with their neighbours; those
-that share their first 25 words with one are extended to the left and right: a
+that share their first 20 words with one are extended to the left and right: a
 50-word window around the place counts if another place has it too. Extents
 come from the outermost windows of a place; the windows between are looked at
 only where an outermost one has no partner. The result is the union of all
@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stitchwork.llm.common import settle, ship, texts_of
+from stitchwork.llm.common import ship, texts_of, written
 
 MIN_WORDS = 50
-GRAM_WORDS = 25
+GRAM_WORDS = 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -193,15 +193,15 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
     A null id is an id of its own, smaller than others. Null, empty and short
     texts have no row; nor has an empty table.
     """
-    found = settle(sparse_suffixes(docs, id, text, min_words, gram))
-    kept = settle(neighbours(found))
+    found = written(sparse_suffixes(docs, id, text, min_words, gram), "suffixes")
+    kept = written(neighbours(found), "neighbours")
     ends = kept.select(F.explode(F.array(F.struct(F.col("low_hash").alias("hash"), F.struct("id", F.col("low").alias("start")).alias("at")),
                                          F.struct(F.col("high_hash").alias("hash"), F.struct("id", F.col("high").alias("start")).alias("at"))))
                        .alias("w")).select("w.hash", "w.at")
-    shared = settle(_shared(ends))
+    shared = written(_shared(ends), "ends")
     low = shared.select(F.col("shared_hash").alias("low_hash"), F.col("first").alias("low_first"))
     high = shared.select(F.col("shared_hash").alias("high_hash"), F.col("first").alias("high_first"))
-    judged = settle(kept.join(low, "low_hash", "left").join(high, "high_hash", "left"))
+    judged = written(kept.join(low, "low_hash", "left").join(high, "high_hash", "left"), "judged")
     whole = F.col("low_first").isNotNull() & F.col("high_first").isNotNull()
 
     def later(first: str, start: str):
@@ -217,10 +217,14 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
         F.when(low_later & high_later, span(True, "low", "high")).when(low_later, span(True, "low", "low"))
         .when(high_later, span(True, "high", "high")))).alias("s"))
     spans = spans.filter("s is not null").select("id", "s.removable", "s.start", "s.end")
-    # The others: every window of all places with the same gram, whose windows alone can be partners.
-    open_keys = judged.filter(~whole).select("key").distinct()
-    wanted = judged.join(open_keys, "key", "left_semi").select("id", "low", "high")
-    windows = settle(_all_windows(docs, wanted, id, text, min_words))
+    # The others: all their windows. Only places with the same gram can be partners; of those that are complete and
+    # equal from end to end, the first stands for all.
+    incomplete = judged.filter(~whole)
+    equals = (judged.filter(whole).join(incomplete.select("key").distinct(), "key", "left_semi")
+              .groupBy("key", "low_hash", "high_hash", (F.col("high") - F.col("low")).alias("_span"))
+              .agg(F.min(F.struct("id", "low", "high")).alias("_first")))
+    wanted = incomplete.select("id", "low", "high").unionByName(equals.select("_first.*"))
+    windows = written(_all_windows(docs, wanted, id, text, min_words), "windows")
     partners = _shared(windows.select("hash", F.struct("id", "start").alias("at")))
     inner = windows.join(partners, F.col("hash") == F.col("shared_hash"))
     inner = inner.select("id", F.explode(F.when(later("first", "start"), F.array(F.lit(False), F.lit(True)))
