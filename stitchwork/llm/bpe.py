@@ -1,9 +1,10 @@
-"""Byte-level BPE ids of texts, part by part with a bounded memory of parts."""
+"""Byte-level BPE ids of texts."""
 
 from __future__ import annotations
 
 import base64
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
@@ -13,55 +14,27 @@ from stitchwork.llm.common import ship, worker_cache
 #: The vocabulary for the tokenizers library, and the same vocabulary as ranks.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Parts kept per Python worker before its memory is emptied. It changes speed only.
-KEPT_PARTS = 300_000
-
-
-class _Parts(dict):
-    """Part of a text without blanks -> its ids with ``lead`` before it; None where parts don't stand alone."""
-
-    def __init__(self, encode, lead: str):
-        super().__init__()
-        self.encode, self.lead = encode, lead
-
-    def __missing__(self, part: str):
-        # A cut before a blank is safe if the character before it is no white space: no pre-token spans it.
-        alone = part and not part[-1].isspace() and "<|" not in part
-        ids = self.encode(self.lead + part).astype("<u4").tobytes() if alone else None
-        self[part] = ids
-        return ids
 
 
 class Encoder:
-    """text -> ids as little-endian unsigned 32-bit bytes, equal to the tokenizers library's."""
+    """text -> ids as little-endian unsigned 32-bit bytes, equal to the tokenizers library's.
+
+    The ranks of the same vocabulary encode several times faster. Texts that
+    may name a special token go to the library itself.
+    """
 
     def __init__(self, vocabulary: str, ranks: str):
         self.library = Tokenizer.from_file(vocabulary)
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.forget()
-
-    def forget(self) -> None:
-        self.first, self.rest = _Parts(self.fast.encode_to_numpy, ""), _Parts(self.fast.encode_to_numpy, " ")
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if len(self.rest) > KEPT_PARTS:
-            self.forget()
-        first, *rest = text.split(" ")
-        try:
-            head = self.first[first] if first else b""
-            return head + b"".join(map(self.rest.__getitem__, rest))
-        except TypeError:  # a part that doesn't stand alone
-            return self.whole(text)
-
-    def whole(self, text: str) -> bytes:
-        if "<|" in text:  # may name a special token
-            import numpy as np
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        if "<|" in text:
+            ids = np.array(self.library.encode(text, add_special_tokens=False).ids)
+        else:
+            ids = self.fast.encode_to_numpy(text)
+        return ids.astype("<u4", copy=False).tobytes()
 
 
 def encoder(vocabulary: str = VOCABULARY, ranks: str = RANKS) -> Encoder:

@@ -29,13 +29,6 @@ def test_bpe_equals_the_library(library, corpus):
         assert np.frombuffer(encode(text), "<u4").tolist() == _ids(library, text, 1)[:-1], text[:80]
 
 
-def test_bpe_forgets(monkeypatch, library):
-    monkeypatch.setattr(bpe, "KEPT_PARTS", 2)
-    encode = bpe.Encoder(bpe.VOCABULARY, bpe.RANKS)
-    for text in ("one two three four", "five six one two"):
-        assert np.frombuffer(encode(text), "<u4").tolist() == _ids(library, text, 1)[:-1]
-
-
 # ---- hierarchical packing -------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", ["documents", "odd"])
