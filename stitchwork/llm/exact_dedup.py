@@ -34,17 +34,18 @@ def suspects(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_CHA
 
 
 def full_hashes(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """docs plus struct ``_level``: length, prefix, and full (SHA-256), null where a cheaper level told the row apart."""
+    """_doc (the row of docs), _text (null as empty) and _full (SHA-256), null where a cheaper level told the row apart.
+
+    The rows are shuffled once; a text travels in its row only.
+    """
     level = F.struct(F.octet_length(_text(text)).alias("length"),
                      F.xxhash64(F.substring(_text(text), 1, prefix_chars)).alias("prefix"))
     shared = suspects(docs, text, prefix_chars).select(F.struct("length", "prefix").alias("_shared"))
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), level.alias("_cheap"),
-                        _text(text).alias("_text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), level.alias("_cheap"))
     # The keys are the smaller side in every partition; hashing them spares a sort of the texts.
     met = keyed.join(shared.hint("shuffle_hash"), F.col("_cheap") == F.col("_shared"), "left")
-    full = F.when(F.col("_shared").isNotNull(), F.sha2(F.col("_text"), 256))
-    return met.select("_doc", "_text", F.col("_cheap.length").alias("_length"), F.col("_cheap.prefix").alias("_prefix"),
-                      full.alias("_full"))
+    whole = F.coalesce(F.col("_doc")[text], F.lit(""))
+    return met.select("_doc", whole.alias("_text"), F.when(F.col("_shared").isNotNull(), F.sha2(whole, 256)).alias("_full"))
 
 
 def decide(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS,
@@ -58,8 +59,8 @@ def decide(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix_chars
     them all. An empty table gives no rows.
     ``extra`` may use _text and _full (null outside surviving groups).
     """
-    leveled = full_hashes(docs, text, prefix_chars)
-    rows = leveled.select(F.col("_doc")[id].alias(id), "_length", "_full",
+    leveled = full_hashes(docs.select(id, text), text, prefix_chars)
+    rows = leveled.select(F.col("_doc")[id].alias(id), "_full",
                           *[c.alias(n) for n, c in (extra or {}).items()])
     survivors = rows.filter(F.col("_full").isNotNull())
     groups = (survivors.groupBy(F.col("_full").alias("_group"))
