@@ -14,7 +14,6 @@ for every prefix just one piece does. Both give the library's own ids.
 
 from __future__ import annotations
 
-import os.path
 import re
 from array import array
 from collections.abc import Iterator
@@ -25,12 +24,14 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from stitchwork.llm.common import ship, texts_of, worker_cache
+from stitchwork.llm.common import portions, ship, texts_of, worker_cache
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: Words kept per Python worker before its memory is emptied. It changes speed only.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
+#: Characters of the texts that are cut into words at once.
+PORTION_CHARS = 2_000_000
 
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 _RUNS = re.compile(rf"{MARK}*[^\W\d_{MARK}]+|{MARK}*(?:[^\w\n{MARK}]|_)+|{MARK}+|[\d\n]+")
@@ -95,8 +96,8 @@ class Pieces:
         self.apart = _Apart(self.rank, self.split)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        #: Every stretch of a piece: what isn't one of these lies in no piece.
-        self.inside = {p[i:j] for p in self.ids for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
+        self.spoken: list[bytes] = []
+        self.inside: set[str] = set()
         self.endings = _Endings(self.ids)
         #: Runs of letters, digits, line ends and other signs stand apart unless a piece spans their border. The few
         #: such pieces are told by their rarest character; a part that holds it stays whole.
@@ -143,28 +144,34 @@ class Pieces:
 
     def _forward(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """Each word, in order, with its pieces."""
-        last, best, reach, before = [""], [0.0], [0], ""
-        scores, bpe, inside, endings, follows = self.scores, self.bpe, self.inside, self.endings, self.apart.__getitem__
+        if not self.inside:  # every stretch of a piece: what isn't one of these lies in no piece
+            self.inside = {p[i:j] for p in self.ids for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
+        scores, bpe, inside, endings, apart = self.scores, self.bpe, self.inside, self.endings, self.apart
         floor = min(scores.values(), default=0.0) - 10
+        # One entry per prefix of the word before: its last piece, its score, and where the longest stretch begins.
+        last, best, reach, before = [""], [0.0], [0], ""
         for word in words:
-            shared = len(os.path.commonprefix([before, word]))
+            shared, common = 0, min(len(word), len(before))
+            while shared < common and word[shared] == before[shared]:
+                shared += 1
             del last[shared + 1:], best[shared + 1:], reach[shared + 1:]
+            start = reach[-1]
             for end in range(shared + 1, len(word) + 1):
-                start = reach[-1]
-                while start < end - 1 and word[start:end] not in inside:
+                stretch = word[start:end]
+                while start < end - 1 and stretch not in inside:
                     start += 1
+                    stretch = word[start:end]
                 reach.append(start)
-                found, top = "", -np.inf
-                for piece in endings[word[start:end]]:  # longest first
-                    start = end - len(piece)
-                    if bpe:
-                        if not start or follows((last[start], piece)):
-                            found = piece
+                if bpe:
+                    for piece in endings[stretch]:  # longest first; just one may follow what is before it
+                        at = end - len(piece)
+                        if not at or apart[last[at], piece]:
                             break
-                    elif best[start] + scores.get(piece, floor) > top:
-                        found, top = piece, best[start] + scores.get(piece, floor)
-                last.append(found)
-                best.append(top)
+                    last.append(piece)
+                else:
+                    top, piece = max((best[end - len(p)] + scores.get(p, floor), p) for p in endings[stretch])
+                    last.append(piece)
+                    best.append(top)
             parts, end = [], len(word)
             while end:
                 parts.append(last[end])
@@ -220,12 +227,10 @@ class Pieces:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: blanks for marks without the first, byte pieces as UTF-8; control pieces are silent."""
-        parts = []
-        for i in ids:
-            if i in self.bytes_of:
-                parts.append(bytes([self.bytes_of[i]]))
-            elif i not in self.special:
-                parts.append(self.names[i].encode("utf-8"))
+        if not self.spoken:
+            self.spoken = [bytes([self.bytes_of[i]]) if i in self.bytes_of else b"" if i in self.special else name.encode("utf-8")
+                           for i, name in enumerate(self.names)]
+        parts = map(self.spoken.__getitem__, ids)
         text = b"".join(parts).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
@@ -250,7 +255,9 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", model: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(model)
         for batch in batches:
-            encoded = known.encode_batch(texts_of(batch))
+            encoded = []
+            for part in portions(texts_of(batch), PORTION_CHARS):
+                encoded += known.encode_batch(part)
             ends = np.cumsum([0, *(len(x) // 4 for x in encoded)])
             ids = pa.array(np.frombuffer(b"".join(encoded), "<i4"))
             yield pa.RecordBatch.from_arrays(
@@ -267,7 +274,10 @@ def decode(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", model: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(model)
         for batch in batches:
-            texts = pa.array([known.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())
+            lists = batch.column(1)
+            ids, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            # One row's ids at a time: as Python numbers those of a whole batch would be hundreds of MB.
+            texts = pa.array((known.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(1)] if keep_ids else []), texts], names=names)
 
     return encoded.select(id, ids).mapInArrow(run, f"{id} {kind}, {'ids array<int>, ' if keep_ids else ''}text string")
