@@ -34,7 +34,8 @@ def suspects(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_CHA
 
 
 def full_hashes(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """_doc (the row of docs), _text (null as empty) and _full (SHA-256), null where a cheaper level told the row apart.
+    """_doc (the row of docs), _text (null as empty), _full (SHA-256; null where a cheaper level told the row apart) and
+    _key, which is _full or else something of its own, so that rows without a group don't meet in one task.
 
     The rows are shuffled once; a text travels in its row only.
     """
@@ -45,7 +46,10 @@ def full_hashes(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_
     # The keys are the smaller side in every partition; hashing them spares a sort of the texts.
     met = keyed.join(shared.hint("shuffle_hash"), F.col("_cheap") == F.col("_shared"), "left")
     whole = F.coalesce(F.col("_doc")[text], F.lit(""))
-    return met.select("_doc", whole.alias("_text"), F.when(F.col("_shared").isNotNull(), F.sha2(whole, 256)).alias("_full"))
+    full = F.when(F.col("_shared").isNotNull(), F.sha2(whole, 256))
+    own = F.concat(F.lit("#"), F.hex(F.xxhash64("_cheap")))
+    return met.select("_doc", whole.alias("_text"), full.alias("_full"), own.alias("_own")).select(
+        "_doc", "_text", "_full", F.coalesce("_full", "_own").alias("_key"))
 
 
 def decide(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS,
@@ -60,12 +64,12 @@ def decide(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix_chars
     ``extra`` may use _text and _full (null outside surviving groups).
     """
     leveled = full_hashes(docs.select(id, text), text, prefix_chars)
-    rows = leveled.select(F.col("_doc")[id].alias(id), "_full",
+    rows = leveled.select(F.col("_doc")[id].alias(id), "_full", "_key",
                           *[c.alias(n) for n, c in (extra or {}).items()])
     survivors = rows.filter(F.col("_full").isNotNull())
     groups = (survivors.groupBy(F.col("_full").alias("_group"))
               .agg(F.max(F.col(id)).alias("keep_id"), F.count("*").alias("group_size")))
-    joined = rows.join(groups, F.col("_full") == F.col("_group"), "left")
+    joined = rows.join(groups, F.col("_key") == F.col("_group"), "left")
     alone = F.col("_group").isNull()
     keep = F.when(alone, F.col(id)).otherwise(F.col("keep_id"))
     return joined.select(id, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
