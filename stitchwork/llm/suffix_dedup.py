@@ -220,9 +220,10 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
     # The others: all their windows. Only places with the same gram can be partners; of those that are complete and
     # equal from end to end, the first stands for all.
     incomplete = judged.filter(~whole)
-    equals = (judged.filter(whole).join(incomplete.select("key").distinct(), "key", "left_semi")
-              .groupBy("key", "low_hash", "high_hash", (F.col("high") - F.col("low")).alias("_span"))
-              .agg(F.min(F.struct("id", "low", "high")).alias("_first")))
+    # They are reduced before they meet the keys, so a passage that many documents share is one row there.
+    equals = (judged.filter(whole).groupBy("key", "low_hash", "high_hash", (F.col("high") - F.col("low")).alias("_span"))
+              .agg(F.min(F.struct("id", "low", "high")).alias("_first"))
+              .join(incomplete.select("key").distinct(), "key", "left_semi"))
     wanted = incomplete.select("id", "low", "high").unionByName(equals.select("_first.*"))
     windows = written(_all_windows(docs, wanted, id, text, min_words), "windows")
     partners = _shared(windows.select("hash", F.struct("id", "start").alias("at")))
