@@ -29,7 +29,7 @@ from stitchwork.llm.common import portions, ship, texts_of, worker_cache
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: Words kept per Python worker before its memory is emptied. It changes speed only.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 120_000
 #: Characters of the texts that are cut into words at once.
 PORTION_CHARS = 2_000_000
 
@@ -255,13 +255,14 @@ def encode(docs: DataFrame, id: str = "doc_id", text: str = "text", model: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(model)
         for batch in batches:
-            encoded = []
+            at = 0
             for part in portions(texts_of(batch), PORTION_CHARS):
-                encoded += known.encode_batch(part)
-            ends = np.cumsum([0, *(len(x) // 4 for x in encoded)])
-            ids = pa.array(np.frombuffer(b"".join(encoded), "<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=[id, "ids"])
+                encoded = known.encode_batch(part)
+                ends = np.cumsum([0, *(len(x) // 4 for x in encoded)])
+                ids = pa.array(np.frombuffer(b"".join(encoded), "<i4"))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)),
+                                                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=[id, "ids"])
+                at += len(part)
 
     return docs.select(id, text).mapInArrow(run, f"{id} {kind}, ids array<int>")
 
