@@ -7,8 +7,9 @@ offset. The kept suffixes are sorted and compared with their neighbours; those
 that share their first 20 words with one are extended to the left and right: a
 50-word window around the place counts if another place has it too. Extents
 come from the outermost windows of a place; the windows between are looked at
-only where an outermost one has no partner. The result is the union of all
-50-word windows that occur at two or more places, without pairing places.
+where an outermost one has no partner, or places with the same gram differ in
+extent. The result is the union of all 50-word windows that occur at two or
+more places, without pairing places.
 """
 
 from __future__ import annotations
@@ -188,8 +189,8 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
 
     removable false: the union of all windows of min_words that occur at two
     or more places, in one document or several. removable true: the union of
-    those windows known to occur at a smaller (id, word) too. Rows that repeat
-    an id are one document: equal windows at the same word are one place.
+    those windows that occur at a smaller (id, word) too. Rows that repeat an
+    id are one document: equal windows at the same word are one place.
     A null id is an id of its own, smaller than others. Null, empty and short
     texts have no row; nor has an empty table.
     """
@@ -217,13 +218,17 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words:
         F.when(low_later & high_later, span(True, "low", "high")).when(low_later, span(True, "low", "low"))
         .when(high_later, span(True, "high", "high")))).alias("s"))
     spans = spans.filter("s is not null").select("id", "s.removable", "s.start", "s.end")
-    # The others: all their windows. Only places with the same gram can be partners; of those that are complete and
-    # equal from end to end, the first stands for all.
-    incomplete = judged.filter(~whole)
+    # All windows of the others, and of complete places that another place with the same gram differs from: an inner window
+    # may occur earlier there. Of complete places that are equal from end to end, the first stands for all; the rest are
+    # later at both ends, so they are done.
     # They are reduced before they meet the keys, so a passage that many documents share is one row there.
+    incomplete = judged.filter(~whole)
+    extent = F.struct("low_hash", "high_hash", F.col("high") - F.col("low"))
+    unequal = (judged.groupBy("key").agg(F.max(~whole).alias("_open"), F.min(extent).alias("_least"), F.max(extent).alias("_most"))
+               .filter("_open or _least <> _most").select("key"))
     equals = (judged.filter(whole).groupBy("key", "low_hash", "high_hash", (F.col("high") - F.col("low")).alias("_span"))
               .agg(F.min(F.struct("id", "low", "high")).alias("_first"))
-              .join(incomplete.select("key").distinct(), "key", "left_semi"))
+              .join(unequal, "key", "left_semi"))
     wanted = incomplete.select("id", "low", "high").unionByName(equals.select("_first.*"))
     windows = written(_all_windows(docs, wanted, id, text, min_words), "windows")
     partners = _shared(windows.select("hash", F.struct("id", "start").alias("at")))

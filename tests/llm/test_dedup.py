@@ -190,5 +190,21 @@ def test_partners_of_different_extent(spark):
     assert _words(suffix_dedup.repeats(docs).collect(), False) == covered and covered
 
 
+def test_removable_words_are_whole(spark, documents):
+    draw = random.Random(8)
+
+    def words(n):
+        return [f"w{draw.getrandbits(40)}" for _ in range(n)]
+    rows = []
+    for length in range(50, 82):  # a passage in two groups of copies: the first copy of the second group has it later
+        passage = words(length)
+        for text in (words(draw.randint(0, 90)) + passage + words(draw.randint(0, 90)) for _ in range(2)):
+            rows += [(len(rows) + k, " ".join(text)) for k in range(2)]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string").repartition(5), documents):
+        covered, later = _repeats([(r.doc_id, r.text) for r in docs.collect()], 50)
+        spans = suffix_dedup.repeats(docs).collect()
+        assert _words(spans, False) == covered and _words(spans, True) == later and later
+
+
 def test_no_repeats_in_an_empty_table(nothing):
     assert suffix_dedup.repeats(nothing).count() == 0
