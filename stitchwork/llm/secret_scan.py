@@ -35,6 +35,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}")
 _BASE64 = re.compile(r"(?:[A-Za-z0-9+/]{60,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 over several lines of any width, indented or not; of such a run, its lines.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)++={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Inside a run that isn't base64 as a whole: what stands between dashes, or between slashes.
 _PARTS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"), re.compile(r"[A-Za-z0-9]{16,}={0,2}"))
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
@@ -129,7 +132,7 @@ def _expanded(data: bytes) -> tuple[bytes | None, bool]:
 
 def _decoded(run: str) -> tuple[str | None, bool]:
     """What a base64 run holds, if it is text or compressed text."""
-    body = run.rstrip("=").replace("\r", "").replace("\n", "")
+    body = "".join(run.split()).rstrip("=")
     if len(body) % 4 == 1:
         return None, False
     try:
@@ -150,6 +153,47 @@ def _decoded(run: str) -> tuple[str | None, bool]:
     return (text if _PRINTABLE.fullmatch(text) else None), bomb
 
 
+def _wrapped(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int]]]:
+    """(start, end, content) of base64 that is wrapped over lines, and the spans of bombs.
+
+    The lines around a run may be words of the text, and one run may follow another. So all lines are tried, then those
+    without the first or last; then each group of lines of one width with the shorter line that ends it.
+    """
+    found, bombs = [], []
+
+    def tried(lines: list[tuple[int, int]]) -> bool:
+        if len(lines) < 2 or sum(e - s for s, e in lines) < 16:
+            return False
+        start, end = lines[0][0], lines[-1][1]
+        content, bomb = _decoded(text[start:end])
+        if bomb:
+            bombs.append((start, end))
+        elif content:
+            if not any(s <= start and end <= e and content in known for s, e, known in found):
+                found.append((start, end, content))
+        return bomb or bool(content)
+
+    for match in _WRAPPED.finditer(text):
+        lines = [m.span() for m in _LINE.finditer(text, *match.span())]
+        sizes = [e - s for s, e in lines]
+        groups, at = [], 0
+        while at < len(lines):
+            end = at + 1
+            while end < len(lines) and sizes[end] == sizes[at]:
+                end += 1
+            groups.append((at, end, end < len(lines) and sizes[end] < sizes[at]))
+            at = end
+        n = len(bombs)
+        any(tried(lines[i:j]) for i in (0, 1) for j in (len(lines), len(lines) - 1))
+        if len(groups) > 1:
+            if len(groups) > 2:
+                del bombs[n:]  # counted by group
+            for at, end, more in groups:
+                if not (more and tried(lines[at:end + 1])):
+                    tried(lines[at:end])
+    return found, sorted(set(bombs))
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans (base ones and those of inner layers), and the number of bombs."""
     base = base_spans(text)
@@ -166,10 +210,17 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
             inner.append(layer.replaced(_URL, _url))
         if "\\" in layer.text or "&#" in layer.text:
             inner.append(layer.replaced(_UNICODE, _unicode))
+        whole, burst = _wrapped(layer.text) if "\n" in layer.text else ([], [])
+        bombs += len(burst)
+        inner += [_Layer(found, whole=layer.span(start, end)) for start, end, found in whole]
         if _LONG.search(layer.text):
             for match in _BASE64.finditer(layer.text):
+                if any(s <= match.start() and match.end() <= e for s, e in burst):
+                    continue
                 found, bomb = _decoded(match.group())
                 bombs += bomb
+                if found and any(s <= match.start() and match.end() <= e and found in known for s, e, known in whole):
+                    continue
                 if found:
                     inner.append(_Layer(found, whole=layer.span(match.start(), match.end())))
                 elif not bomb and not match.group().rstrip("=").isalnum():

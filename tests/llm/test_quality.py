@@ -103,6 +103,37 @@ def test_nested_layers_map_to_the_wrapping(wrap):
     assert "hunter2" not in secret_scan.redacted(text, spans) and all(9 <= s and e <= 9 + len(inner) for s, _, e in spans)
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, bz2.compress])
+@pytest.mark.parametrize("width, join", [(76, "\n"), (76, "\r\n    "), (64, "\n\t"), (20, "\n"), (12, "\n  "), (75, "\n")])
+def test_wrapped_base64_is_read_to_its_last_character(pack, width, join):
+    draw, ends = np.random.default_rng(4), set()
+    for n in range(40, 40 + 3 * 57):
+        filler = "".join(chr(97 + k) for k in draw.integers(0, 26, n))
+        run = base64.b64encode(pack(f"{filler} {SECRET}".encode())).decode()
+        for body in (run, run.rstrip("=")):
+            ends.add((len(body) - 1) % width + 1)
+            block = join.join(body[i:i + width] for i in range(0, len(body), width))
+            for text in (f"é before {block} after", f"é before\n{block}\n\nafter", f"é before{join}{block}\nafter, too"):
+                spans = secret_scan.scan(text)[1]
+                low, high = text.index(block), text.index(block) + len(block.rstrip("= \t\r\n"))
+                assert any(s <= low and high <= e for s, _, e in spans), (n, text)
+    if pack is bytes:
+        assert ends >= {k for k in range(2, width + 1) if width % 4 or k % 4 != 1}
+
+
+def test_wrapped_base64_beside_another_run():
+    def lines(data, width):
+        body = base64.b64encode(data).decode().rstrip("=")
+        return "\n".join(body[i:i + width] for i in range(0, len(body), width))
+    for pack in (bytes, gzip.compress, bz2.compress):
+        first, second = (lines(pack(("x y " * k + s).encode()), 32) for k, s in ((9, SECRET), (11, "token=abcdefgh5678")))
+        text = f"one\ntwo\n{first}\n{second}\n\nthree"
+        spans = secret_scan.scan(text)[1]
+        for block in (first, second):
+            low = text.index(block)
+            assert any(s <= low and low + len(block) <= e for s, _, e in spans), pack
+
+
 def test_escapes_map_to_their_characters():
     text = "x token%3Dabcdefgh%31 y"
     assert secret_scan.scan(text)[1] == [(2, 0, 21)]
