@@ -59,6 +59,13 @@ def edits_for(bucket: str) -> Column:
     raise ValueError(f"{bucket} has no correction rule")
 
 
+def edits_by_bucket(bucket: Column, buckets: list[str]) -> Column:
+    """The edits of the bucket a row is in; of a salvage those of the copy, which a false alarm doesn't get."""
+    found = lambda b: (F.when(F.col("actual_style") != "clean_shaven", _style_edits()) if b == "clean_shaven_salvage"
+                       else edits_for(b))
+    return F.coalesce(*[F.when(bucket == b, found(b)) for b in buckets])
+
+
 def corrections(judged: DataFrame, bucket: str) -> DataFrame:
     """Long (filename, column, new_value) of the usable answers."""
     return judged.select("filename", F.explode(edits_for(bucket)).alias("_e")).select(

@@ -80,6 +80,22 @@ def audit_and_repair(labels: DataFrame, judged: DataFrame, bucket: str, columns:
     return {"patched": patched, "diff": diff, "unmatched": unmatched}
 
 
+def audit_and_repair_all(labels: DataFrame, judged: DataFrame) -> DataFrame:
+    """Q06: the cell diff of every issue bucket against the labels, in one pass.
+
+    A column that the labels don't have counts as empty. Of repeated answers for a cell the largest text stays.
+    """
+    flagged = filters.issue_buckets(labels).select("filename", "bucket").distinct()
+    edits = repair.edits_by_bucket(F.col("bucket"), [b for b, *_ in filters.ISSUE_BUCKETS])
+    cells = (judged.join(flagged, "filename").select("filename", "bucket", F.explode(edits).alias("_e"))
+             .groupBy("filename", "bucket", F.col("_e.column").alias("column")).agg(F.max("_e.new_value").alias("new_value")))
+    old = F.create_map(*[x for n in labels.columns if n not in ("filename", "issues")
+                         for x in (F.lit(n), F.col(n).cast("string"))])
+    both = cells.join(labels.select("filename", old.alias("_old")), "filename")
+    both = both.select("bucket", "filename", "column", F.try_element_at("_old", F.col("column")).alias("old_value"), "new_value")
+    return both.where(F.coalesce("old_value", F.lit("None")) != F.col("new_value"))
+
+
 def pixel_qa(labels: DataFrame, images: DataFrame, key: str = "filename") -> DataFrame:
     """Q07: measure, name colours, annotate label rows."""
     return pixels.qa_rows(labels, pixels.with_color_names(pixels.measure(images, key)), key)

@@ -12,7 +12,7 @@ from stitchwork.plans import standins as S
 from stitchwork.plans.queries_aggregates import _RECALL_SQL
 from stitchwork.plans.queries_filters import BUCKETS_SQL, LOG_SQL
 from stitchwork.plans.queries_scalars import (
-    _DEMOGRAPHIC, _OK_TIER, _REVIEW_BASE, _SEV, _STREAM_SORTER, _TIER_SORTER, DESCRIPTION_SQL, JUDGED, PHOTO_FACTS_SQL,
+    _DEMOGRAPHIC, _OK_TIER, _POS, _REVIEW_BASE, _SEV, _STREAM_SORTER, _TIER_SORTER, DESCRIPTION_SQL, JUDGED, PHOTO_FACTS_SQL,
     judged)
 from stitchwork.plans.queries_sources import _listing_pages, text_images
 from stitchwork.plans.registry import q, query, sql_draw_number, sql_list, sql_map, sql_pick, table
@@ -69,6 +69,41 @@ def q06(spark, sf):
     return jobs.audit_and_repair(S.label_rows(spark, sf), judged(spark, sf), "fit_miss", ["fit_baggy", "fit_tight"])["diff"]
 
 
+_TIER_EDITS = {"facial_hair_texture": ("facial_hair_untidy", "facial_hair_groomed"), "eyebrows": ("eyebrows_unkempt", "eyebrows_groomed"),
+               "skin_condition": ("skin_neglected", "skin_healthy"), "makeup": ("makeup_uneven", "makeup_flawless"),
+               "fabric_wrinkled_miss": ("fabric_wrinkled", "fabric_crisp")}
+_BEARD = f"actual_style NOT IN ('clean_shaven', 'unclear') AND {_OK_TIER}"
+_OLD_COLUMNS = ["upper_pattern", "lower_pattern", "facial_hair_style", "makeup_style", "fabric_wrinkled", "fit_baggy", "fit_tight", "footwear_worn",
+                "styling_sloppy", "hair_untidy", "skin_neglected", "eyebrows_unkempt", "facial_hair_untidy", "makeup_uneven"]
+
+
+def _edits_sql() -> str:
+    """bucket, filename, column, new_value of every bucket."""
+    row = lambda bucket, column, value, where: (f"SELECT '{bucket}' AS bucket, filename, '{column}' AS \"column\", ({value})::VARCHAR AS new_value "
+                                                f"FROM {JUDGED} WHERE {where}")
+    parts = [row(b, x, x, f"{x} <> 'unclear'") for b in ("pattern_miss", "pattern_solid_bleed") for x in ("upper_pattern", "lower_pattern")]
+    parts += [row(b, x, v, _OK_TIER) for b, pair in _TIER_EDITS.items() for x, v in zip(pair, (_SEV, _POS))]
+    parts += [row("hair_length_grooming", "hair_length", "actual_hair_length", "actual_hair_length <> 'unclear'")]
+    parts += [row(b, "footwear_type", "actual_footwear_type", "actual_footwear_type <> 'socks'") for b in ("footwear_type_men", "footwear_type_women")]
+    for b in ("facial_hair_style_miss", "clean_shaven_residual", "clean_shaven_salvage"):
+        parts += [row(b, x, v, _BEARD) for x, v in (("facial_hair_style", "actual_style"), ("facial_hair_untidy", _SEV), ("facial_hair_groomed", _POS))]
+    for b in ("facial_hair_style_miss", "clean_shaven_residual"):
+        parts += [row(b, x, v, "actual_style = 'clean_shaven'")
+                  for x, v in (("facial_hair_style", "actual_style"), ("facial_hair_untidy", "0"), ("facial_hair_groomed", "0"))]
+    level = lambda way: f"CASE WHEN actual_direction = '{way}' THEN {_SEV} ELSE 0 END"
+    parts += [row("fit_miss", x, v, f"actual_direction <> 'unclear' AND {_OK_TIER}")
+              for x, v in (("fit_baggy", level("baggy")), ("fit_tight", level("tight")), ("fit_tailored", _POS))]
+    return " UNION ALL ".join(parts)
+
+
+@query("q06b_audit_and_repair_all", f"""WITH e AS ({_edits_sql()}), b AS (SELECT filename, bucket FROM ({BUCKETS_SQL})),
+o AS (SELECT filename, unnest({sql_list(_OLD_COLUMNS)}) AS "column", unnest([{', '.join(f'{x}::VARCHAR' for x in _OLD_COLUMNS)}]) AS old_value FROM {S.LABELS})
+SELECT bucket, filename, "column", old_value, new_value FROM b JOIN e USING (filename, bucket) LEFT JOIN o USING (filename, "column")
+WHERE coalesce(old_value, 'None') <> new_value""")
+def q06b(spark, sf):
+    return jobs.audit_and_repair_all(S.label_rows(spark, sf), judged(spark, sf))
+
+
 @query("q07_pixel_qa")
 def q07(spark, sf):
     name = F.format_string("%05d.png", "doc_id")
@@ -155,6 +190,45 @@ def q11(spark, sf):
     return jobs.advise(rows).drop("tier_label")
 
 
+def _worst_sql(fields: list[str]) -> str:
+    top = f"greatest({', '.join(fields)})"
+    return f"CASE WHEN {top} = 0 THEN 'none' {' '.join(f'WHEN {x} = {top} THEN {chr(39)}{x}{chr(39)}' for x in fields)} END"
+
+
+def _topped_sql(high: str, low: str) -> str:
+    return f"CASE WHEN cal >= 7.5 THEN '{high}' ELSE '{low}' END"
+
+
+_FACE = ["hair_untidy", "skin_neglected", "eyebrows_unkempt"]
+_MEN_LINES = [_topped_sql("• Apply a lightweight matte styling cream or clay to tame any subtle flyaways.",
+                          "• Tidy up the neckline and sideburns with a trimmer to sharpen your profile."),
+              _topped_sql("• Keep facial hair line precisely defined and moisturize skin for a healthy finish.",
+                          "• Work a dab of pomade or styling paste into hair for intentional shape and hold.")]
+_WOMEN_LINES = [_topped_sql("• Smooth hairline flyaways with a light finishing serum or edge brush.",
+                            "• Brush and shape eyebrows, setting them lightly with a brow gel."),
+                _topped_sql("• Set brows with a clear brow gel and apply a nourishing lip balm for a polished glow.",
+                            "• Style hair to reduce flyaways and add clean texture or volume.")]
+_FACE_ADVICE = lambda two: f"CASE WHEN id % 2 = 0 THEN {two[0]} || chr(10) || {two[1]} ELSE '- Trim the beard.' || chr(10) || {two[0]} END"
+
+
+@query("q11b_score_tag_advise_all", f"""
+WITH a AS (SELECT l.*, {sql_pick(_OCC_RAW, 'l.id')} AS raw FROM {S.LABELS} l),
+k AS (SELECT *, CASE WHEN score >= 7.5 AND CASE WHEN ends_with(category, 'Grooming') THEN hair_untidy > 0 OR skin_neglected > 0 OR eyebrows_unkempt > 0 OR coalesce(makeup_uneven, 0) > 0
+  ELSE fabric_wrinkled > 0 OR styling_sloppy > 0 OR footwear_worn > 0 OR fit_baggy > 0 END THEN 7.2::DOUBLE ELSE score END AS cal FROM a)
+SELECT id, {sql_map('raw', {'first date': 'First Date', 'board meeting': 'Formal Business Meeting', 'gym': 'Gym / Athleisure', '': 'Casual Dinner', 'wedding guest': 'Summer Wedding'})} AS occasion,
+  cal AS calibrated, CASE WHEN cal >= 7.5 THEN '3_Polished' WHEN cal >= 5.0 THEN '2_Average' ELSE '1_Needs_Improvement' END AS tier,
+  CASE category WHEN 'Men_Grooming' THEN {_worst_sql(_FACE + ['facial_hair_untidy'])} WHEN 'Women_Grooming' THEN {_worst_sql(_FACE + ['makeup_uneven'])}
+    ELSE {_worst_sql(['fabric_wrinkled', 'fit_baggy', 'fit_tight', 'footwear_worn', 'styling_sloppy'])} END AS priority_defect,
+  CASE category WHEN 'Men_Grooming' THEN {_FACE_ADVICE(_MEN_LINES)} WHEN 'Women_Grooming' THEN {_FACE_ADVICE(_WOMEN_LINES)}
+    ELSE CASE WHEN id % 2 = 0 THEN '- Hem the trousers.' || chr(10) || '- Swap the shoes.' ELSE '- Hem the trousers.' || chr(10) ||
+      {_topped_sql('• Ensure garments remain crisp and unwrinkled throughout the occasion.', '• Steam or iron garments to eliminate wrinkles and sharpen the silhouette.')} END END AS advice FROM k""")
+def q11b(spark, sf):
+    rows = S.label_rows(spark, sf).withColumns(
+        {"occasion": text.pick(_OCC_RAW, c("id")),
+         "advice": F.when(c("id") % 2 == 0, "- Hem the trousers.\n- Swap the shoes.").otherwise("- Hem the trousers.\n- Trim the beard.")})
+    return jobs.advise(rows).drop("tier_label")
+
+
 @query("q12_session_mart", f"""SELECT session, count(*) AS looks, round(avg(score), 6) AS average_score, max(score) AS best_score,
   round(arg_max(score, {{t: ts, k: look}}) - arg_min(score, {{t: ts, k: look}}), 6) AS score_change FROM {S.LOOKS} GROUP BY session HAVING count(*) >= 2""")
 def q12(spark, sf):

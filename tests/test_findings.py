@@ -117,3 +117,15 @@ def test_constants_by_hand():
         ("woman", "upper"): 12, ("woman", "mid"): 6, ("woman", "lower"): 10, ("woman", "footwear"): 8}
     assert len(R.DEMOGRAPHICS) == 6 and len(R.AESTHETIC_TIERS) == 3 and set(R.STREAMS) == {"Outfit", "Face_Grooming"}
     assert "fashion" in P.FASHION_TERMS
+
+
+def test_whole_audit_and_advice_cover_all_buckets_and_rows(spark, sf_dir):
+    from stitchwork.operators import filters
+    from stitchwork.plans import catalog
+    from stitchwork.plans import standins as S
+    rows = S.label_rows(spark, sf_dir)
+    advised = catalog.QUERIES["q11b_score_tag_advise_all"](spark, sf_dir)
+    assert advised.count() == rows.count() > catalog.QUERIES["q11_score_tag_advise"](spark, sf_dir).count()
+    found = {r.bucket for r in filters.issue_buckets(rows).select("bucket").distinct().collect()}
+    diff = catalog.QUERIES["q06b_audit_and_repair_all"](spark, sf_dir)
+    assert {r.bucket for r in diff.select("bucket").distinct().collect()} == found and len(found) > 1
