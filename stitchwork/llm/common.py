@@ -40,10 +40,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet to the shared checkpoint folder: later reads take single columns, compressed."""
+def written(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
+    """df, written once as Parquet to the shared checkpoint folder: later reads take single columns, compressed.
+
+    ``rows_a_file`` bounds a file of long rows, 0 doesn't.
+    """
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

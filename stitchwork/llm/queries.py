@@ -1,4 +1,4 @@
-"""The queries of the ten operators, over whole tables, and the SQL of those that SQL can express."""
+"""The queries of the operators, over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stitchwork.llm import (exact_dedup, hierarchical_packing, language_id, piece_encoding, quality_model, quality_rules,
-                            secret_scan, simhash, suffix_dedup, token_matrix)
+from stitchwork.llm import (bit_clusters, exact_dedup, hierarchical_packing, language_id, main_text, piece_encoding,
+                            quality_model, quality_rules, secret_scan, simhash, suffix_dedup, token_matrix, vector_codes)
 from stitchwork.llm.common import table
 
 
@@ -56,9 +56,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.sha2("codebooks", 256).alias("codebooks_sha256"))
+
+
+def op12_bit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bit_clusters.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_simhash, op3_token_matrices, op4_exact_dedup, op5_piece_encoding, op6_suffix_dedup, op7_packing,
-    op8_secrets, op9_quality_model, op10_quality_rules)}
+    op8_secrets, op9_quality_model, op10_quality_rules, op11_vector_codes, op12_bit_clusters, op13_main_text)}
 
 #: The character classes of the quality rules as patterns; what none of them holds is a class of its own.
 _CLASS_PATTERNS = (r"[\p{Ll}\p{Lo}\p{Lm}]", r"[\p{Lu}\p{Lt}]", r"\p{Nd}", r"[\p{Z}\x09-\x0D]", r"[#*$%&|<>]", r"[.,;:]",
@@ -111,7 +125,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed LEFT JOIN total USING (lang) LEFT JOIN by_class USING (doc_id) LEFT JOIN by_word USING (doc_id)"""
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """K-means of 16 parts of four components, every part against every entry."""
+    squares = " + ".join(f"(p.{c} - e.{c}) * (p.{c} - e.{c})" for c in "abcd")
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS (SELECT i, part, min(({squares}) * 64 + entry) % 64 AS entry, min(({squares}) * 64 + entry) // 64 AS error
+  FROM p JOIN e{k} e USING (part) GROUP BY i, part)""")
+        if k < rounds:
+            means = ", ".join(f"coalesce(floor(sum(p.{c}) / count(p.{c})::DOUBLE)::BIGINT, any_value(e.{c})) AS {c}" for c in "abcd")
+            steps.append(f"""e{k + 1} AS (SELECT e.part, e.entry, {means} FROM e{k} e LEFT JOIN (near{k} JOIN p USING (i, part)) p
+  ON p.part = e.part AND p.entry = e.entry GROUP BY e.part, e.entry)""")
+    numbers = ", ".join(f"floor(256 * embedding[4 * part + {k + 1}]::DOUBLE)::BIGINT AS {c}" for k, c in enumerate("abcd"))
+    return f"""
+WITH kept AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings WHERE {_FINITE}),
+p AS (SELECT i, part, {numbers} FROM kept, (SELECT unnest(range(16)) AS part)),
+e0 AS (SELECT part, i AS entry, a, b, c, d FROM p WHERE i < 64),
+{", ".join(steps)},
+codes AS (SELECT i, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(error)::BIGINT AS error FROM near{rounds} GROUP BY i)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(concat_ws(',', a, b, c, d), ',' ORDER BY part, entry)) FROM e{rounds}) AS codebooks_sha256
+FROM kept JOIN codes USING (i)"""
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS (SELECT p.i, c.k, sum((p.v - c.v) * (p.v - c.v)) AS d FROM p JOIN c{k} c USING (j) GROUP BY p.i, c.k),
+near{k} AS (SELECT i, (min(d * 16 + k) % 16)::INTEGER AS k, min(d)::BIGINT AS d FROM d{k} GROUP BY i)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS (SELECT c.k, c.j, coalesce(floor(sum(p.v) / count(p.v)::DOUBLE)::BIGINT, any_value(c.v)) AS v
+  FROM c{k} c LEFT JOIN (near{k} JOIN p USING (i)) p ON p.k = c.k AND p.j = c.j GROUP BY c.k, c.j)""")
+    return f"""
+WITH kept AS (SELECT *, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS i FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+p AS (SELECT i, j, floor(64 * embedding[j]::DOUBLE)::BIGINT AS v FROM kept, (SELECT unnest(range(1, 65)) AS j)),
+c0 AS (SELECT i AS k, j, v FROM p WHERE i < 16),
+{", ".join(steps)},
+digests AS (SELECT k, sha256(string_agg(v, ',' ORDER BY j)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, near{rounds}.k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY near{rounds}.k))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM kept JOIN near{rounds} USING (i) JOIN digests ON digests.k = near{rounds}.k"""
+
+
 ORACLES = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_bit_clusters": _clusters_sql(),
     "op10_quality_rules": _rules_sql(),
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
