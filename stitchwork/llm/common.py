@@ -50,6 +50,26 @@ def written(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: A key is hot if it owns more than one in so many rows; so at most so many keys are hot.
+HOT_SHARE = 1_000
+
+
+def met(df: DataFrame, facts: DataFrame, key: str, rows: str) -> DataFrame:
+    """df joined with facts on ``key`` (null equals null): facts has one row for each key of df, and in ``rows`` how many
+    rows of df it is for.
+
+    Hot keys, of which there are at most ``HOT_SHARE``, are broadcast; the
+    others meet by an equi-join in which no key has more than its share.
+    """
+    total = facts.agg(F.sum(rows)).first()[0] or 0
+    own = [F.col(c).alias(f"_{c}") if c == key else F.col(c) for c in facts.columns if c != rows]
+    hot = F.broadcast(facts.filter(F.col(rows) * HOT_SHARE > total).select(*own))
+    cold = facts.filter(F.col(rows) * HOT_SHARE <= total).select(*own)
+    same = F.col(key).eqNullSafe(F.col(f"_{key}"))
+    both = df.join(hot, same).unionByName(df.join(hot, same, "left_anti").join(cold, same))
+    return both.drop(f"_{key}")
+
+
 def held_out(doc_id: str | Column) -> Column:
     """Documents that are kept from training. A null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stitchwork.llm.common import settle, ship, texts_of
+from stitchwork.llm.common import met, settle, ship, texts_of
 from stitchwork.llm.graph import components
 
 SEED = 42
@@ -54,16 +54,21 @@ def fingerprint(text: str, shingle: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(ones, bitorder="little").tobytes(), "little")
 
 
+def _same(text: str) -> Column:
+    """What tells two texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, fp (64 bits as a signed long) for every row; null text counts as empty."""
+    """id, fp (64 bits as a signed long) and same (a hash of the text) for every row; null text counts as empty."""
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(x) for x in texts_of(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=[id, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), batch.column(2)], names=[id, "fp", "same"])
 
-    return docs.select(id, text).mapInArrow(run, f"{id} {kind}, fp long")
+    return docs.select(id, text, _same(text)).mapInArrow(run, f"{id} {kind}, fp long, same long")
 
 
 def _segment(fp: Column, k: int) -> Column:
@@ -160,6 +165,14 @@ def midpoint_links(distinct: DataFrame) -> DataFrame:
     return named.join(least.select("middle", "b"), "middle").select(F.col("fp").alias("a"), "b").filter("a <> b").distinct()
 
 
+def _roots(seen: DataFrame, id: str, hot_key: int) -> DataFrame:
+    """fp, root (the smallest fingerprint of the component), least (the smallest id of the fingerprint), n (its rows)."""
+    classes = settle(seen.groupBy("fp").agg(F.min(id).alias("least"), F.count("*").alias("n")))
+    parts = components(near_pairs(classes.select("fp"), hot_key))
+    return classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+
+
 def link(docs: DataFrame, id: str = "doc_id", text: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable, itself included).
 
@@ -168,27 +181,37 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", hot_key: int =
     becomes a component_id unless its component has no other. Repeated rows
     share a component. An empty table gives no rows.
     """
-    seen = settle(fingerprints(docs, id, text))
-    classes = settle(seen.groupBy("fp").agg(F.min(id).alias("least")))
-    links = near_pairs(classes.select("fp"), hot_key)
-    parts = components(links)
-    roots = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(smallest, "root").select("fp", "component_id")
+    seen = settle(fingerprints(docs, id, text).drop("same"))
+    roots = settle(_roots(seen, id, hot_key))
+    smallest = settle(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n")))
+    named = met(roots.select("fp", "root"), smallest, "root", "_n").select("fp", "component_id")
     return seen.join(named, "fp", "left").select(
         id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but one document of each component: the one with the smallest id stays.
+def keep_representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", hot_key: int = HOT_KEY) -> DataFrame:
+    """docs without all but one row of each component: one of the smallest id stays (null ids come last).
+
+    Rows are told apart by id and text: of an id with several texts only the
+    text that represents its component stays, and each text that has no near
+    copy does. Of rows that repeat an id and a text one stays. Columns are
+    those of docs, in order. An empty table gives no rows.
 
-    Rows with a null id stay (nothing names them); rows that repeat an id are
-    one document and stay or go together. Columns are those of docs, in order.
+    A task hands on one row of each id and text (window group limit), so a hot
+    group is never gathered, and texts are shuffled once.
     """
-    losers = (link(docs, id, text).filter(F.col(id) != F.col("component_id"))
-              .select(F.col(id).alias("_loser")).distinct())
-    return docs.join(losers, docs[id] == F.col("_loser"), "left_anti").select(*docs.columns)
+    seen = settle(fingerprints(docs, id, text).select(F.col(id).alias("id"), "fp", "same"))
+    roots = _roots(seen.withColumnRenamed("id", id), id, hot_key).select("fp", "root")
+    # The same order for every fingerprint and then for every component, so that both steps shrink on the map side.
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "same")
+    firsts = seen.groupBy("fp").agg(F.min(order).alias("first"))
+    winners = (firsts.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first"))
+               .select(F.col("first.id").alias("_id"), F.col("first.same").alias("_same")))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id).alias("_own"), _same(text).alias("_text"))
+    once = Window.partitionBy("_own", "_text").orderBy(F.xxhash64("_row"))
+    rows = keyed.withColumn("_rank", F.row_number().over(once)).filter("_rank = 1")
+    chosen = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_same"))
+    return rows.join(winners, chosen, "left_semi").select("_row.*")
 
 
 ship(__name__)

@@ -9,10 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stitchwork.llm.common import ship
-
-#: A label or cluster is hot if it owns more than one in so many rows; at most so many labels are hot.
-HOT_SHARE = 1_000
+from stitchwork.llm.common import met, settle, ship
 
 
 def is_finite(vector: str) -> Column:
@@ -41,18 +38,10 @@ def totals(partial: DataFrame, keys: list[str]) -> list:
 def with_sums(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """df with the sum of ``value`` over all rows of equal ``key`` (nulls together).
 
-    Sums are made on the map side first. Hot keys (at most ``HOT_SHARE`` of
-    them, so their table is bounded) are broadcast; the others meet by an
-    equi-join in which no key has more than a thousandth of the rows. A sum
-    beyond 64 bits is null.
+    Sums are made on the map side first. A sum beyond 64 bits is null.
     """
-    sums = df.groupBy(F.col(key).alias("_key")).agg(F.sum(F.col(value).cast("decimal(38,0)")).alias("_sum"), F.count("*").alias("_n"))
-    n = df.count()
-    hot = F.broadcast(sums.filter(F.col("_n") * HOT_SHARE > n))
-    cold = sums.filter(F.col("_n") * HOT_SHARE <= n)
-    meets = F.col(key).eqNullSafe(F.col("_key"))
-    both = df.join(hot, meets).unionByName(df.join(hot, meets, "left_anti").join(cold, meets))
-    return both.select(*df.columns, F.col("_sum").try_cast("long").alias(name))
+    sums = df.groupBy(key).agg(F.sum(F.col(value).cast("decimal(38,0)")).try_cast("long").alias(name), F.count("*").alias("_n"))
+    return met(df, settle(sums), key, "_n")
 
 
 ship(__name__)

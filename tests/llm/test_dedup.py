@@ -139,6 +139,17 @@ def test_simhash_odd_rows(odd, nothing):
     assert simhash.keep_representatives(nothing).count() == 0
 
 
+def test_representatives_are_rows(spark):
+    """An id with several texts, repeated rows, rows without an id, and columns named like those inside."""
+    a, b, c = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (None, a), (5, None), (5, ""), (6, " ")]
+    df = spark.createDataFrame([(*r, "x", "y", "z", "w") for r in rows], "doc_id long, text string, _loser string, _row string, same string, root string")
+    kept = simhash.keep_representatives(df.repartition(4))
+    assert kept.schema == df.schema
+    got = sorted(((r.doc_id, (r.text or "").strip()) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (None, c), (5, "")], key=str)
+
+
 def test_components_of_chains_and_stars(spark):
     draw = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 600)] + [(160, 100), (7, 7)]

@@ -64,7 +64,7 @@ def test_odd_and_empty_documents_pass_all_stages(spark, odd, nothing, sf_dir):
 
 def test_registered(spark, sf_dir):
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {n[:n.index("_") + 1] for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {n[:n.index("_") + 1] for n in names if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in names
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import oracle
-from stitchwork.llm import bit_clusters, queries, vector_codes, vectors
+from stitchwork.llm import bit_clusters, common, queries, vector_codes, vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, code string, cluster string, id string, _key int, n int"
 
@@ -117,7 +117,7 @@ def test_huge_components_are_held_at_the_bound(spark):
 
 
 def test_hot_and_rare_labels_get_their_sums(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "HOT_SHARE", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
     data = [(k % 7 if k % 2 else None, k) for k in range(200)] + [(99, 2**62), (99, 2**62)]
     got = vectors.with_sums(spark.createDataFrame(data, "label int, error long"), "label", "error", "s").collect()
     sums = {}
