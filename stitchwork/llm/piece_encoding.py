@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -28,29 +29,33 @@ from stitchwork.llm.common import portions, ship, texts_of, worker_cache
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
-#: Words kept per Python worker before its memory is emptied. It changes speed only.
-KEPT_WORDS = 120_000
+#: Words of one generation, states, and neighbours of a piece that a Python worker remembers. They change speed only.
+KEPT_WORDS = 50_000
+KEPT_STATES = 300_000
+KEPT_PAIRS = 10_000
 #: Characters of the texts that are cut into words at once.
-PORTION_CHARS = 2_000_000
+PORTION_CHARS = 750_000
 
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 _RUNS = re.compile(rf"{MARK}*[^\W\d_{MARK}]+|{MARK}*(?:[^\w\n{MARK}]|_)+|{MARK}+|[\d\n]+")
 
 
-class _Apart(dict):
-    """(left, right) -> whether BPE of both together leaves exactly these two.
+class _Follows(dict):
+    """left piece -> whether this piece may follow it: BPE of both together leaves exactly these two.
 
     Undo the merges of both from the last to the first: wherever the two
     neighbours at the border could have merged before either was extended,
     they would have.
     """
 
-    def __init__(self, rank: dict[str, float], split):
+    __slots__ = ("piece", "rank", "split")
+
+    def __init__(self, piece: str, rank: dict[str, float], split):
         super().__init__()
-        self.rank, self.split = rank, split
+        self.piece, self.rank, self.split = piece, rank, split
 
-    def __missing__(self, pair: tuple[str, str]) -> bool:
-        left, right = pair
+    def __missing__(self, before: str) -> bool:
+        left, right = before, self.piece
         rank, limit, apart = self.rank.get, np.inf, True
         while True:
             if rank(left + right, np.inf) < limit:
@@ -63,21 +68,54 @@ class _Apart(dict):
                 limit, right = b + 0.5, self.split(right)[0]  # of equal merges the left one goes first
             else:
                 limit, left = a, self.split(left)[1]
-        self[pair] = apart
+        if len(self) >= KEPT_PAIRS:
+            self.clear()
+        self[before] = apart
         return apart
 
 
-class _Endings(dict):
-    """stretch -> the pieces it ends with, longest first; its last character always counts as one."""
+class _Memory:
+    """What was learned lately: two generations of a dictionary, of which the older one goes when the younger is full."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.young) > KEPT_WORDS:
+            self.young, self.old = {}, self.young
+
+    def unknown(self, keys: set[str]) -> set[str]:
+        """Those of keys that must be learned; what only the older generation knows moves to the younger one."""
+        missing = keys - self.young.keys()
+        if self.old and missing:
+            again = missing & self.old.keys()
+            self.young.update(zip(again, map(self.old.__getitem__, again)))
+            missing -= again
+        return missing
+
+
+class _Stretch(dict):
+    """A state of the forward pass: the longest stretch before here that lies in a piece. Next character -> next state.
+
+    ``ends`` has (length, piece, what may stand before it) of the pieces that
+    the stretch ends with, longest first; a last character counts as one.
+    """
+
+    __slots__ = ("text", "of", "ends")
 
-    def __init__(self, ids: dict[str, int]):
+    def __init__(self, text: str, of: "Pieces"):
         super().__init__()
-        self.ids = ids
+        self.text, self.of = text, of
+        ends = (text[i:] for i in range(len(text)))
+        self.ends = tuple((len(p), p, of.follows(p)) for p in ends if len(p) == 1 or p in of.ids)
 
-    def __missing__(self, stretch: str) -> tuple[str, ...]:
-        ends = (stretch[i:] for i in range(len(stretch)))
-        self[stretch] = found = tuple(p for p in ends if len(p) == 1 or p in self.ids)
-        return found
+    def __missing__(self, character: str) -> "_Stretch":
+        text = self.text + character
+        while len(text) > 1 and text not in self.of.inside:
+            text = text[1:]
+        self[character] = state = self.of.state(text)
+        return state
 
 
 class Pieces:
@@ -93,18 +131,34 @@ class Pieces:
         self.bytes_of = {i: b for b, i in byte_ids.items()}
         self.rank = {p: -s for p, s in self.scores.items() if len(p) > 1}
         self.halves: dict[str, tuple[str, str]] = {}
-        self.apart = _Apart(self.rank, self.split)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known = _Memory()
+        self.blobs = {p: array("i", [i]).tobytes() for p, i in self.ids.items()}
         self.spoken: list[bytes] = []
-        self.inside: set[str] = set()
-        self.endings = _Endings(self.ids)
+        #: Every stretch of a piece: what isn't one of these lies in no piece.
+        self.inside = {p[i:j] for p in self.ids for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
+        self.forget()
         #: Runs of letters, digits, line ends and other signs stand apart unless a piece spans their border. The few
         #: such pieces are told by their rarest character; a part that holds it stays whole.
         spanning = {max(p) for p in self.ids if len(p) > 1 and len(_RUNS.findall(p)) != 1}
         self.whole = re.compile("[" + re.escape("".join(spanning)) + "]") if 0 < len(spanning) <= 16 else None
         self.by_runs = len(spanning) <= 16
 
+    def forget(self) -> None:
+        """Start the states anew."""
+        self.stretches: dict[str, _Stretch] = {}
+        self.may_follow: dict[str, _Follows] = {}
+        self.start = _Stretch("", self)
+
+    def state(self, text: str) -> _Stretch:
+        if text not in self.stretches:
+            self.stretches[text] = _Stretch(text, self)
+        return self.stretches[text]
+
+    def follows(self, piece: str) -> _Follows:
+        if piece not in self.may_follow:
+            self.may_follow[piece] = _Follows(piece, self.rank, self.split)
+        return self.may_follow[piece]
+
     def cut(self, part: str) -> list[str]:
         return _RUNS.findall(part) if self.by_runs and not (self.whole and self.whole.search(part)) else [part]
 
@@ -121,13 +175,25 @@ class Pieces:
 
     def merged(self, word: str) -> list[str]:
         """Plain BPE: the best adjacent pair first, leftmost of equals."""
-        parts = list(word)
-        while len(parts) > 1:
-            best = min(((self.rank.get(a + b, np.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
-            if best[0] == np.inf:
-                break
-            parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return parts
+        rank, parts, n = self.rank.get, list(word), len(word)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        waiting = [(r, i, a + b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank(a + b)) is not None]
+        heapify(waiting)
+        while waiting:
+            _, at, piece = heappop(waiting)
+            right = after[at]
+            if right >= n or parts[at] is None or parts[at] + parts[right] != piece:
+                continue  # one of the two is part of another piece by now
+            parts[at], parts[right] = piece, None
+            after[at] = right = after[right]
+            if right < n:
+                before[right] = at
+                if (r := rank(piece + parts[right])) is not None:
+                    heappush(waiting, (r, at, piece + parts[right]))
+            left = before[at]
+            if left >= 0 and (r := rank(parts[left] + piece)) is not None:
+                heappush(waiting, (r, left, parts[left] + piece))
+        return [p for p in parts if p is not None]
 
     def split(self, piece: str) -> tuple[str, str]:
         """The two halves whose merge makes the piece."""
@@ -144,32 +210,27 @@ class Pieces:
 
     def _forward(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """Each word, in order, with its pieces."""
-        if not self.inside:  # every stretch of a piece: what isn't one of these lies in no piece
-            self.inside = {p[i:j] for p in self.ids for i in range(len(p)) for j in range(i + 1, len(p) + 1)}
-        scores, bpe, inside, endings, apart = self.scores, self.bpe, self.inside, self.endings, self.apart
+        scores, bpe = self.scores, self.bpe
         floor = min(scores.values(), default=0.0) - 10
-        # One entry per prefix of the word before: its last piece, its score, and where the longest stretch begins.
-        last, best, reach, before = [""], [0.0], [0], ""
+        # One entry per prefix of the word before: its last piece, its score, and the state.
+        last, best, states, before = [""], [0.0], [self.start], ""
         for word in words:
             shared, common = 0, min(len(word), len(before))
             while shared < common and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1:], best[shared + 1:], reach[shared + 1:]
-            start = reach[-1]
-            for end in range(shared + 1, len(word) + 1):
-                stretch = word[start:end]
-                while start < end - 1 and stretch not in inside:
-                    start += 1
-                    stretch = word[start:end]
-                reach.append(start)
+            del last[shared + 1:], best[shared + 1:], states[shared + 1:]
+            state, end = states[shared], shared
+            for character in word[shared:]:
+                end += 1
+                state = state[character]
+                states.append(state)
                 if bpe:
-                    for piece in endings[stretch]:  # longest first; just one may follow what is before it
-                        at = end - len(piece)
-                        if not at or apart[last[at], piece]:
+                    for size, piece, may_follow in state.ends:  # longest first; just one may follow what is before it
+                        if size == end or may_follow[last[end - size]]:
                             break
                     last.append(piece)
                 else:
-                    top, piece = max((best[end - len(p)] + scores.get(p, floor), p) for p in endings[stretch])
+                    top, piece = max((best[end - size] + scores.get(p, floor), p) for size, p, _ in state.ends)
                     last.append(piece)
                     best.append(top)
             parts, end = [], len(word)
@@ -180,39 +241,36 @@ class Pieces:
             yield word, parts[::-1]
 
     def _ids(self, parts: list[str]) -> bytes:
-        out = list(map(self.ids.get, parts))
-        if None not in out:
-            return array("i", out).tobytes()
-        out = []
-        for part in parts:
-            known = self.ids.get(part)
-            if known is not None:
-                out.append(known)
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in part.encode("utf-8")]
-            else:
-                out.append(self.unknown)
-        return array("i", out).tobytes()
+        try:
+            return b"".join(map(self.blobs.__getitem__, parts))
+        except KeyError:
+            return b"".join([self.blobs.get(part) or self._bytes(part) for part in parts])
+
+    def _bytes(self, part: str) -> bytes:
+        """Ids of what is no piece."""
+        return array("i", [self.byte_ids[b] for b in part.encode("utf-8")] if self.byte_ids else [self.unknown]).tobytes()
 
     def learn(self, parts: set[str]) -> None:
         """Encode the marked parts that aren't known yet: their distinct words, sorted."""
-        if len(self.parts) > KEPT_WORDS:
-            self.parts.clear()
-            self.words.clear()
-            self.apart.clear()
-        cut = {part: self.cut(part) for part in parts - self.parts.keys()}
-        new = sorted({w for words in cut.values() for w in words} - self.words.keys())
+        if len(self.stretches) > KEPT_STATES:
+            self.forget()
+        self.known.turn()
+        new, several = set(), {}
+        for part in self.known.unknown(parts):
+            if part[1:].isalpha() or len(runs := self.cut(part)) == 1:
+                new.add(part)
+            else:
+                several[part] = runs
+        new |= self.known.unknown({w for runs in several.values() for w in runs})
+        known = self.known.young
         # Runs of marks have merges of equal rank, which pairs can't tell apart; they are few and merged plainly.
-        plain = [w for w in new if not (self.bpe and w.startswith(MARK * 2))]
-        for word, found in self._forward(plain):
-            self.words[word] = self._ids(found)
-        if self.bpe:
-            for word in new:
-                if word.startswith(MARK * 2):
-                    self.words[word] = self._ids(self.merged(word))
-        known = self.words.__getitem__
-        for part, words in cut.items():
-            self.parts[part] = b"".join(map(known, words))
+        marks = [w for w in new if w.startswith(MARK * 2)] if self.bpe else []
+        for word in marks:
+            known[word] = self._ids(self.merged(word))
+        for word, found in self._forward(sorted(new.difference(marks))):
+            known[word] = self._ids(found)
+        for part, runs in several.items():
+            known[part] = b"".join([known[w] for w in runs])
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian signed 32-bit ids of each text."""
@@ -222,7 +280,7 @@ class Pieces:
             # Single marks: what lies between two of them is a part by itself. Runs of marks need a closer look.
             cut.append(_WORDS.findall(marked) if MARK * 2 in marked else [MARK + x for x in marked[1:].split(MARK)] if text else [])
         self.learn({part for parts in cut for part in parts})
-        known = self.parts.__getitem__
+        known = self.known.young.__getitem__
         return [b"".join(map(known, parts)) for parts in cut]
 
     def decode(self, ids: list[int]) -> str:

@@ -29,6 +29,20 @@ def test_bpe_equals_the_library(library, corpus):
         assert np.frombuffer(encode(text), "<u4").tolist() == _ids(library, text, 1)[:-1], text[:80]
 
 
+@pytest.mark.parametrize("run", [" " * 1_200_000, "\t" * 1_000_003, " \n\t\x0b\u3000\x85" * 200_000])
+@pytest.mark.parametrize("text", ["{}", "a{}b", "a{}", "{}'s <x> {}b{}"])
+def test_long_blank_runs(library, run, text):
+    text = text.replace("{}", run)
+    assert np.frombuffer(bpe.encoder()(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_ten_million_blanks_in_both_packers(spark):
+    texts = [" " * 10_000_000 + "end", "a" + "\t" * 1_000_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sum(len(bpe.encoder()(t)) // 4 + 1 for t in texts)
+    assert sum(r.length for r in hierarchical_packing.pack(docs).select("length").collect()) == want
+
+
 # ---- hierarchical packing -------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", ["documents", "odd"])
@@ -159,6 +173,22 @@ def test_unigram_is_the_best_segmentation():
         assert "".join(parts) == word and abs(sum(scores[p] for p in parts) - best(word)) < 1e-9
 
 
+def test_pieces_of_long_blank_runs():
+    lib = sentencepiece.SentencePieceProcessor(model_file=piece_encoding.MODEL)
+    known = piece_encoding.Pieces.load(piece_encoding.MODEL)
+    texts = ["a" + " " * n + "b" for n in (1, 2, 3, 15, 16, 17, 33, 1_000, 20_000)] + [" " * 200_000, " x" * 3 + " " * 77 + "!  9"]
+    assert [np.frombuffer(x, "<i4").tolist() for x in known.encode_batch(texts)] == lib.encode(texts, num_threads=1)
+
+
+def test_word_memory_of_two_generations(monkeypatch, corpus):
+    monkeypatch.setattr(piece_encoding, "KEPT_WORDS", 50)
+    monkeypatch.setattr(piece_encoding, "KEPT_STATES", 100)
+    monkeypatch.setattr(piece_encoding, "KEPT_PAIRS", 3)
+    texts = [t for t in corpus.values() if t][:40]
+    small, usual = piece_encoding.Pieces.load(piece_encoding.MODEL), piece_encoding.pieces()
+    assert [small.encode_batch(texts[i:i + 4]) for i in range(0, 40, 4)] == [usual.encode_batch(texts[i:i + 4]) for i in range(0, 40, 4)]
+
+
 def test_piece_frames(odd, nothing):
     encoded = piece_encoding.encode(odd)
     texts = sorted((r.text or "" for r in odd.collect()))
