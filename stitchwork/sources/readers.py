@@ -148,6 +148,43 @@ def parquet_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.where(F.col("image.bytes").isNotNull() & (F.octet_length("image.bytes") > 0))
 
 
+def shard_ledger(spark: SparkSession, root: str, manifest: DataFrame, schema: T.StructType | str,
+                 usable: Column | None = None) -> DataFrame:
+    """What became of each shard that ``manifest`` (shard, rows) names, and of any other below ``root``.
+
+    shard, files, bytes, expected, read, usable, status. A shard is the first
+    folder or file name below ``root``. ``expected`` is the manifest's number or, where that is null,
+    what the files' footers say; ``read`` are the rows whose columns could all be decoded. A broken file ends at its
+    first unreadable part and doesn't stop the others. Status: missing (no file), failed (files, but no row of those
+    expected), partial (fewer rows than expected), excess (more), unlisted (not in the manifest), else complete.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
+    shard = lambda path: F.regexp_extract(F.url_decode(path), f"(?:^|:/*){_literal(base)}/([^/]+)", 1)
+    reader = spark.read.option("recursiveFileLookup", True)
+    files = (reader.format("binaryFile").load(root).select(shard(F.col("path")).alias("shard"), F.col("path"), F.col("length"))
+             .where(~F.substring_index("path", "/", -1).rlike("^[_.]")).groupBy("shard")
+             .agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")))
+    rows = reader.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(root)
+    located = rows.select("*", shard(F.col("_metadata.file_path")).alias("_shard"))
+    whole = F.xxhash64(*rows.columns)  # reads every column
+    good = F.lit(True) if usable is None else F.coalesce(usable, F.lit(False))
+    seen = located.groupBy(F.col("_shard").alias("shard")).agg(F.count(whole).alias("read"), F.count_if(good).alias("usable"))
+    footers = (rows.select(shard(F.col("_metadata.file_path")).alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("_footer")))
+    listed = manifest.groupBy("shard").agg(F.sum("rows").cast("long").alias("_listed")).withColumn("_known", F.lit(True))
+    out = listed.join(files, "shard", "full").join(footers, "shard", "left").join(seen, "shard", "left")
+    n, read = F.coalesce("_listed", "_footer"), F.coalesce("read", F.lit(0))
+    status = (F.when(F.col("files").isNull(), "missing").when(F.col("_known").isNull(), "unlisted")
+              .when((read == 0) & (n.isNull() | (n > 0)), "failed").when(read < n, "partial").when(read > n, "excess").otherwise("complete"))
+    return out.select("shard", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("bytes", F.lit(0)).alias("bytes"),
+                      n.alias("expected"), read.alias("read"), F.coalesce("usable", F.lit(0)).alias("usable"), status.alias("status"))
+
+
+def _literal(text: str) -> str:
+    """A pattern that matches just this text."""
+    return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
+
+
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip("value").alias("line")).where(F.col("line") != "")
 
