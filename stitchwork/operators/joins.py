@@ -52,6 +52,29 @@ def range_join(points: DataFrame, point: str, ranges: DataFrame, start: str, end
             .where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_cell"))
 
 
+def dyadic_join(points: DataFrame, point: str, ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """point in [start, end) for integers, whatever the ranges' lengths.
+
+    A range is cut into the largest aligned cells of power-of-two length that
+    it holds: two of each length at most, so a range is never more than
+    2 log2(length) rows. A point asks its one cell of every length in use.
+    A range with start >= end, or without a border, holds no point.
+    """
+    s, e, level = F.col(start).cast("long"), F.col(end).cast("long"), F.col("_level")
+    # At each level the whole cells inside are [first, after); those whose parent isn't inside are at the ends.
+    first = F.expr(f"-shiftright(-CAST(`{start}` AS BIGINT), _level)")
+    after = F.expr(f"shiftright(CAST(`{end}` AS BIGINT), _level)")
+    odd = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1
+    leveled = ranges.where(s < e).withColumn("_level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(e - s)).cast("int") + 1)))
+    ends = F.array(F.when(odd(first), first), F.when(odd(after), after - 1))
+    cells = leveled.where(first < after).withColumn("_cell", F.explode(F.filter(ends, lambda x: x.isNotNull())))
+    levels = sorted(r["_level"] for r in cells.select("_level").distinct().collect())
+    if not levels:
+        return points.join(ranges, F.lit(False))
+    asked = points.withColumn("_level", F.explode(literals(levels))).withColumn("_cell", F.expr(f"shiftright(CAST(`{point}` AS BIGINT), _level)"))
+    return asked.join(cells, ["_level", "_cell"]).drop("_level", "_cell")
+
+
 def corrections_by_file(corrections: DataFrame, key: str = "filename", position: str | None = None) -> DataFrame:
     """Long (file, column, value) to one map per file.
 

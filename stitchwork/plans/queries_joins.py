@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from stitchwork.functions import labels as L
 from stitchwork.functions import text
-from stitchwork.operators import aggregates, filters, joins, repair
+from stitchwork.functions import colour
+from stitchwork.operators import aggregates, filters, joins, keywords, nearest, repair
 from stitchwork.plans import standins as S
 from stitchwork.plans.queries_filters import BUCKETS_SQL
 from stitchwork.plans.queries_scalars import (
-    _OK_TIER, _POS, _SEV, JUDGED, SNAP_SQL, judged, p17)
+    _LAB, _OK_TIER, _POS, _SEV, JUDGED, SNAP_SQL, judged, p17)
 from stitchwork.plans.registry import q, query, sql_in, sql_list, sql_pick, table
 from stitchwork.rules import advice as A
 from stitchwork.rules import garments as G
@@ -80,6 +81,32 @@ def j07(spark, sf):
     return p17(spark, sf)
 
 
+def _lab_sql(name: str, rows: str) -> str:
+    """Lab of a table's id, r, g, b at four digits."""
+    start = _LAB.index("WITH l AS") + len("WITH ")
+    text = _LAB[start:].replace(S.COLORS, rows).replace("lab AS (", f"{name} AS (")
+    for inner in ("l", "x", "f"):
+        text = text.replace(f"{inner} AS (SELECT id", f"{name}_{inner} AS (SELECT id").replace(f" FROM {inner})", f" FROM {name}_{inner})")
+    return text.replace("116*fy-16 AS l, 500*(fx-fy) AS a, 200*(fy-fz) AS b", "round(116*fy-16, 4) AS l, round(500*(fx-fy), 4) AS a, round(200*(fy-fz), 4) AS b")
+
+
+_POINTS = "(SELECT o_orderkey AS id, o_orderkey * 11 % 256 AS r, o_custkey * 5 % 256 AS g, (o_orderkey + o_custkey) % 256 AS b FROM orders)"
+_ANCHORS = "(SELECT p_partkey AS id, p_partkey * 7 % 250 AS r, p_partkey * 13 % 240 AS g, p_size * 5 % 256 AS b FROM part)"
+
+
+@query("j07b_nearest_in_palette_table", f"""WITH {_lab_sql('pt', _POINTS)}, {_lab_sql('an', _ANCHORS)}
+SELECT pt.id, arg_min(an.id, {{'d': (pt.l - an.l) * (pt.l - an.l) + (pt.a - an.a) * (pt.a - an.a) + (pt.b - an.b) * (pt.b - an.b), 'o': an.id}}) AS anchor
+FROM pt, an GROUP BY pt.id""")
+def j07b(spark, sf):
+    def lab(df, id, r, g, b):
+        return df.select(c(id).alias("id"), *[F.round(x, 4).alias(n) for x, n in zip(colour.rgb_to_lab(r, g, b), "lab")])
+    k, u = c("o_orderkey"), c("o_custkey")
+    points = lab(table(spark, sf, "orders"), "o_orderkey", k * 11 % 256, u * 5 % 256, (k + u) % 256)
+    p = c("p_partkey")
+    anchors = lab(table(spark, sf, "part"), "p_partkey", p * 7 % 250, p * 13 % 240, c("p_size") * 5 % 256)
+    return nearest.nearest_anchor(points, anchors.withColumn("anchor", c("id")), ["l", "a", "b"], "id", "anchor").select("id", "anchor")
+
+
 _RULES = [("benchmark", "eval"), ("the", "english"), ("der ", "german"), ("que", "french"), ("el ", "spanish")]
 
 
@@ -88,6 +115,22 @@ def j08(spark, sf):
     return table(spark, sf, "documents").select("doc_id", joins.first_matching_rule(F.lower("text"), _RULES).alias("rule"))
 
 
+@query("j08b_keyword_rule_table", r"""WITH w AS (SELECT DISTINCT item_id, string_split(lower(text), ' ') AS ws FROM benchmark),
+k AS (SELECT DISTINCT unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS keyword FROM w),
+r AS (SELECT keyword, md5(keyword) AS ord FROM k WHERE keyword <> '' UNION ALL SELECT '', 'z'),
+t AS MATERIALIZED (SELECT doc_id, lower(text) AS x FROM documents),
+h AS (SELECT doc_id, arg_min(keyword, ord) AS rule FROM t JOIN r ON contains(x, keyword) GROUP BY doc_id)
+SELECT doc_id, rule FROM documents LEFT JOIN h USING (doc_id)""")
+def j08b(spark, sf):
+    ws = F.split(F.lower("text"), " ")
+    pairs = F.transform(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get("ws", i + 1)))
+    keyword = table(spark, sf, "benchmark").select(ws.alias("ws")).select(F.explode(F.concat("ws", pairs)).alias("keyword")).distinct()
+    rules = (keyword.where(c("keyword") != "").select("keyword", F.md5(c("keyword").cast("binary")).alias("order"), c("keyword").alias("rule"))
+             .unionByName(spark.createDataFrame([("", "z", "")], "keyword string, order string, rule string")))
+    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text"))
+    return keywords.first_rule(docs, rules, "doc_id", "text", target="rule").select("doc_id", "rule")
+
+
 @query("j09_conditions_tasks", f"SELECT id, condition FROM {S.LABELS}, (SELECT unnest(['baseline', 'negative', 'emphatic']) AS condition) WHERE verdict = 'invalid'")
 def j09(spark, sf):
     return joins.each_of(S.label_rows(spark, sf).where(c("verdict") == "invalid").select("id"), "condition", ["baseline", "negative", "emphatic"])
@@ -102,6 +145,16 @@ def j10(spark, sf):
         "o_orderkey", "s_suppkey")
 
 
+@query("j10b_ranges_of_any_length", """WITH h AS (SELECT s_suppkey, s_suppkey * 97 - 500 AS lo,
+  s_suppkey * 97 - 500 + CASE s_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 37 WHEN 3 THEN 1025 ELSE 40 END + CASE WHEN s_suppkey <= 3 THEN 1000000000 ELSE 0 END AS hi FROM supplier)
+SELECT o_orderkey, s_suppkey FROM orders JOIN h ON o_orderkey >= lo AND o_orderkey < hi""")
+def j10b(spark, sf):
+    k, lo = c("s_suppkey"), c("s_suppkey") * 97 - 500
+    length = F.element_at(F.array(*map(F.lit, (1, 0, 37, 1025, 40))), (k % 5).cast("int") + 1) + F.when(k <= 3, 1_000_000_000).otherwise(0)
+    ranges = table(spark, sf, "supplier").select("s_suppkey", lo.alias("lo"), (lo + length).alias("hi"))
+    return joins.dyadic_join(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", ranges, "lo", "hi").select("o_orderkey", "s_suppkey")
+
+
 FIT_EDITS_SQL = f"""f AS (SELECT id, filename, CASE WHEN actual_direction = 'baggy' THEN {_SEV} ELSE 0 END AS n_baggy,
   CASE WHEN actual_direction = 'tight' THEN {_SEV} ELSE 0 END AS n_tight FROM {JUDGED} WHERE ends_with(category, 'Outfit') AND actual_direction <> 'unclear' AND {_OK_TIER})"""
 
