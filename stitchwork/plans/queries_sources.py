@@ -153,6 +153,27 @@ def s09(spark, sf):
     return readers.parquet_shards(spark, [f"{folder}/a", f"{folder}/b"]).select("doc_id", F.octet_length("image.bytes").alias("bytes"))
 
 
+@query("s09b_shard_ledger", """WITH d AS (SELECT 'shard' || (doc_id % 6) AS shard, count(*) AS n, count(*) FILTER (WHERE doc_id % 11 <> 0) AS good FROM documents GROUP BY 1)
+SELECT shard, n AS expected, CASE shard WHEN 'shard2' THEN 0 WHEN 'shard4' THEN n - (SELECT count(*) FROM documents WHERE doc_id % 6 = 4 AND doc_id % 5 = 0) ELSE n END AS read,
+  CASE shard WHEN 'shard2' THEN 0 WHEN 'shard4' THEN good - (SELECT count(*) FROM documents WHERE doc_id % 6 = 4 AND doc_id % 5 = 0 AND doc_id % 11 <> 0) ELSE good END AS usable,
+  CASE shard WHEN 'shard2' THEN 'failed' WHEN 'shard4' THEN 'partial' ELSE 'complete' END AS status FROM d
+UNION ALL SELECT 'shard9', 7, 0, 0, 'missing'""")
+def s09b(spark, sf):
+    folder = fresh_folder(spark, "image-shards")
+    data = F.when(c("doc_id") % 11 != 0, c("text").cast("binary"))
+    rows = table(spark, sf, "documents").select("doc_id", F.struct(data.alias("bytes"), F.format_string("%05d.jpg", "doc_id").alias("path")).alias("image"))
+    shard = F.concat(F.lit("shard"), (c("doc_id") % 6).cast("string"))
+    listed = rows.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("rows"))
+    # Shards 0 and 1 leave their number to the footers, 2 is broken, 4 has lost rows, 9 was never delivered.
+    manifest = (listed.withColumn("rows", F.when(~c("shard").isin("shard0", "shard1"), c("rows")))
+                .unionByName(spark.createDataFrame([("shard9", 7)], "shard string, rows long")))
+    for k in (0, 1, 3, 4, 5):
+        rows.where((c("doc_id") % 6 == k) & ~((c("doc_id") % 6 == 4) & (c("doc_id") % 5 == 0))).write.parquet(f"{folder}/shard{k}")
+    rows.where(c("doc_id") % 6 == 2).select(F.concat(F.lit("PAR1 broken "), c("doc_id").cast("string"))).write.text(f"{folder}/shard2")
+    ledger = readers.shard_ledger(spark, folder, manifest, rows.schema, F.octet_length("image.bytes") > 0)
+    return ledger.select("shard", "expected", "read", "usable", "status")
+
+
 @query("s10_seen_lines", "SELECT DISTINCT url AS line FROM pages")
 def s10(spark, sf):
     folder = fresh_folder(spark, "lines")
@@ -523,6 +544,32 @@ def t04(spark, sf):
     return done.groupBy("host", "status").agg(F.count(F.lit(1)).alias("checks"), F.sum("delta").alias("gained"))
 
 
+@query("t04b_stream_silent_hosts", """WITH e AS (SELECT user_id::VARCHAR AS host, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next, max(ts) OVER () AS latest FROM events)
+SELECT host, ts + INTERVAL 30 HOUR AS ts, 'SILENT' AS status FROM e WHERE coalesce(next, latest) - ts >= INTERVAL 30 HOUR""")
+def t04b(spark, sf):
+    out, ckpt = fresh_folder(spark, "stream-out"), fresh_folder(spark, "stream-ckpt")
+    rows = _stream(spark, sf, "events", ["event_id", "ts", "user_id"]).select(
+        c("user_id").cast("string").alias("host"), F.lit(1).cast("long").alias("instance_id"), c("ts").cast("timestamp").alias("ts"),
+        F.lit(True).alias("reachable"), c("event_id").alias("count"), F.lit(1 << 40).alias("target"))
+    with state.rocksdb(spark):
+        flows.to_files(state.host_health(rows, destroy=False, silent_hours=30.0), out, ckpt).awaitTermination()
+    done = spark.read.schema(state.HEALTH_SCHEMA).parquet(out).where("status = 'SILENT'")
+    return done.select("host", c("ts").cast("timestamp_ntz").alias("ts"), "status")
+
+
+@query("t06b_stream_timed_hold", """WITH g AS (SELECT user_id::VARCHAR AS session, event_id, ts, event_type <> 'error' AS ok, max(ts) OVER () AS latest FROM events),
+r AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY session ORDER BY ts, event_id) AS run, lead(ts) OVER (PARTITION BY session ORDER BY ts, event_id) AS next FROM g),
+h AS (SELECT session, run, min(ts) AS since, max(coalesce(next, latest)) AS until FROM r WHERE ok GROUP BY session, run)
+SELECT session, min(since) + INTERVAL 1 DAY AS fired_at FROM h WHERE until - since >= INTERVAL 1 DAY GROUP BY session""")
+def t06b(spark, sf):
+    out, ckpt = fresh_folder(spark, "stream-out"), fresh_folder(spark, "stream-ckpt")
+    rows = _stream(spark, sf, "events", ["ts", "user_id", "event_type"]).select(
+        c("user_id").cast("string").alias("session"), c("ts").cast("timestamp").alias("ts"), (c("event_type") != "error").alias("ok"), F.lit(True).alias("auto"))
+    with state.rocksdb(spark):
+        flows.to_files(state.hold_steady_timed(rows, 86400.0), out, ckpt).awaitTermination()
+    return spark.read.schema("session string, fired_at timestamp").parquet(out).select("session", c("fired_at").cast("timestamp_ntz").alias("fired_at"))
+
+
 @query("t05_stream_delta", "SELECT h AS host, doc_id AS item FROM documents, (SELECT unnest(['a', 'b', 'c']) AS h) WHERE NOT (h = 'a' AND doc_id % 2 = 0)")
 def t05(spark, sf):
     out, ckpt = fresh_folder(spark, "stream-out"), fresh_folder(spark, "stream-ckpt")
@@ -532,6 +579,19 @@ def t05(spark, sf):
     return spark.read.schema("item long, host string").parquet(out)
 
 
+@query("t07b_stream_chunk_ledger", """SELECT doc_id % 8 AS chunk, count(*) AS rows, sum(doc_id)::BIGINT AS ids FROM labels GROUP BY 1""")
+def t07b(spark, sf):
+    out, ckpt = fresh_folder(spark, "stream-out"), fresh_folder(spark, "stream-ckpt")
+    landed = fresh_folder(spark, "chunks")
+    rows = table(spark, sf, "labels").select((c("doc_id") % 8).alias("chunk"), "doc_id")
+    schema = "chunk long, doc_id long, file string"
+    for k in range(3):  # the second and third landing bring back chunks that are done
+        again = rows.where(c("chunk") <= (3, 5, 7)[k]).withColumn("file", F.lit(f"landing{k}"))
+        again.write.mode("append").parquet(landed)
+        flows.merge_results(flows.landed(spark, landed, schema), out, ckpt, "chunk", "file").awaitTermination()
+    return spark.read.schema(schema).parquet(out).groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum("doc_id").alias("ids"))
+
+
 @query("t07_stream_merge", "SELECT doc_id, quality FROM labels")
 def t07(spark, sf):
     out, ckpt = fresh_folder(spark, "stream-out"), fresh_folder(spark, "stream-ckpt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import StructType
 
 from stitchwork.functions.text import literals
 from stitchwork.operators.ordered import first_per_key, top_per_key
@@ -59,40 +59,86 @@ def unsent(stream: DataFrame, consumers: list[str], item: str, consumer: str = "
     return wide.dropDuplicates([consumer, item])
 
 
-def _batches(spark: SparkSession, out: str, schema: StructType, before: int) -> DataFrame:
-    """Rows written by earlier batches; empty before the first one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if before == 0 or not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(-1))
-    return spark.read.schema(schema.add("batch", IntegerType())).parquet(out).where(F.col("batch") < before)
+def _latest(spark: SparkSession, folder: str, before: int) -> str | None:
+    """The folder of the last batch below ``before`` that wrote one, looked up by name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    batches = [int(n.partition("=")[2]) for n in names if n.startswith("batch=")]
+    last = max((b for b in batches if b < before), default=None)
+    return None if last is None else f"{folder}/batch={last}"
 
 
 def quota_stream(stream: DataFrame, by: str, quota: int, order: list[Column], out: str,
-                 checkpoint: str) -> StreamingQuery:
+                 checkpoint: str, classes: list | None = None) -> StreamingQuery:
     """First ``quota`` rows per class over the life of the stream.
 
-    Each batch is limited per class before its shuffle, then against the
-    counts of earlier batches. A batch writes its own folder, so a replayed
-    batch replaces itself.
+    Each batch is limited per class before its shuffle, then against a counter
+    per class: the totals that the last batch left beside its output, one row
+    per class, so earlier output is never read again. A batch writes its own
+    folders, rows before totals, so a replayed batch replaces itself. Once all
+    of ``classes`` are full, batches pass without being read.
     """
     schema = stream.schema
+    kind = schema[by].dataType.simpleString()
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        taken = _batches(spark, out, StructType(list(schema.fields)), batch_id).groupBy(by).agg(
-            F.count(F.lit(1)).alias("_taken"))
+        last = _latest(spark, f"{out}_taken", batch_id)
+        before = spark.createDataFrame([], f"_class {kind}, _taken long") if last is None else spark.read.parquet(last)
+        if classes and last and before.where(F.col("_class").isin(classes) & (F.col("_taken") >= quota)).count() >= len(set(classes)):
+            return
         ranked = top_per_key(batch, [by], order, quota, rank="_rank")
-        kept = ranked.join(taken, by, "left").where(F.col("_rank") + F.coalesce("_taken", F.lit(0)) <= quota)
+        full = before.withColumnRenamed("_taken", "_full")
+        kept = ranked.join(full, F.col(by).eqNullSafe(F.col("_class")), "left").where(F.col("_rank") + F.coalesce("_full", F.lit(0)) <= quota)
         kept.select(*schema.names).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        written = spark.read.schema(schema).parquet(f"{out}/batch={batch_id}")
+        totals = before.unionByName(written.groupBy(F.col(by).alias("_class")).agg(F.count(F.lit(1)).alias("_taken")))
+        totals.groupBy("_class").agg(F.sum("_taken").alias("_taken")).write.mode("overwrite").parquet(f"{out}_taken/batch={batch_id}")
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def merge_results(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Results of finished chunks, one folder per batch; replays overwrite their folder."""
+def chunk_ledger(spark: SparkSession, out: str, chunk: str, kind: str = "string", before: int | None = None) -> DataFrame:
+    """Chunks whose results are written, with the batch that wrote them."""
+    if _latest(spark, f"{out}_chunks", before if before is not None else 1 << 62) is None:
+        return spark.createDataFrame([], f"{chunk} {kind}, batch int")
+    done = spark.read.schema(f"{chunk} {kind}, batch int").parquet(f"{out}_chunks")
+    return done if before is None else done.where(F.col("batch") < before)
+
+
+def unfinished(chunks: DataFrame, out: str, chunk: str) -> DataFrame:
+    """Chunks that still need work: those without an entry in the ledger."""
+    kind = chunks.schema[chunk].dataType.simpleString()
+    return chunks.join(chunk_ledger(chunks.sparkSession, out, chunk, kind).select(chunk), chunk, "left_anti")
+
+
+def merge_results(stream: DataFrame, out: str, checkpoint: str, chunk: str | None = None,
+                  delivery: str | None = None) -> StreamingQuery:
+    """Results of finished chunks, one folder per batch; replays overwrite their folder.
+
+    With ``chunk`` a ledger of written chunks lies beside the output: a chunk
+    that an earlier batch wrote is left out before any work on it. Of a chunk
+    that comes twice in one batch the least ``delivery`` (a file's name, say)
+    stays. Rows are written before their ledger entries, so a batch that died
+    in between is simply written again.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        fresh = batch
+        if chunk:
+            kind = batch.schema[chunk].dataType.simpleString()
+            known = chunk_ledger(batch.sparkSession, out, chunk, kind, batch_id).select(chunk)
+            fresh = batch.join(known, chunk, "left_anti")
+            if delivery:
+                first = fresh.groupBy(F.col(chunk).alias("_chunk")).agg(F.min(delivery).alias("_first"))
+                own = F.col(chunk).eqNullSafe(F.col("_chunk")) & F.col(delivery).eqNullSafe(F.col("_first"))
+                fresh = fresh.join(first, own, "left_semi")
+            fresh = fresh.select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if chunk:
+            done = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/batch={batch_id}").select(chunk).distinct()
+            done.write.mode("overwrite").parquet(f"{out}_chunks/batch={batch_id}")
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

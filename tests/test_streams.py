@@ -116,3 +116,59 @@ def test_hold_stream(spark, folder):
     halves(spark, rows, schema, folder, run)
     got = sorted((r["session"], r["fired_at"]) for r in spark.read.parquet(f"{folder}/out").collect())
     assert got == sorted([("exact", at(1.2)), ("broken", at(2.4)), ("rearmed", at(1.2)), ("rearmed", at(2.7))])
+
+
+def test_quota_reads_totals_only_and_stops(spark, folder):
+    schema = "id long, cat string"
+    run = lambda: flows.quota_stream(flows.landed(spark, f"{folder}/in", schema), "cat", 3, [F.col("id")], f"{folder}/out", f"{folder}/ckpt", ["a", "b"])
+    for part in range(4):
+        spark.createDataFrame([(part * 100 + i, "ab"[i % 2]) for i in range(4)] + [(part * 100 + 50, None)], schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        run().awaitTermination()
+        if part == 1:  # all classes are full now; without earlier output, only its totals can be read
+            os.rename(f"{folder}/out", f"{folder}/moved")
+    got = sorted(((r["cat"], r["id"]) for r in spark.read.parquet(f"{folder}/moved").collect()), key=str)
+    assert got == sorted([("a", 0), ("a", 2), ("a", 100), ("b", 1), ("b", 3), ("b", 101), (None, 50), (None, 150)], key=str)
+    assert not os.path.exists(f"{folder}/out")
+
+
+def test_a_chunk_lands_once(spark, folder):
+    schema = "chunk string, id long, file string"
+    run = lambda: flows.merge_results(flows.landed(spark, f"{folder}/in", schema), f"{folder}/out", f"{folder}/ckpt", "chunk", "file")
+    landings = [[("a", 1, "f1"), ("a", 2, "f1"), ("a", 1, "f2"), ("b", 3, "f2")], [("a", 1, "f3"), ("c", 4, "f3")], [("b", 3, "f4"), ("c", 4, "f4")]]
+    for part in landings:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        run().awaitTermination()
+    got = sorted((r["chunk"], r["id"], r["file"]) for r in spark.read.schema(schema).parquet(f"{folder}/out").collect())
+    assert got == [("a", 1, "f1"), ("a", 2, "f1"), ("b", 3, "f2"), ("c", 4, "f3")]
+    todo = spark.createDataFrame([("a",), ("c",), ("d",)], "chunk string")
+    assert [r["chunk"] for r in flows.unfinished(todo, f"{folder}/out", "chunk").collect()] == ["d"]
+    assert flows.unfinished(todo, f"{folder}/nowhere", "chunk").count() == 3
+
+
+def test_silent_hosts_alert(spark, folder):
+    """The last event of a host is followed by silence; other hosts' checks show that time has passed."""
+    rows = (checks("quiet", (0, True, 5, 0), (10, True, 6, 0)) + checks("gap", (0, True, 5, 0), (50, True, 7, 0), (90, True, 8, 0))
+            + checks("stalled", (0, True, 5, 0), (20, True, 5, 0)) + checks("done", (0, True, 100, 0))
+            + checks("alive", *[(m, True, 5 + m, 0) for m in range(0, 121, 10)], target=10**6))
+    rows.sort(key=lambda r: r[2])
+    run = lambda: flows.to_files(state.host_health(flows.landed(spark, f"{folder}/in", CHECKS), destroy=False, silent_hours=0.5), f"{folder}/out", f"{folder}/ckpt")
+    halves(spark, rows, CHECKS, folder, run)
+    got = {}
+    for r in sorted(spark.read.parquet(f"{folder}/out").collect(), key=lambda r: r["ts"]):
+        if r["status"] == "SILENT":
+            got.setdefault(r["host"], []).append((int((r["ts"] - T0).total_seconds() // 60), r["event"]))
+    # Progress ends a stall, so each gap of the second host alerts, the last one exactly when the clock shows it.
+    assert got == {"quiet": [(40, "stalled")], "gap": [(30, "stalled"), (80, "stalled"), (120, "stalled")], "stalled": [(50, "stalled")]}
+    assert "alive" not in got and "done" not in got
+
+
+def test_timed_hold_fires_without_another_frame(spark, folder):
+    at = lambda s: T0 + dt.timedelta(milliseconds=round(s * 1000))
+    runs = {"last": [(0, 1, 1)], "short": [(0, 1, 1), (1.1, 0, 1)], "long": [(0, 1, 1), (0.5, 1, 1), (0.7, 1, 1), (5, 0, 1), (6, 1, 1)],
+            "late": [(9.5, 1, 1)], "rearmed": [(0, 1, 1), (2, 1, 0), (3, 1, 1), (9, 1, 1)], "clock": [(x, 0, 1) for x in range(11)]}
+    rows = sorted([(s, at(x), bool(ok), bool(auto)) for s, r in runs.items() for x, ok, auto in r], key=lambda r: r[1])
+    schema = "session string, ts timestamp, ok boolean, auto boolean"
+    run = lambda: flows.to_files(state.hold_steady_timed(flows.landed(spark, f"{folder}/in", schema), 1.2), f"{folder}/out", f"{folder}/ckpt")
+    halves(spark, rows, schema, folder, run)
+    got = sorted((r["session"], r["fired_at"]) for r in spark.read.parquet(f"{folder}/out").collect())
+    assert got == sorted([("last", at(1.2)), ("long", at(1.2)), ("rearmed", at(1.2)), ("rearmed", at(4.2))])
