@@ -30,11 +30,11 @@ from stitchwork.llm.common import portions, ship, texts_of, worker_cache
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: Words of one generation, states, and neighbours of a piece that a Python worker remembers. They change speed only.
-KEPT_WORDS = 50_000
+KEPT_WORDS = 100_000
 KEPT_STATES = 300_000
 KEPT_PAIRS = 10_000
 #: Characters of the texts that are cut into words at once.
-PORTION_CHARS = 750_000
+PORTION_CHARS = 1_250_000
 
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+")
 _RUNS = re.compile(rf"{MARK}*[^\W\d_{MARK}]+|{MARK}*(?:[^\w\n{MARK}]|_)+|{MARK}+|[\d\n]+")

@@ -198,7 +198,7 @@ def keep_representatives(docs: DataFrame, id: str = "doc_id", text: str = "text"
     those of docs, in order. An empty table gives no rows.
 
     A task hands on one row of each id and text (window group limit), so a hot
-    group is never gathered, and texts are shuffled once.
+    group is never gathered. Texts are shuffled twice.
     """
     seen = settle(fingerprints(docs, id, text).select(F.col(id).alias("id"), "fp", "same"))
     roots = _roots(seen.withColumnRenamed("id", id), id, hot_key).select("fp", "root")
