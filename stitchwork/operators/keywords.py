@@ -10,6 +10,8 @@ from stitchwork.session import settle
 GRAM = 3
 #: Texts whose grams tell which gram of a keyword is rare. The choice changes speed only.
 SAMPLE_TEXTS = 2_000
+#: An index of at most so many rules is sent to every task, so that grams aren't shuffled; a larger one is joined by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def _grams(text: Column, sizes: list[int]) -> Column:
@@ -57,6 +59,7 @@ def first_rule(texts: DataFrame, rules: DataFrame, id: str, text: str, order: st
     choices = posted.select("_o", "_k", "_t", F.explode(own).alias("_g")).join(common, "_g", "left")
     rarest = F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g"))
     index = settle(choices.groupBy("_o", "_k", "_t").agg(rarest.alias("_g")))
+    index = F.broadcast(index) if index.count() <= MOST_BROADCAST else index
     keyed = known.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_x"))
     met = (keyed.select("_id", "_h", F.explode(_grams(F.col("_x"), sizes)).alias("_g")).join(index, "_g").groupBy("_id", "_h")
            .agg(F.array_sort(F.collect_set(F.struct("_o", "_t", "_k"))).alias("_met")))

@@ -45,7 +45,9 @@ def test_nearest_of_empty_tables(spark):
     assert nearest.nearest_anchor(none, anchor, ["x", "y"], "id", "name").count() == 0
 
 
-def test_first_rule(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_first_rule(spark, monkeypatch, most):
+    monkeypatch.setattr(keywords, "MOST_BROADCAST", most)
     r = random.Random(4)
     word = lambda n: "".join(r.choice("abcé😀 ") for _ in range(n))
     rules = [(i, word(r.choice((1, 2, 3, 4, 6, 9))), f"t{i}") for i in range(400)] + [(3, None, "never"), (5, "ab", "z"), (5, "ab", "a")]
