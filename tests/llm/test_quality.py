@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import zlib
 from collections import Counter
@@ -140,11 +141,55 @@ def test_escapes_map_to_their_characters():
 
 
 def test_cycles_and_bombs_end(monkeypatch):
-    monkeypatch.setattr(secret_scan, "MAX_LAYER_BYTES", 1000)
+    monkeypatch.setattr(secret_scan, "MAX_UNPACKED_BYTES", 1000)
     bomb = base64.b64encode(zlib.compress(b"0" * 100_000)).decode()
     base, spans, bombs = secret_scan.scan(f"{bomb} token=abcdefgh")
     assert bombs == 1 and len(base) == 1
+    assert secret_scan.cleaned(f"a {bomb} token=abcdefgh b") == "a [secret] [secret] b"
     assert secret_scan.scan("%25" * 50 + "&#38;#38;")[2] == 0
+    for chain in ("%" + "25" * 200_000 + "41", "&" + "#38;" * 100_000 + "#65;", "\\" + "u005c" * 100_000 + "u0041"):
+        assert (len(chain) + 3, 0, len(chain) + 17) in secret_scan.scan("x " + chain + " token=abcdefgh")[1]
+
+
+PLAIN = "password=abcdefgh1234"
+
+
+def _raw(data):
+    pack = zlib.compressobj(wbits=-15)
+    return pack.compress(data) + pack.flush()
+
+
+@pytest.mark.parametrize("run", [
+    "%FF" + "".join(f"%{b:02X}" for b in PLAIN.encode()), "%C3" + "".join(f"%{b:02x}" for b in PLAIN.encode()) + "%80",
+    *(base64.b64encode(x).decode() for x in (
+        b"\x01 " + PLAIN.encode() + b" \x02", f"caf\u00e9 {PLAIN} \u00fc".encode("latin-1"), PLAIN.encode("utf-16"),
+        PLAIN.encode("utf-16-le"), PLAIN.encode("utf-16-be"), b"\xff" * 7 + PLAIN.encode() + b"\xfe",
+        gzip.compress(b"nothing here") + gzip.compress(PLAIN.encode()), bz2.compress(b"none") + bz2.compress(PLAIN.encode()),
+        gzip.compress(b"nothing here") + b"\n" + PLAIN.encode(), _raw(PLAIN.encode()), _raw(gzip.compress(PLAIN.encode())),
+        b"\x00\x01head" + gzip.compress(PLAIN.encode()), lzma.compress(PLAIN.encode("utf-16")))),
+    *(glue + base64.b64encode(x).decode() for glue in ("a", "ab", "abc", "abcd", "abcde")
+      for x in (PLAIN.encode(), gzip.compress(PLAIN.encode()), bz2.compress(PLAIN.encode()), PLAIN.encode("utf-16"))),
+    *(glue + base64.b64encode(zlib.compress(PLAIN.encode())).decode() for glue in ("a", "ab", "abc"))])
+def test_layers_that_are_not_plain_text(run):
+    text = f"before {run} after"
+    base, spans, bombs = secret_scan.scan(text)
+    assert not base and spans and not bombs
+    assert all(7 <= s and e <= 7 + len(run) for s, _, e in spans)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, _raw, lambda x: gzip.compress(bz2.compress(x))])
+def test_large_layers_are_read_in_windows(monkeypatch, pack):
+    monkeypatch.setattr(secret_scan, "WINDOW_BYTES", 4_000)
+    monkeypatch.setattr(secret_scan, "CHUNK_BYTES", 100)
+    for n in range(11_900, 12_100, 7):
+        words = ("lorem ipsum " * 1_500)[:n]
+        inner = base64.b64encode(PLAIN.encode()).decode()
+        for secret in (PLAIN, inner):
+            text = "é " + base64.b64encode(pack(f"{words} {secret} {words}".encode())).decode() + "\nend"
+            _, spans, bombs = secret_scan.scan(text)
+            assert spans and not bombs and all(s == 2 for s, _, _ in spans), n
+    solid = base64.b64encode(pack(b"0123456789" * 1_000)).decode()
+    assert secret_scan.scan(solid)[2] == 1 and secret_scan.cleaned("x " + solid) == "x [secret]"
 
 
 def test_clean_prose_has_no_secrets(corpus):
