@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import lzma
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from urllib.parse import quote
@@ -43,6 +44,30 @@ def test_automaton_parses_like_a_search(corpus, monkeypatch):
         assert counts.tolist() == [_phrases(text, plain[k]) for k in "abc"]
 
 
+@pytest.mark.parametrize("dense", [0, 1, 5, 30])
+def test_rare_signs_parse_like_a_search(corpus, dense):
+    texts = list(corpus.values())
+    learned = {"a": texts[0][:700], "b": "жёлтый цвет " * 9 + texts[1][:500], "c": ""}
+    known = language_id.Parser(learned, dense)
+    plain = {k: "".join(map(chr, language_id.letter_codes(v))) for k, v in learned.items()}
+    blocks = [language_id.letter_codes(t)[:100] for t in [*texts[3:40], "ж zzz ж цвет цёт", "цвет ω ωω"]]
+    for block, counts in zip(blocks, known.phrases(blocks)):
+        assert counts.tolist() == [_phrases("".join(map(chr, block)), plain[k]) for k in "abc"]
+
+
+def test_alphabets_of_thousands_of_signs_need_little_memory():
+    draw = np.random.default_rng(2)
+    words = {k: ["".join(map(chr, x)) for x in draw.integers(0x4E00 + 5_000 * k, 0x4E00 + 5_000 * k + 5_000, (4_000, 3))]
+             for k in range(4)}
+    texts = {f"l{k}": "".join(draw.choice(w, 10_000)) for k, w in words.items()}
+    tracemalloc.start()
+    known = language_id.Parser(texts)
+    found = known.predict(["".join(draw.choice(words[k % 4], 500)) for k in range(200)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x for x, _ in found] == [f"l{k % 4}" for k in range(200)] and peak < 700 << 20
+
+
 def test_language_accuracy(spark, sf_dir, documents):
     got = queries.op1_language_id(spark, sf_dir).join(documents.select("doc_id", "lang"), "doc_id").collect()
     assert len(got) == documents.count()
