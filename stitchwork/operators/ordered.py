@@ -23,6 +23,8 @@ from stitchwork.session import settle
 RANGE = "_range"
 #: Rows that one range, so one task, holds at most on average.
 ROWS_PER_RANGE = 2_000_000
+#: First rows up to this number are merged in one task, which holds that many rows of each partition in turn.
+ONE_TASK_ROWS = 10_000
 
 
 def _sort_key(keys: list[Column]) -> Column:
@@ -154,3 +156,43 @@ def top_per_key(df: DataFrame, key: list[str], order: list[Column], n: int, rank
     name = rank or "_rank"
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(name) <= n)
     return out if rank else out.drop(name)
+
+
+def _reaches(order: list[tuple[Column, str]], edge: Column) -> Column:
+    """Whether a row sorts before the edge or equals it; null is the least value, as in a plain sort."""
+    out = F.lit(True)
+    for i, (key, way) in reversed(list(enumerate(order))):
+        value = edge[f"k{i}"]
+        if way == "desc":
+            before = F.coalesce(key > value, F.lit(False)) | (key.isNotNull() & value.isNull())
+        else:
+            before = F.coalesce(key < value, F.lit(False)) | (key.isNull() & value.isNotNull())
+        out = before | (key.eqNullSafe(value) & out)
+    return out
+
+
+def first_rows(df: DataFrame, order: list[tuple[Column, str]], n: int, one_task_rows: int = ONE_TASK_ROWS,
+               ranges: int | None = None) -> DataFrame:
+    """The first n rows of the whole table; ``order`` pairs columns, unique together, with "asc" or "desc".
+
+    Up to ``one_task_rows`` this is a sort with a limit. Beyond, no task holds
+    the n rows: only the sort keys are cut into ranges, the range sizes tell
+    which range the n-th row falls into, that range alone is ranked, and the
+    n-th key then filters the table in place, without a shuffle of its rows.
+    Nulls sort first ascending and last descending; a table of fewer rows comes whole. Should rows repeat
+    the n-th key, all of them come.
+    """
+    by = [key.desc() if way == "desc" else key.asc() for key, way in order]
+    if n <= one_task_rows:
+        return df.orderBy(*by).limit(n)
+    keys = df.select(*[key.alias(f"k{i}") for i, (key, _) in enumerate(order)])
+    sort = [F.col(f"k{i}").desc() if way == "desc" else F.col(f"k{i}").asc() for i, (_, way) in enumerate(order)]
+    cut = with_ranges(keys, sort, ranges)
+    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range, of which at most one holds the n-th row.
+    sizes = cut.groupBy(RANGE).agg(F.count(F.lit(1)).alias("_n")).select(
+        RANGE, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    holder = sizes.where((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)).select(RANGE, "_before")
+    ranked = cut.join(holder, RANGE).withColumn("_rn", F.row_number().over(Window.partitionBy(RANGE).orderBy(*sort)))
+    edge = ranked.where(F.col("_rn") + F.col("_before") == n).select(F.struct(*keys.columns)).scalar()
+    return df.where(edge.isNull() | _reaches(order, edge))

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stitchwork.functions.text import literals, sql_draw
-from stitchwork.operators.ordered import first_per_key, global_row_number, running, top_per_key
+from stitchwork.operators.ordered import first_per_key, first_rows, global_row_number, running, top_per_key
 from stitchwork.session import settle
 
 
@@ -75,7 +76,7 @@ def missing_for(items: DataFrame, consumers: list[str], sent: DataFrame, consume
 def quota_then_limit(df: DataFrame, by: str, quota: int, order: list[Column], limit: int | None = None) -> DataFrame:
     """First ``quota`` rows per class in scan order, then the first ``limit`` of what was accepted."""
     accepted = top_per_key(df, [by], order, quota)
-    return accepted if limit is None else accepted.orderBy(*order).limit(limit)
+    return accepted if limit is None else first_rows(accepted, [(o, "asc") for o in order], limit)
 
 
 def top_by_score(df: DataFrame, by: str, score: str, order: list[Column], per_class: int,
@@ -89,8 +90,8 @@ def top_by_score(df: DataFrame, by: str, score: str, order: list[Column], per_cl
     if limit is None:
         return best
     first_seen = df.groupBy(by).agg(F.min(F.struct(*order)).alias("_seen"))
-    return (best.join(first_seen, by).orderBy(F.col(score).desc(), F.col("_seen"), F.col("class_rank"))
-            .limit(limit).drop("_seen"))
+    whole = [(F.col(score), "desc"), (F.col("_seen"), "asc"), (F.col("class_rank"), "asc")]
+    return first_rows(best.join(first_seen, by), whole, limit).drop("_seen")
 
 
 def cumulative_stop(categories: DataFrame, order: list[Column], found: str, existing: str, own_limit: str,
@@ -179,15 +180,48 @@ def random_split(df: DataFrame, key: str, seed: int, val_share: float = 0.2) ->
 
 def sample_rows(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     """n rows without replacement by drawn order, equal on every partitioning."""
-    return df.orderBy(F.expr(sql_draw(seed, key)), key).limit(n)
+    return first_rows(df, [(F.expr(sql_draw(seed, key)), "asc"), (F.col(key), "asc")], n)
 
 
-def differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of either side the other lacks; empty means an exact reconstruction."""
+def _whole_row_hash(df: DataFrame, seed: int) -> Column:
+    """A hash that tells nulls apart by place, which the plain one skips; nested values go in as text."""
+    parts = [F.lit(seed)]
+    for field in df.schema.fields:
+        value = F.col(field.name)
+        if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            value = F.to_json(F.struct(value), {"ignoreNullFields": "false"})
+        parts += [value, value.isNull()]
+    return F.xxhash64(*parts)
+
+
+def differences(a: DataFrame, b: DataFrame, buckets: int = 16_384) -> DataFrame:
+    """Rows of either side the other lacks, as often as they are in excess; empty means an exact reconstruction.
+
+    Rows fall into ``buckets`` by a hash of their content. Of each bucket the
+    signed sums of two more 64-bit hashes and of one are compared: they don't
+    depend on the order and count repeats. Only rows of buckets that differ
+    are shuffled and compared by value, so equal tables exchange no rows. A
+    difference escapes only if both sums agree by chance, about 2^-128 a bucket.
+    Either side is read twice where anything differs.
+    """
     names = a.columns
-    signed = a.withColumn("_n", F.lit(1)).unionByName(b.select(*names).withColumn("_n", F.lit(-1)))
-    net = signed.groupBy(*names).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
-    # As often as the row is in excess, like a multiset difference.
+    sides = [(a, 1), (b.select(*names), -1)]
+
+    def keyed(df: DataFrame, sign: int) -> DataFrame:
+        bucket = F.pmod(_whole_row_hash(df, 0), F.lit(buckets)).cast("int")
+        return df.select(*names, F.lit(sign).alias("_n"), bucket.alias("_bucket"))
+
+    def prints(df: DataFrame, sign: int) -> DataFrame:
+        signed = [(_whole_row_hash(df, seed).cast("decimal(20,0)") * sign).cast("decimal(20,0)").alias(f"_h{seed}")
+                  for seed in (1, 2)]
+        bucket = F.pmod(_whole_row_hash(df, 0), F.lit(buckets)).cast("int")
+        return df.select(bucket.alias("_bucket"), F.lit(sign).alias("_n"), *signed)
+    uneven = (reduce(DataFrame.unionByName, [prints(*s) for s in sides]).groupBy("_bucket")
+              .agg(*[F.sum(c).alias(c) for c in ("_n", "_h1", "_h2")])
+              .where((F.col("_n") != 0) | (F.col("_h1") != 0) | (F.col("_h2") != 0)).select("_bucket"))
+    # At most one row per bucket, so the broadcast is bounded by ``buckets`` numbers.
+    rows = reduce(DataFrame.unionByName, [keyed(*s) for s in sides]).join(F.broadcast(uneven), "_bucket", "left_semi")
+    net = rows.groupBy(*names).agg(F.sum("_n").alias("_n")).where(F.col("_n") != 0)
     each = net.select(*names, F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"),
                       F.explode(F.sequence(F.lit(1), F.abs("_n"))).alias("_i"))
     return each.drop("_i")

@@ -213,6 +213,13 @@ def u18(spark, sf):
     return sets.sample_rows(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", 17, 100)
 
 
+@query("u18b_seeded_sample_large", f"""SELECT line FROM (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS line FROM lineitem)
+  ORDER BY {sql_draw_number(29, 'line')}, line LIMIT 12000""")
+def u18b(spark, sf):
+    lines = table(spark, sf, "lineitem").select((c("l_orderkey") * 8 + c("l_linenumber")).alias("line")).distinct()
+    return sets.sample_rows(lines, "line", 29, 12_000)
+
+
 @query("u19_ordered_split", """SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor((SELECT count(*) FROM documents) * 0.9::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM documents""")
 def u19(spark, sf):
     return sets.ordered_split(table(spark, sf, "documents").select("doc_id"), [c("doc_id")], 0.9)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stitchwork.functions import decode, portraits, text
 from stitchwork.operators import aggregates, history, sets
-from stitchwork.operators.ordered import first_per_key, running
+from stitchwork.operators.ordered import first_per_key, first_rows, running
 from stitchwork.plans import standins as S
 from stitchwork.plans.queries_scalars import PHOTO_FACTS_SQL, _second, qualified_photos
 from stitchwork.plans.registry import query, sql_list, sql_pick, table, sql_draw_number
@@ -110,7 +110,14 @@ def w11(spark, sf):
 
 @query("w12_first_n", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100")
 def w12(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate").orderBy("o_orderdate", "o_orderkey").limit(100)
+    return first_rows(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), [(c("o_orderdate"), "asc"), (c("o_orderkey"), "asc")], 100)
+
+
+@query("w12b_first_n_large", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20000")
+def w12b(spark, sf):
+    """More rows than one task should hold: the n-th key is found first, and filters the table."""
+    order = [(c("l_shipdate"), "desc")] + [(c(k), "asc") for k in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    return first_rows(table(spark, sf, "lineitem"), order, 20_000).select("l_orderkey", "l_linenumber", "l_shipdate")
 
 
 @query("w13_session_upsert_delete", """WITH s AS (SELECT conv_id AS id, count(*) AS looks, min(turn) AS v FROM conversations GROUP BY conv_id),

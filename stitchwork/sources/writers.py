@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +40,6 @@ def write_labels(labels: DataFrame, path: str, category: str) -> None:
     label_columns(labels, category).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
-_POINTER = "version string, published long"
-
-
 def preview(df: DataFrame, root: str, key: str) -> DataFrame:
     """Cells that publishing df would change against the current version: key, column, old_value, new_value as text.
 
@@ -59,20 +58,57 @@ def publish(df: DataFrame, root: str, write: bool = False, version: str | None =
     """Versioned snapshot: the new version is complete before the pointer moves, older ones stay.
 
     Without ``write`` nothing happens (dry run is the default; ``preview``
-    gives the cells that would change). A pointer row carries the time of its
-    publication, so versions may have any names.
+    gives the cells that would change). Publications are numbered, not timed:
+    the last to be published is current, whatever the clocks of the drivers
+    say, and versions may have any names.
     """
     if not write:
         return None
-    version = version or time.strftime("%Y%m%dT%H%M%SZ", time.gmtime())
+    version = version or f"{time.strftime('%Y%m%dT%H%M%SZ', time.gmtime())}-{uuid.uuid4().hex[:8]}"
     df.write.mode("errorifexists").parquet(f"{root}/v={version}")
-    pointer = df.sparkSession.createDataFrame([(version, time.time_ns())], _POINTER).coalesce(1)
-    pointer.write.mode("append").json(f"{root}/_versions")
+    spark = df.sparkSession
+    numbers = [int(r[0]) for r in _pointers(spark, root).select("number").collect()] if _exists(spark, f"{root}/_versions") else []
+    _claim_pointer(spark, f"{root}/_versions", max(numbers, default=0) + 1, version)
     return version
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _claim_pointer(spark: SparkSession, folder: str, number: int, version: str) -> int:
+    """Create the first free pointer file from ``number`` on, never over another one, and return its number.
+
+    Exclusive where the file system's create without overwrite is atomic.
+    """
+    while True:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:020d}")
+        try:
+            stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+        except Py4JJavaError:
+            if not _exists(spark, f"{folder}/{number:020d}"):
+                raise
+            number += 1
+            continue
+        stream.write(bytearray(f"{version}\n", "utf-8"))
+        stream.close()
+        return number
+
+
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
+    """number (text of fixed width, in order of publication) and value (the file's text), one row per pointer file."""
+    return spark.read.text(f"{root}/_versions", wholetext=True).select(F.col("_metadata.file_name").alias("number"), "value")
+
+
+def published_versions(spark: SparkSession, root: str) -> DataFrame:
+    """number and version of every publication. A pointer without its line end isn't complete yet and doesn't count."""
+    return _pointers(spark, root).where(F.col("value").endswith("\n")).select(
+        F.col("number").cast("long").alias("number"), F.rtrim(F.col("value"), F.lit("\n")).alias("version"))
+
+
 def current_version(spark: SparkSession, root: str) -> str:
-    return spark.read.schema(_POINTER).json(f"{root}/_versions").agg(F.max_by("version", "published")).first()[0]
+    return published_versions(spark, root).agg(F.max_by("version", "number")).first()[0]
 
 
 def read_published(spark: SparkSession, root: str, version: str | None = None) -> DataFrame:
