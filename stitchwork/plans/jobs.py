@@ -43,6 +43,45 @@ def qualify_and_route(items: DataFrame, processed: DataFrame, key: str) -> DataF
         .alias("destination"))
 
 
+def judged_fields(answers: DataFrame, key: str, text: str = "answer") -> DataFrame:
+    """The judge's raw answers as columns: fences, prose around the object and trailing commas are repaired.
+
+    ``judged`` is false where no object could be read, and all fields are null then.
+    """
+    value = F.col("_value")
+    kinds = {"is_look": "boolean", "overall": "double"}
+    parsed = answers.select(key, jsonish.repair_json(F.col(text)).alias("_value"))
+    names = ["is_look", "gender", "age", "tier_text", "overall", "focus", "shot", "upper", "mid", "lower", "shoes", "hair", "beard"]
+    return parsed.select(key, value.isNotNull().alias("judged"),
+                         *[jsonish.field(value, n, kinds.get(n, "string")).alias(n) for n in names])
+
+
+def qualify_answers(items: DataFrame, answers: DataFrame, processed: DataFrame, key: str) -> DataFrame:
+    """Q01 from raw answers: resume, cheap gate, repaired answers, canonical labels, routing.
+
+    ``items`` has filename, path and the image metrics, ``answers`` one text
+    per item that was judged. Answers are parsed for items only that pass the
+    cheap gate; an item without one counts as not judged. The labels are null
+    for whatever isn't sorted. ``status_group`` is the first folder of the destination.
+    """
+    fresh = filters.unprocessed(items, processed, key)
+    gated = fresh.withColumn("reason", routing.heuristic_reason(F.col("size"), F.col("width"), F.col("height"),
+                                                                F.col("laplacian")))
+    asked = answers.join(gated.where(F.col("reason") == "ok").select(key), key, "left_semi")
+    rows = gated.join(judged_fields(asked, key), key, "left").withColumn("judged", F.coalesce("judged", F.lit(False)))
+    rows = rows.withColumn("status", routing.look_status(F.col("reason"), F.col("judged"), F.col("is_look")))
+    ok = F.col("status") == "sorted"
+    facts = {"stream": routing.resolve_stream(F.col("focus"), F.col("shot"), F.col("path")),
+             "demographic": routing.resolve_demographic(F.col("gender"), F.col("age")),
+             "tier": routing.resolve_tier(F.col("tier_text"), F.col("overall")),
+             **routing.canonical_garments(F.col("upper"), F.col("mid"), F.col("lower"), F.col("shoes")),
+             "hair_styled": routing.canonical_hair_styled(F.col("hair")),
+             "facial_hair_style": routing.canonical_facial_hair(F.col("beard"))}
+    group = F.when(ok, "sorted").otherwise(routing.reject_folder(F.col("status")))
+    return rows.select(key, "filename", "status", group.alias("status_group"),
+                       *[F.when(ok, v).alias(n) for n, v in facts.items()])
+
+
 def curate_photos(photos: DataFrame, keywords: DataFrame, vocabulary: list[str], per_class: int,
                   limit: int | None = None) -> DataFrame:
     """Q02: keyword sets, relevance rules, best photos per class."""
@@ -80,15 +119,16 @@ def audit_and_repair(labels: DataFrame, judged: DataFrame, bucket: str, columns:
     return {"patched": patched, "diff": diff, "unmatched": unmatched}
 
 
-def audit_and_repair_all(labels: DataFrame, judged: DataFrame) -> DataFrame:
+def audit_and_repair_all(labels: DataFrame, judged: DataFrame, position: str = "id") -> DataFrame:
     """Q06: the cell diff of every issue bucket against the labels, in one pass.
 
-    A column that the labels don't have counts as empty. Of repeated answers for a cell the largest text stays.
+    A column that the labels don't have counts as empty. Of repeated answers for a cell the last by ``position`` stays.
     """
     flagged = filters.issue_buckets(labels).select("filename", "bucket").distinct()
     edits = repair.edits_by_bucket(F.col("bucket"), [b for b, *_ in filters.ISSUE_BUCKETS])
-    cells = (judged.join(flagged, "filename").select("filename", "bucket", F.explode(edits).alias("_e"))
-             .groupBy("filename", "bucket", F.col("_e.column").alias("column")).agg(F.max("_e.new_value").alias("new_value")))
+    cells = (judged.join(flagged, "filename").select("filename", "bucket", position, F.explode(edits).alias("_e"))
+             .groupBy("filename", "bucket", F.col("_e.column").alias("column"))
+             .agg(F.max_by("_e.new_value", F.struct(position, "_e.new_value")).alias("new_value")))
     old = F.create_map(*[x for n in labels.columns if n not in ("filename", "issues")
                          for x in (F.lit(n), F.col(n).cast("string"))])
     both = cells.join(labels.select("filename", old.alias("_old")), "filename")
@@ -193,6 +233,19 @@ def url_inventory(pages: DataFrame, category: Column, thin_below: int, limit: in
     return n.withColumn("thin", F.col("urls") < thin_below)
 
 
+def url_inventory_until(pages: DataFrame, category: Column, limit: int, target: int,
+                        existing: DataFrame | None = None) -> DataFrame:
+    """Q14 with a target: categories claim in order until that many new URLs are there; later ones are not served.
+
+    A category that isn't served claims nothing, and none before it could
+    have claimed otherwise, so the stop is taken after all claims.
+    """
+    claimed = url_inventory(pages, category, 0, limit, existing)
+    counts = claimed.select("category", "urls", F.lit(0).alias("_existing"), F.lit(limit).alias("_own"))
+    served = sets.cumulative_stop(counts, [F.col("category")], "urls", "_existing", "_own", limit, target)
+    return served.select("category", "served", F.col("new_rows").cast("long").alias("urls"))
+
+
 def compare_variants(rows: DataFrame) -> DataFrame:
     """Q15: paired deltas of two model variants (structs ``a`` and ``b``: latency, tokens, words, text, repetition)."""
     a, b = F.col("a"), F.col("b")

@@ -12,12 +12,14 @@ from stitchwork.plans import standins as S
 from stitchwork.plans.queries_aggregates import _RECALL_SQL
 from stitchwork.plans.queries_filters import BUCKETS_SQL, LOG_SQL
 from stitchwork.plans.queries_scalars import (
-    _DEMOGRAPHIC, _OK_TIER, _POS, _REVIEW_BASE, _SEV, _STREAM_SORTER, _TIER_SORTER, DESCRIPTION_SQL, JUDGED, PHOTO_FACTS_SQL,
+    _DEMOGRAPHIC, _OK_TIER, _POS, _REVIEW_BASE, _SEV, _STREAM_SORTER, _TIER_SORTER, _canonical_sql, DESCRIPTION_SQL, JUDGED, PHOTO_FACTS_SQL,
     judged)
 from stitchwork.plans.queries_sources import _listing_pages, text_images
+from stitchwork.plans.landing import fresh_folder
 from stitchwork.plans.registry import q, query, sql_draw_number, sql_list, sql_map, sql_pick, table
 from stitchwork.rules import garments as G
 from stitchwork.rules import routing as R
+from stitchwork.sources import writers
 
 c = F.col
 
@@ -30,6 +32,46 @@ def q01(spark, sf):
     return jobs.qualify_and_route(S.annotations(spark, sf), done, "id").select("id", "filename", "status", "destination")
 
 
+_ANSWER_FIELDS = ["is_look", "gender", "age", "tier_text", "overall", "focus", "shot", "upper", "mid", "lower", "shoes", "hair", "beard"]
+
+
+def _raw_answers(spark, sf):
+    """The judge's answers as it writes them: plain, fenced, inside prose, with a trailing comma, or no object at all."""
+    rows, k = S.annotations(spark, sf), c("id")
+    body = F.to_json(F.struct(*_ANSWER_FIELDS))
+    comma = F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(", }"))
+    answer = (F.when(~c("judged"), F.when(k % 2 == 0, "I cannot judge this image.").otherwise('{"is_look": tr'))
+              .when(k % 4 == 0, body).when(k % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+              .when(k % 4 == 2, F.concat(F.lit("Here it is:\n"), comma, F.lit("\nAnything else?"))).otherwise(comma))
+    return rows.select("id", answer.alias("answer"))
+
+
+_CANONICAL = ["upper_type", "mid_type", "lower_type", "footwear_type", "hair_styled", "facial_hair_style"]
+
+
+@query("q01b_qualify_from_answers", f"""WITH l AS (SELECT *, status = 'sorted' AS ok FROM {LOG_SQL} WHERE id NOT IN (SELECT doc_id FROM labels)), k AS ({_canonical_sql('sorter')})
+SELECT l.id, l.filename, l.status, CASE WHEN ok THEN 'sorted' WHEN starts_with(status, 'rejected_heuristic') THEN 'blurry_or_low_res'
+    WHEN status = 'rejected_vlm_failed' THEN 'vlm_failed' ELSE 'non_human_or_flatlay' END AS status_group,
+  CASE WHEN ok THEN {_STREAM_SORTER} ELSE 'none' END AS stream, CASE WHEN ok THEN {_DEMOGRAPHIC} ELSE 'none' END AS demographic, CASE WHEN ok THEN {_TIER_SORTER} ELSE 'none' END AS tier,
+  {', '.join(f'CASE WHEN ok THEN k.{x} END AS {x}' for x in _CANONICAL)} FROM l JOIN k USING (id)""")
+def q01b(spark, sf):
+    """Raw answers to a routed dataset on disk, read back."""
+    done = table(spark, sf, "labels").select(c("doc_id").alias("id"))
+    items = S.annotations(spark, sf).select("id", "filename", "path", "size", "width", "height", "laplacian")
+    folder = fresh_folder(spark, "qualified")
+    writers.write_routed(jobs.qualify_answers(items, _raw_answers(spark, sf), done, "id"), folder)
+    return spark.read.parquet(folder).select("id", "filename", "status", "status_group", "stream", "demographic", "tier", *_CANONICAL)
+
+
+@query("q01c_run_counters", f"""SELECT count(*) FILTER (WHERE status = 'sorted') AS qualified, count(*) FILTER (WHERE status = 'rejected_not_human') AS not_human,
+  count(*) FILTER (WHERE starts_with(status, 'rejected_heuristic')) AS heuristic, count(*) FILTER (WHERE status = 'rejected_vlm_failed') AS judge_failed,
+  count(*) FILTER (WHERE status = 'rejected_routing_failed') AS routing_failed FROM {LOG_SQL} WHERE id NOT IN (SELECT doc_id FROM labels)""")
+def q01c(spark, sf):
+    done = table(spark, sf, "labels").select(c("doc_id").alias("id"))
+    items = S.annotations(spark, sf).select("id", "filename", "path", "size", "width", "height", "laplacian")
+    return AG.status_summary(jobs.qualify_answers(items, _raw_answers(spark, sf), done, "id"))
+
+
 @query("q02_photo_curation", f"""WITH {PHOTO_FACTS_SQL},
 r AS (SELECT photo_id, category, relevance_score, row_number() OVER (PARTITION BY category ORDER BY relevance_score DESC, photo_id) AS class_rank FROM facts)
 SELECT photo_id, category, relevance_score, class_rank::INT AS class_rank FROM r WHERE class_rank <= 50""")
@@ -257,11 +299,14 @@ def _claims_sql(limit: int) -> str:
     return ", ".join(steps)
 
 
-@query("q14_url_inventory", f"""WITH u AS (SELECT o_orderkey % 4 AS cat, 'i' || o_custkey AS url, o_orderkey * 2 AS pos, o_custkey FROM orders WHERE o_orderkey % 5 = 0
+_URLS_SQL = """WITH u AS (SELECT o_orderkey % 4 AS cat, 'i' || o_custkey AS url, o_orderkey * 2 AS pos, o_custkey FROM orders WHERE o_orderkey % 5 = 0
   UNION ALL SELECT o_orderkey % 4, 'q' || o_custkey, o_orderkey * 2, o_custkey FROM orders WHERE o_orderkey % 5 = 2
   UNION ALL SELECT o_orderkey % 4, 'p' || o_custkey, o_orderkey * 2 + 1, o_custkey FROM orders WHERE o_orderkey % 5 = 2
   UNION ALL SELECT o_orderkey % 4, 't' || o_custkey, o_orderkey * 2, o_custkey FROM orders WHERE o_orderkey % 5 = 3),
-f AS (SELECT cat, url, min(pos) AS pos FROM u WHERE NOT (starts_with(url, 'i') AND o_custkey % 3 = 0) GROUP BY cat, url),
+f AS (SELECT cat, url, min(pos) AS pos FROM u WHERE NOT (starts_with(url, 'i') AND o_custkey % 3 = 0) GROUP BY cat, url),"""
+
+
+@query("q14_url_inventory", f"""{_URLS_SQL}
 {_claims_sql(250)}
 SELECT category::BIGINT AS category, count(*) AS urls, max(pos) // 2 AS last_page, count(*) < 250 AS thin
 FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3) GROUP BY category""")
@@ -271,6 +316,17 @@ def q14(spark, sf):
     return jobs.url_inventory(_listing_pages(spark, sf), c("page") % 4, 250, 250, known)
 
 
+@query("q14b_inventory_until_target", f"""{_URLS_SQL}
+{_claims_sql(250)},
+n AS (SELECT category, count(*) AS n FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3) GROUP BY category),
+r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 600 AS served FROM n)
+SELECT category::BIGINT AS category, served, CASE WHEN served THEN n ELSE 0 END AS urls FROM r""")
+def q14b(spark, sf):
+    known = table(spark, sf, "customer").where(c("c_custkey") % 3 == 0).select(
+        F.concat(F.lit("https://i.example/"), c("c_custkey").cast("string"), F.lit(".jpg?a=1&b=2")).alias("url"))
+    return jobs.url_inventory_until(_listing_pages(spark, sf), c("page") % 4, 250, 600, known)
+
+
 @query("q15_variant_comparison", """WITH p AS (SELECT l_partkey, l_quantity / 10.0 AS la, l_quantity / 10.0 + l_tax AS lb, l_linenumber + 20 AS ta, l_linenumber + 21 AS tb FROM lineitem)
 SELECT count(*) AS pairs, round(avg(la), 5) AS a_latency, round(avg(lb), 5) AS b_latency, round(sum(ta) / sum(la), 5) AS a_tokens_per_sec, round(sum(tb) / sum(lb), 5) AS b_tokens_per_sec,
   1.0::DOUBLE AS words_delta, count(*) FILTER (WHERE l_partkey % 3 = l_partkey % 5) AS identical, 0::BIGINT AS a_repetitions, count(*) FILTER (WHERE l_partkey % 7 = 0) AS b_repetitions FROM p""")
