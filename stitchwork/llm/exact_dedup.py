@@ -1,8 +1,10 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
-Each level looks only at groups which the level before left with two or more
-rows. The first two levels shuffle numbers; the texts themselves move once, to
-meet the keys that survived, and only there is the whole text hashed.
+Each level looks only at rows which the level before left in a group of two
+or more: prefixes are read for rows of a shared length, whole texts for rows
+of a shared (length, prefix). The keys of a level are numbers. Up to a counted
+bound they are broadcast, so that rows meet them where they are and no text is
+shuffled but those of surviving groups; beyond it, rows meet them in a shuffle.
 """
 
 from __future__ import annotations
@@ -10,50 +12,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stitchwork.llm.common import settle
+
 #: Characters that the second level hashes.
 PREFIX_CHARS = 256
+#: Keys of a level, one 64-bit number each, that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
 
 
 def _text(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def suspects(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """(length, prefix hash) pairs that two or more rows share.
+def _keys(df: DataFrame, key: Column, name: str, broadcast_keys: int) -> DataFrame:
+    """Values of a number that two or more rows of df share, with the hint that their count allows.
 
-    Lengths are counted first; prefixes are hashed only for rows whose length
-    is shared. Both levels aggregate on the map side, so a text that owns a
-    third of all rows is one row of each task.
+    Counted on the map side first, so a text that owns a third of all rows is
+    one row of each task. In a shuffle the keys are the smaller side of every
+    partition; hashing them spares a sort of the texts.
     """
-    length = F.octet_length(_text(text))
-    lengths = (docs.select(length.alias("length")).groupBy("length").agg(F.count("*").alias("n"))
-               .filter("n > 1").select("length"))
-    prefixes = (docs.select(length.alias("length"), F.xxhash64(F.substring(_text(text), 1, prefix_chars)).alias("prefix"))
-                .groupBy("length", "prefix").agg(F.count("*").alias("n")))
-    return prefixes.filter("n > 1").join(lengths, "length", "left_semi").select("length", "prefix")
+    shared = settle(df.groupBy(key.alias(name)).agg(F.count("*").alias("_n")).filter("_n > 1").select(name))
+    return shared.hint("broadcast" if shared.count() <= broadcast_keys else "shuffle_hash")
 
 
-def full_hashes(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def full_hashes(docs: DataFrame, text: str = "text", prefix_chars: int = PREFIX_CHARS,
+                broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """_doc (the row of docs), _text (null as empty), _full (SHA-256; null where a cheaper level told the row apart) and
     _key, which is _full or else something of its own, so that rows without a group don't meet in one task.
-
-    The rows are shuffled once; a text travels in its row only.
     """
-    level = F.struct(F.octet_length(_text(text)).alias("length"),
-                     F.xxhash64(F.substring(_text(text), 1, prefix_chars)).alias("prefix"))
-    shared = suspects(docs, text, prefix_chars).select(F.struct("length", "prefix").alias("_shared"))
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), level.alias("_cheap"))
-    # The keys are the smaller side in every partition; hashing them spares a sort of the texts.
-    met = keyed.join(shared.hint("shuffle_hash"), F.col("_cheap") == F.col("_shared"), "left")
+    length = F.octet_length(_text(text)).cast("long")
+    prefix = F.substring(_text(text), 1, prefix_chars)
+    lengths = _keys(docs, length, "_shared_length", broadcast_keys)
+    sized = docs.select(length.alias("_length"), prefix.alias("_prefix")).join(
+        lengths, F.col("_length") == F.col("_shared_length"), "left_semi")
+    cheap = F.xxhash64("_length", "_prefix")
+    prefixes = _keys(sized, cheap, "_shared_prefix", broadcast_keys)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), length.alias("_length"))
+    rows = rows.join(lengths, F.col("_length") == F.col("_shared_length"), "left")
     whole = F.coalesce(F.col("_doc")[text], F.lit(""))
-    full = F.when(F.col("_shared").isNotNull(), F.sha2(whole, 256))
-    own = F.concat(F.lit("#"), F.hex(F.xxhash64("_cheap")))
-    return met.select("_doc", whole.alias("_text"), full.alias("_full"), own.alias("_own")).select(
+    # A length of its own is its key; the number can't make two texts equal, as only full hashes decide.
+    own = F.when(F.col("_shared_length").isNotNull(), F.xxhash64("_length", F.substring(whole, 1, prefix_chars))).otherwise(
+        F.xxhash64("_length"))
+    rows = rows.select("_doc", own.alias("_cheap")).join(prefixes, F.col("_cheap") == F.col("_shared_prefix"), "left")
+    full = F.when(F.col("_shared_prefix").isNotNull(), F.sha2(whole, 256))
+    return rows.select("_doc", whole.alias("_text"), full.alias("_full"), F.concat(F.lit("#"), F.hex("_cheap")).alias("_own")).select(
         "_doc", "_text", "_full", F.coalesce("_full", "_own").alias("_key"))
 
 
 def decide(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS,
-           extra: dict[str, Column] | None = None) -> DataFrame:
+           extra: dict[str, Column] | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, plus ``extra`` columns.
 
     Texts are equal when identical; null counts as empty. Of equal texts the
@@ -63,7 +70,7 @@ def decide(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix_chars
     them all. An empty table gives no rows.
     ``extra`` may use _text and _full (null outside surviving groups).
     """
-    leveled = full_hashes(docs.select(id, text), text, prefix_chars)
+    leveled = full_hashes(docs.select(id, text), text, prefix_chars, broadcast_keys)
     rows = leveled.select(F.col("_doc")[id].alias(id), "_full", "_key",
                           *[c.alias(n) for n, c in (extra or {}).items()])
     survivors = rows.filter(F.col("_full").isNotNull())
@@ -76,7 +83,8 @@ def decide(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix_chars
                          F.col(id).eqNullSafe(keep).alias("kept"), *(extra or {}))
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix_chars: int = PREFIX_CHARS,
+             broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """docs without all but one row of equal texts: exactly one row stays, of the largest id.
 
     Columns are those of docs, in order. The ranking is cut to one row per
@@ -84,7 +92,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix_cha
     is never gathered. Rows which no cheaper level told apart rank by the full
     hash; the others are alone and pass through.
     """
-    leveled = full_hashes(docs, text, prefix_chars)
+    leveled = full_hashes(docs, text, prefix_chars, broadcast_keys)
     alone = leveled.filter(F.col("_full").isNull()).select("_doc.*")
     best = Window.partitionBy("_full").orderBy(F.col("_doc")[id].desc_nulls_last())
     first = (leveled.filter(F.col("_full").isNotNull()).withColumn("_rank", F.row_number().over(best))

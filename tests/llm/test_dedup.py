@@ -41,6 +41,22 @@ def test_exact_levels_agree_for_any_prefix(odd):
     assert sets[0] == sets[1] == sets[2]
 
 
+def test_exact_levels_agree_where_keys_are_too_many_to_broadcast(odd):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few, many = (exact_dedup.decide(odd, broadcast_keys=n) for n in (1000, 0))
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    texts = [sorted(str(r.text) for r in exact_dedup.keep_one(odd, broadcast_keys=n).collect()) for n in (1000, 0)]
+    assert texts[0] == texts[1]
+    assert plan(few).count("BroadcastHashJoin") >= 2 and "ShuffledHashJoin" in plan(many)
+
+
+def test_exact_reads_prefixes_of_shared_lengths_and_hashes_of_shared_prefixes(spark):
+    head = "x" * 300
+    docs = spark.createDataFrame([(1, "ab"), (2, "cd"), (3, "cd"), (4, "abc"), (5, head + "1"), (6, head + "2")], "doc_id long, text string")
+    got = {r["_doc"].doc_id: r["_full"] for r in exact_dedup.full_hashes(docs).collect()}
+    assert {k for k, v in got.items() if v} == {2, 3, 5, 6} and got[2] == got[3] and got[5] != got[6]
+
+
 def test_exact_keeps_one_row(odd, nothing):
     kept = exact_dedup.keep_one(odd)
     assert kept.columns == odd.columns and kept.schema == odd.schema
