@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stitchwork.llm.common import settle
+from stitchwork.llm.common import HOT_SHARE, settle
 
 #: Characters that the second level hashes.
 PREFIX_CHARS = 256
@@ -74,12 +74,19 @@ def decide(docs: DataFrame, id: str = "doc_id", text: str = "text", prefix_chars
     rows = leveled.select(F.col("_doc")[id].alias(id), "_full", "_key",
                           *[c.alias(n) for n, c in (extra or {}).items()])
     survivors = rows.filter(F.col("_full").isNotNull())
-    groups = (survivors.groupBy(F.col("_full").alias("_group"))
-              .agg(F.max(F.col(id)).alias("keep_id"), F.count("*").alias("group_size")))
-    joined = rows.join(groups, F.col("_key") == F.col("_group"), "left")
-    alone = F.col("_group").isNull()
-    keep = F.when(alone, F.col(id)).otherwise(F.col("keep_id"))
-    return joined.select(id, keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+    groups = settle(survivors.groupBy("_full").agg(F.max(F.col(id)).alias("_best"), F.count("*").alias("_n")))
+    total = groups.agg(F.sum("_n")).first()[0] or 0
+    # Groups of over a thousandth of the rows, fewer than a thousand, are broadcast; their rows spread over all tasks then.
+    is_hot = F.col("_n") * HOT_SHARE > total
+    hot, cold = (groups.filter(which).select(F.struct("_best", "_n").alias(name), F.col("_full").alias(f"{name}_key"))
+                 for which, name in ((is_hot, "_hot"), (~is_hot, "_cold")))
+    joined = rows.join(F.broadcast(hot), F.col("_key") == F.col("_hot_key"), "left")
+    spread = F.concat(F.lit("#"), F.hex(F.monotonically_increasing_id()))
+    joined = joined.withColumn("_key", F.when(F.col("_hot").isNotNull(), spread).otherwise(F.col("_key")))
+    joined = joined.join(cold, F.col("_key") == F.col("_cold_key"), "left")
+    group = F.coalesce("_hot", "_cold")
+    keep = F.when(group.isNull(), F.col(id)).otherwise(group["_best"])
+    return joined.select(id, keep.alias("keep_id"), F.coalesce(group["_n"], F.lit(1)).cast("long").alias("group_size"),
                          F.col(id).eqNullSafe(keep).alias("kept"), *(extra or {}))
 
 
