@@ -498,9 +498,12 @@ def x05(spark, sf):
 # ---- streams --------------------------------------------------------------------------------
 
 def _stream(spark, sf, name, columns):
-    """A given table as a file stream."""
+    """A given table as a file stream, be it one file or a folder of them."""
     schema = table(spark, sf, name).schema
-    return flows.landed(spark, sf, schema, glob=f"{name}.parquet").select(*columns)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    rows = flows.landed(spark, f"{sf}/{name}.parquet", schema) if folder else flows.landed(spark, sf, schema, glob=f"{name}.parquet")
+    return rows.select(*columns)
 
 
 @query("t01_stream_route", "SELECT doc_id, CASE WHEN n_chars < 100 THEN 'rejected_short' ELSE 'sorted' END AS status, lang FROM documents")

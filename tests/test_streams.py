@@ -4,9 +4,12 @@ import datetime as dt
 import os
 import tempfile
 
+import duckdb
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
+from stitchwork.plans import catalog
 from stitchwork.streaming import flows, state
 
 T0 = dt.datetime(2024, 1, 1)
@@ -172,3 +175,15 @@ def test_timed_hold_fires_without_another_frame(spark, folder):
     halves(spark, rows, schema, folder, run)
     got = sorted((r["session"], r["fired_at"]) for r in spark.read.parquet(f"{folder}/out").collect())
     assert got == sorted([("last", at(1.2)), ("long", at(1.2)), ("rearmed", at(1.2)), ("rearmed", at(4.2))])
+
+
+@pytest.mark.parametrize("name", ["t01_stream_route", "t03_stream_quota", "t05_stream_delta", "t07_stream_merge"])
+def test_streams_of_tables_in_several_files(spark, sf_dir, folder, name):
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(3).write.parquet(f"{folder}/{table}.parquet")
+    sql = catalog.ORACLES[name]
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    assert oracle.compare(catalog.QUERIES[name](spark, folder), con, sql) is None
+    assert con.execute(f"SELECT count(*) FROM ({sql})").fetchone()[0] > 0
