@@ -38,7 +38,8 @@ def nearest_anchor(points: DataFrame, anchors: DataFrame, at: list[str], order:
     A point with a null or NaN coordinate, and every point if there is no
     anchor, gets null. Anchors with a null or NaN coordinate are left out.
     """
-    unique = anchors.where(_usable(at)).groupBy(*at).agg(F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("_first"))
+    # Places are written before they are tested: a test in front would hold each coordinate's expression several times.
+    unique = settle(anchors.groupBy(*at).agg(F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("_first"))).where(_usable(at))
     box = unique.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in at for f in (F.min, F.max)]).first()
     kind = anchors.schema[value].dataType
     if not box["n"]:
@@ -53,7 +54,7 @@ def nearest_anchor(points: DataFrame, anchors: DataFrame, at: list[str], order:
 
     near = {c: F.least(F.greatest(F.col(c), F.lit(low[c])), F.lit(high[c])) for c in at}
     best = f"struct<d:double,f:{unique.schema['_first'].dataType.simpleString()}>"
-    spots = points.where(_usable(at)).select(*at).distinct()
+    spots = settle(points.select(*at).distinct()).where(_usable(at))
     open_ = settle(spots.select(*at, _square([F.col(c) for c in at], [near[c] for c in at]).alias("_outside"),
                                 *[place(c, near[c]).alias(f"_home_{c}") for c in at], F.lit(None).cast(best).alias("_best")))
     found, ring = [], 1

@@ -37,6 +37,15 @@ def test_nearest_anchor(spark, shape):
     assert got == {i: _plain_nearest(x, anchors + twins) for i, x in enumerate(points)}
 
 
+def test_coordinates_are_calculated_once_a_row(spark, monkeypatch):
+    plans, settle = [], nearest.settle
+    monkeypatch.setattr(nearest, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df))
+    rows = spark.range(60).selectExpr("cast(id AS int) AS id", "cbrt(id) AS x", "cbrt(id + 1) AS y")
+    got = nearest.nearest_anchor(rows, rows.where("id % 10 = 0").withColumn("name", F.col("id")), ["x", "y"], "id", "name")
+    assert sum(r["name"] == r["id"] for r in got.collect()) == 6
+    assert any("CBRT" in p for p in plans) and not any("Filter" in line and "CBRT" in line for p in plans for line in p.splitlines())
+
+
 def test_nearest_of_empty_tables(spark):
     schema = "id int, x double, y double"
     some, none = spark.createDataFrame([(1, 1.0, 2.0)], schema), spark.createDataFrame([], schema)
