@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from stitchwork.functions.text import literals, sql_value
+from stitchwork.session import settle
+
+#: At most so many keys that own several lists are sent to every task; more are met by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def keyword_sets(keywords: DataFrame, key: str, keyword: str, vocabulary: list[str] | None = None) -> DataFrame:
-    """Distinct lower-case keywords per key.
+    """Distinct lower-case keywords per key; a key without any is left out.
+
+    ``keyword`` is one keyword a row, or a list of them. Repeats go before the
+    sets are gathered, so a set is as large as the key's distinct words. A
+    vocabulary keeps only words that the caller will intersect with.
 
-    Repeats go before the sets are gathered, so a set is as large as the
-    key's distinct words. A vocabulary keeps only words that the caller will
-    intersect with.
+    A list becomes a set where it is, and is the set of a key that owns one
+    row: nothing is shuffled for it. Only the lists of keys that own several
+    rows are taken apart and gathered again like rows. The keys of lists are
+    counted first, so their table is read twice.
     """
+    if isinstance(keywords.schema[keyword].dataType, ArrayType):
+        return _merged_lists(keywords, key, keyword, vocabulary)
     word = F.lower(F.trim(F.col(keyword)))
     rows = keywords.where(F.col(keyword).isNotNull()).select(key, word.alias("_k"))
     if vocabulary is not None:
@@ -22,6 +34,24 @@ def keyword_sets(keywords: DataFrame, key: str, keyword: str, vocabulary: list[s
     return rows.distinct().groupBy(key).agg(F.collect_list("_k").alias("keywords"))
 
 
+def _merged_lists(keywords: DataFrame, key: str, keyword: str, vocabulary: list[str] | None) -> DataFrame:
+    present = F.filter(F.array_distinct(F.col(keyword)), lambda x: x.isNotNull())
+    words = F.array_distinct(F.transform(present, lambda x: F.lower(F.trim(x))))
+    if vocabulary is not None:
+        words = F.array_intersect(words, literals(vocabulary).cast("array<string>"))
+    # Exploded from a list of one, so that the test of its size doesn't hold the whole expression again.
+    lists = keywords.select(key, F.explode(F.array(words)).alias("keywords")).where(F.size("keywords") > 0)
+    several = settle(keywords.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"))
+    n = several.count()
+    if not n:
+        return lists
+    several = F.broadcast(several) if n <= MOST_BROADCAST else several
+    owned = F.col(key).eqNullSafe(F.col("_key"))
+    rows = lists.join(several, owned, "left_semi").select(key, F.explode("keywords").alias("_k"))
+    merged = rows.distinct().groupBy(key).agg(F.collect_list("_k").alias("keywords"))
+    return lists.join(several, owned, "left_anti").unionByName(merged)
+
+
 def with_keywords(photos: DataFrame, sets: DataFrame, key: str) -> DataFrame:
     """Left join; a photo without keywords gets the empty set."""
     empty = F.array().cast("array<string>")

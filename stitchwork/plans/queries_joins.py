@@ -24,7 +24,7 @@ c = F.col
   WHERE keyword IS NOT NULL GROUP BY 1)
 SELECT photo_id, coalesce(array_to_string(ks, '|'), '') AS keywords FROM {S.PHOTOS} LEFT JOIN k USING (photo_id)""")
 def j01(spark, sf):
-    sets = joins.keyword_sets(S.keyword_rows(spark, sf), "photo_id", "keyword")
+    sets = joins.keyword_sets(S.keyword_lists(spark, sf), "photo_id", "keyword")
     photos = joins.with_keywords(S.photos(spark, sf).select("photo_id"), sets, "photo_id")
     return photos.select("photo_id", F.array_join(F.array_sort("keywords"), "|").alias("keywords"))
 

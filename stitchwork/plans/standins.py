@@ -146,12 +146,17 @@ def photos(spark: SparkSession, sf: str) -> DataFrame:
         (d * 11 % 1100 + 420).cast("int").alias("height"))
 
 
-def keyword_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Keywords of each photo: every word of the text plus three set keywords."""
+def keyword_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Keywords of each photo as a list: every word of the text plus three set keywords."""
     d = F.col("doc_id")
     words = F.split(F.lower("text"), " ")
     extra = F.array(pick(_KEYWORDS, d), pick(_KEYWORDS, d * 2 + F.lit(1)), pick(_KEYWORDS, d * 5 + F.lit(3)))
-    return table(spark, sf, "documents").select(d.alias("photo_id"), F.explode(F.concat(words, extra)).alias("keyword"))
+    return table(spark, sf, "documents").select(d.alias("photo_id"), F.concat(words, extra).alias("keyword"))
+
+
+def keyword_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, one keyword a row."""
+    return keyword_lists(spark, sf).select("photo_id", F.explode("keyword").alias("keyword"))
 
 
 PHOTOS = f"""(SELECT doc_id AS photo_id, lang, source, n_chars, {sql_pick(_PHRASES, 'doc_id')} || ' ' || text AS description,

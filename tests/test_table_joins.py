@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stitchwork.operators import joins, keywords, nearest
+from stitchwork.plans import catalog
 from stitchwork.sources import readers
 
 
@@ -37,6 +38,31 @@ def test_nearest_anchor(spark, shape):
     assert got == {i: _plain_nearest(x, anchors + twins) for i, x in enumerate(points)}
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+@pytest.mark.parametrize("vocabulary", [None, ["a", "b c", "it's"]])
+def test_keyword_lists_equal_rows(spark, monkeypatch, most, vocabulary):
+    monkeypatch.setattr(joins, "MOST_BROADCAST", most)
+    r = random.Random(5)
+    draw = lambda n: [r.choice([" A", "a", "b c ", "B c", "", "it's", "É", None, "w1", "w2"]) for _ in range(n)]
+    lists = [(i, draw(r.randrange(9))) for i in range(40)] + [(7, draw(5)) for _ in range(60)] + [(None, draw(4)), (None, draw(4)), (90, None), (91, [None]), (92, [])]
+    df = spark.createDataFrame(lists, "id int, k array<string>").repartition(4)
+    rows = df.select("id", F.explode("k").alias("k"))
+    found = [sorted(((x["id"], sorted(x["keywords"])) for x in joins.keyword_sets(t, "id", "k", vocabulary).collect()), key=str) for t in (df, rows)]
+    assert found[0] == found[1] and len(found[0]) > 20
+    single = df.where("id > 7 AND id < 40")
+    assert {x["id"] for x in joins.keyword_sets(single, "id", "k").collect()} == {i for i, k in lists[8:40] if any(w is not None for w in k)}
+
+
+def test_keyword_lists_are_not_shuffled_as_rows(spark, sf_dir):
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    listed = lambda: [x for found in [store.stageList(none, False, False, quantiles, none)] for x in map(found.apply, range(found.size()))]
+    seen = {s.stageId() for s in listed()}
+    photos = len(catalog.QUERIES["j01_keyword_sets"](spark, sf_dir).collect())
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert sum(s.shuffleWriteRecords() for s in listed() if s.stageId() not in seen) <= 4 * photos
+
+
 def test_coordinates_are_calculated_once_a_row(spark, monkeypatch):
     plans, settle = [], nearest.settle
     monkeypatch.setattr(nearest, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df))
