@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stitchwork.session import settle
 
-# Executors receive the helpers with the task.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 GRAM = 3
 #: Texts whose grams tell which gram of a keyword is rare. The choice changes speed only.
 SAMPLE_TEXTS = 2_000
-#: An index of at most so many rules, and bytes of keywords, is sent to every task, so that nothing is shuffled; a larger one
-#: is joined by shuffle.
+#: An index of at most so many rules, and bytes of keywords, is sent to every task, so that grams aren't shuffled; a
+#: larger one is joined by shuffle.
 MOST_BROADCAST = 100_000
 MOST_BROADCAST_BYTES = 64 << 20
 #: So many of the first rules are tried on a text before its grams are taken. The choice changes speed only.
@@ -40,44 +32,21 @@ def _grams(text: Column, sizes: list[int]) -> Column:
     return F.element_at(F.transform(F.array(longest), of), 1)
 
 
-def _place(text: bytes, rules: list[bytes], posts: dict[int, dict[str, list[int]]], unposted: list[int]) -> int | None:
-    """The least place of a rule whose keyword is in the text. ``posts``: ascending places by gram, by the gram's size."""
-    for place, keyword in enumerate(rules[:TRIED_FIRST]):
-        if keyword in text:
-            return place
-    best = next((place for place in unposted if rules[place] in text), len(rules))
-    read = text.decode(errors="replace")
-    for size, known in posts.items():
-        for gram in known.keys() & {read[i:i + size] for i in range(len(read) - size + 1)}:
-            for place in known[gram]:
-                if place >= best:
-                    break
-                if rules[place] in text:
-                    best = place
-                    break
-    return best if best < len(rules) else None
-
+def _least_places(known: DataFrame, ranked: DataFrame, id: str, text: str, sizes: list[int]) -> DataFrame:
+    """_id, _h (the text's hash) and _place: the least place of a rule that the text contains, null if there is none.
 
-def _places(posted: Broadcast) -> Callable:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([None if x is None else _place(x, *posted.value) for x in texts], dtype="Int64")
-    return F.pandas_udf(run, "long")
-
-
-def _posts(ranked: DataFrame) -> tuple[list[bytes], dict[int, dict[str, list[int]]], list[int]]:
-    """Keywords by place, places by gram, and the places of keywords that aren't UTF-8, whose grams can't be relied on."""
-    rows = sorted(ranked.select("_place", F.col("_k").cast("binary").alias("k"), F.col("_g").cast("binary").alias("g")).collect())
-    posts, unposted = {}, []
-    for place, keyword, gram in rows:
-        try:
-            keyword.decode()
-        except UnicodeDecodeError:
-            unposted.append(place)
-        else:
-            read = gram.decode()
-            posts.setdefault(len(read), {}).setdefault(read, []).append(place)
-    return [bytes(keyword) for _, keyword, _ in rows], posts, unposted
+    The first rules are tried on every text; only texts without any of them are cut into grams. A text stays beside its
+    grams, so rules are tested where they are met, and a number is all that is kept of them.
+    """
+    first = ranked.where(F.col("_place") < TRIED_FIRST).select("_place", F.col("_k").cast("binary").alias("k")).collect()
+    tried = F.array(*[F.struct(F.lit(r["_place"]).cast("long").alias("p"), F.lit(bytes(r["k"])).cast("string").alias("k")) for r in sorted(first)])
+    early = F.array_min(F.transform(F.filter(tried, lambda r: F.col(text).contains(r["k"])), lambda r: r["p"]))
+    # Exploded from a list of one, so that it is evaluated once.
+    keyed = known.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_x"), F.explode(F.array(early)).alias("_early"))
+    grams = keyed.select("*", F.explode_outer(F.when(F.col("_early").isNull(), _grams(F.col("_x"), sizes))).alias("_g"))
+    met = grams.join(F.broadcast(ranked.select("_g", "_k", "_place")), "_g", "left")
+    place = F.coalesce("_early", F.when(F.col("_x").contains(F.col("_k")), F.col("_place")))
+    return met.select("_id", "_h", place.alias("_place")).groupBy("_id", "_h").agg(F.min("_place").alias("_place"))
 
 
 def first_rule(texts: DataFrame, rules: DataFrame, id: str, text: str, order: str = "order", keyword: str = "keyword",
@@ -88,9 +57,8 @@ def first_rule(texts: DataFrame, rules: DataFrame, id: str, text: str, order: st
     themselves), texts meet it there, and ``contains`` decides among the rules
     met. So the work follows the rules that share a rare gram with a text, not
     texts times rules. An index within ``MOST_BROADCAST`` is sent to the tasks,
-    which look up a text's grams where the text is: neither texts nor grams nor
-    met rules are shuffled or gathered. A larger one meets the grams in a
-    shuffle, and the rules met are one list per text.
+    and of each text only the place of its first rule is shuffled. A larger one
+    meets the grams in a shuffle, and the rules met are one list per text.
 
     An empty keyword is in every text that isn't null, a null keyword in none.
     Texts of equal id are told apart by their content; a null id is an id.
@@ -121,10 +89,12 @@ def first_rule(texts: DataFrame, rules: DataFrame, id: str, text: str, order: st
     if size["n"] <= MOST_BROADCAST and size["bytes"] <= MOST_BROADCAST_BYTES:
         # One task numbers the rules: no more than are broadcast.
         ranked = settle(index.withColumn("_place", F.row_number().over(Window.orderBy("_o", "_t", "_k")).cast("long") - 1))
-        place = _places(texts.sparkSession.sparkContext.broadcast(_posts(ranked)))
         hits = ranked.select("_place", F.struct(F.col("_o").alias("o"), F.col("_t").alias("t")).cast(best).alias("_hit"))
-        placed = texts.withColumn("_place", place(F.col(text).cast("binary"))).join(F.broadcast(hits), "_place", "left")
-        chosen = F.when(F.col(text).isNotNull(), F.least("_hit", spare))
+        least = _least_places(known, ranked, id, text, sizes)
+        # The text's hash is a column before the join, so that the join carries texts only for a caller that wants them.
+        held = texts.withColumns({"_own": F.xxhash64(text), "_some": F.col(text).isNotNull()})
+        placed = held.join(least, F.col(id).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")), "left").join(F.broadcast(hits), "_place", "left")
+        chosen = F.when(F.col("_some"), F.least("_hit", spare))
         return placed.select(*texts.columns, chosen["t"].alias(target))
     keyed = known.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("_x"))
     met = (keyed.select("_id", "_h", F.explode(_grams(F.col("_x"), sizes)).alias("_g")).join(index, "_g").groupBy("_id", "_h")
