@@ -15,7 +15,7 @@ SAMPLE_TEXTS = 2_000
 MOST_BROADCAST = 100_000
 MOST_BROADCAST_BYTES = 64 << 20
 #: So many of the first rules are tried on a text before its grams are taken. The choice changes speed only.
-TRIED_FIRST = 64
+TRIED_FIRST = 256
 
 
 def _grams(text: Column, sizes: list[int]) -> Column:

@@ -118,7 +118,8 @@ def test_rules_of_a_small_table_are_not_gathered(spark):
         i: f"t{min(k for k in range(90) if any(str(w).startswith(str(k)) for w in range(i % 90, 90)))}" for i in range(300)}
 
 
-def test_rules_beyond_the_first_and_texts_with_other_bytes(spark):
+def test_rules_beyond_the_first_and_texts_with_other_bytes(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "TRIED_FIRST", 64)
     rules = [(i, f"zz{i:03d}", f"t{i}") for i in range(150)] + [(200, "é😀", "wide")]
     table = spark.createDataFrame(rules, "order int, keyword string, target string")
     df = spark.sql("""SELECT 1 AS id, CAST(X'41FFAB' AS STRING) AS text UNION ALL SELECT 2, CAST(concat(X'E282', encode('zz149', 'UTF-8'), X'FF') AS STRING)
